@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import table
+from quillstat.llm.common import fold, table
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.language_id import identify, profiles
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    learned = profiles(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), learned)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.decontaminate import contaminated, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +40,31 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op9_byte_bpe,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_language_id, op8_decontaminate, op9_byte_bpe)}
+
+SQL: dict[str, str] = {
+    "op8_decontaminate": r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), bw as (
+  select distinct item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as win
+  from (select item, w, size, unnest(range(1, (len(w) - size + 2)::bigint)) as i from (select item, w, least(13, len(w)) as size from b where len(w) > 0))
+), dw as (
+  select r, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as win
+  from (select r, w, size, unnest(range(1, (len(w) - size + 2)::bigint)) as i from d, (select distinct size from bw) where len(w) >= size)
+), h as (
+  select dw.r, dw.i, dw.size, bw.item from dw join bw using (size, win)
+), hit as (
+  select r, count(*) as n_hit from (select distinct r, unnest(range(i, i + size)) as p from h) group by r
+), it as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from h) group by r
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (r) left join it using (r)
+""",
+}
