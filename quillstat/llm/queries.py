@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import fold, table
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts of the rows that a classifier may learn ``label`` from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", label)
+    return docs.join(labels, "doc_id").select("text", label)
+
+
+def op2_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.zstd_quality import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return score(docs, train(_labelled(spark, sf_dir, "quality"), "quality"), threshold=0.3)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return score(docs, train(_labelled(spark, sf_dir, "toxic"), "toxic"), threshold=0.5).withColumn("n_offending", F.size("offending")).drop("offending")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstat.llm.language_id import identify, profiles
 
@@ -40,7 +61,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op8_decontaminate, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_zstd_quality, op7_toxicity, op4_language_id, op8_decontaminate, op9_byte_bpe)}
 
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
