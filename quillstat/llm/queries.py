@@ -61,7 +61,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_zstd_quality, op7_toxicity, op4_language_id, op8_decontaminate, op9_byte_bpe)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.common import cut
+    from quillstat.llm.quality_rules import COUNTS, counts, fit, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counted = cut(counts(docs).drop("text"))
+    return judge(counted, fit(counted)).select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
+
+
+QUERIES = {f.__name__: f for f in (op2_zstd_quality, op7_toxicity, op4_language_id, op8_decontaminate, op9_byte_bpe, op10_quality_rules)}
 
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
