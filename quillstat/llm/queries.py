@@ -70,7 +70,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(counted, fit(counted)).select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
 
 
-QUERIES = {f.__name__: f for f in (op2_zstd_quality, op7_toxicity, op4_language_id, op8_decontaminate, op9_byte_bpe, op10_quality_rules)}
+#: Of the surrogates; a deployment sets its own secret.
+PII_KEY = "quillstat"
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.pii import replace
+
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op2_zstd_quality, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op9_byte_bpe, op10_quality_rules)}
 
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
