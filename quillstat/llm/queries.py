@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import fold, table
 
 
+#: Most labelled rows that a classifier learns from, about.
+MAX_LABELLED = 40_000
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts of the rows that a classifier may learn ``label`` from."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Texts of the rows that a classifier may learn ``label`` from.
+
+    At most about MAX_LABELLED of the labels, chosen by a hash of the id, so they
+    are small enough to broadcast whatever the number of documents.
+    """
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", label)
-    return docs.join(labels, "doc_id").select("text", label)
+    total = labels.count()
+    if total > MAX_LABELLED:
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MAX_LABELLED / total * (1 << 30)))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", label)
 
 
 def op2_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
