@@ -80,6 +80,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(counted, fit(counted)).select("doc_id", *COUNTS, "base_failed", "kept", "distance2")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=5, percent=75)
+
+
 #: Of the surrogates; a deployment sets its own secret.
 PII_KEY = "quillstat"
 
@@ -90,7 +96,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op2_zstd_quality, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op9_byte_bpe, op10_quality_rules)}
 
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
