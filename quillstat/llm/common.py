@@ -42,20 +42,28 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set
-    only where the session names none, as in local tests.
+    A temporary folder is set only where the session names none, as in local tests.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; counts them, so ``df`` is best materialised."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
     """``mapInArrow`` with per-task state.
 

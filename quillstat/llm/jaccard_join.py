@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import ascii_words, cut, map_batches
+from quillstat.llm.common import ascii_words, cut, if_small, map_batches
 from quillstat.llm.components import components
 
 ROWS = 128
@@ -325,7 +325,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one of each component."""
+    """One row of each component: those whose id names it.
+
+    Rows without an id and rows that repeat an id stay if that id names their
+    component, or none does.
+    """
     found = near_duplicates(docs, doc_id, text, **how)
-    names = cut(found.where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct())
-    return docs.join(names, doc_id, "left_semi")
+    others = cut(found.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct())
+    return docs.join(if_small(others, BROADCAST), doc_id, "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import cut
+from quillstat.llm.common import cut, if_small
 
 _TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "Κυρία"],
@@ -250,9 +250,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", small: int = 50_000)
         here = docs.where(t.isNotNull()).select(F.sha2(t.cast("binary"), 256).alias("__h"), F.explode(F.array_distinct(entities(t))).alias("e"))
         here = here.withColumn("kind", kind(F.col("e"))).withColumn("value", canonical(F.col("e"), F.col("kind")))
         other = cut(here.join(again, ["kind", "value"]).select("__h", "e", "tries").distinct().groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("e", "tries"))).alias("__tries")))
-        if other.count() <= small:
-            other = F.broadcast(other)
-        df = df.withColumn("__h", F.sha2(t.cast("binary"), 256)).join(other, "__h", "left")
+        df = df.withColumn("__h", F.sha2(t.cast("binary"), 256)).join(if_small(other, small), "__h", "left")
         tries = lambda e: F.coalesce(F.try_element_at(F.col("__tries"), e), F.lit(0))
     df = df.withColumn("__s", F.transform("__e", lambda e: surrogate(e, key, tries(e))))
     whole = F.array_join(F.flatten(F.transform(F.split(t, ANY, -1), lambda part, i: F.array(part, F.coalesce(F.get(F.col("__s"), i), F.lit(""))))), "")

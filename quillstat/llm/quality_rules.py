@@ -27,13 +27,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import cut
+from quillstat.llm.common import cut, if_small
 
 #: The statistics, and the least spread (one standard deviation) that each is given.
 FLOORS = {"word_length": 0.06, "symbols": 0.12, "dup_lines": 0.4, "repeats": 0.4, "upper": 0.12}
 NAMES = tuple(FLOORS)
 P = len(NAMES)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Most groups that are broadcast.
+SMALL = 20_000
 _BIN = 0.02  # of log(1 + squared distance)
 _GRID = 0.002  # of a statistic, for medians
 
@@ -206,10 +208,12 @@ def judge(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], lang: str = "
     groups, params = fitted
     limit = chi2_quantile(1 - tail, P)
     names = counted.columns
-    df = _keys(counted, lang, source).join(groups, "__group", "left").join(params, "g", "left")
+    df = _keys(counted, lang, source).join(if_small(groups, SMALL), "__group", "left").join(if_small(params, SMALL), "g", "left")
     df = _distance(df.withColumns({f"x{i}": s for i, s in enumerate(statistics())}))
-    # all groups of rows that pass the fixed rules were fitted
-    return df.select(*(F.col(f"`{c}`") for c in names if c.lower() not in ("distance2", "kept")), F.col("d2").alias("distance2"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False))).alias("kept"))
+    # all groups of rows that pass the fixed rules were fitted; one condition on both sides of the
+    # join, so that no part of it is moved below the counts and makes them twice
+    kept = F.coalesce(F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("d2") <= limit), F.lit(False))
+    return df.select(*(F.col(f"`{c}`") for c in names if c.lower() not in ("distance2", "kept")), F.col("d2").alias("distance2"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **how) -> DataFrame:
