@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import fold, table
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.maxent_lm import model, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "text")
+    return score(docs, *model(docs.where(~F.col("held_out"))))
+
+
 #: Most labelled rows that a classifier learns from, about.
 MAX_LABELLED = 40_000
 
@@ -96,7 +103,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op9_byte_bpe, op10_quality_rules)}
 
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
