@@ -54,6 +54,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), learned)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.license_scan import scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs).select("doc_id", "licenses")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.name", ",").alias("licenses"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstat.llm.decontaminate import contaminated, scan
 
@@ -103,7 +111,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules)}
 
 SQL: dict[str, str] = {
     "op8_decontaminate": r"""
