@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -13,14 +14,16 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\x0c\r"
 #: The same as a pattern of one word, for Python.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A-Z to a-z and nothing else.
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def ascii_words(text: str) -> list[str]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z only."""
-    low = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-    return WORD.findall(low)
+    return WORD.findall(lowered(text))
+
+
+def lowered(text: str) -> str:
+    """``text`` with A-Z in lower case: of bytes, ``lower`` changes nothing else."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +57,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised by a reliable checkpoint in the shared folder."""
+    """``df`` materialised by a reliable checkpoint in the shared folder.
+
+    Before it, what former steps left is let go: Spark deletes the shuffle files
+    and checkpoints of tables that no longer exist when the driver collects its
+    garbage, which a driver with little to do puts off for long.
+    """
     shared_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import ASCII_LOWER, map_batches
+from quillstat.llm.common import lowered, map_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ROWS = 128
@@ -37,7 +37,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def words(text: str | None) -> list[str]:
     if not text:
         return []
-    return WORD.findall(text.lower() if text.isascii() else text.translate(ASCII_LOWER))
+    return WORD.findall(lowered(text))
 
 
 class Windows:
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text",
                         items = {i for _, _, x in own for i in x}
                         spans, places = [(a, a + w) for a, w, _ in own], None
                         if own or (later and before[1][at + d]):
-                            places = [m.span() for m in WORD.finditer(block[d].translate(ASCII_LOWER))]
+                            places = [m.span() for m in WORD.finditer(lowered(block[d]))]
                         if later and before[1][at + d]:
                             old = before[1][at + d]
                             items.update(before[0][at + d])

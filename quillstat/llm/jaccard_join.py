@@ -32,14 +32,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import ascii_words, cut, if_small, map_batches
+from quillstat.llm.common import cut, if_small, map_batches
 from quillstat.llm.components import components
+from quillstat.llm.word_hashes import word_hashes
 
 ROWS = 128
 BUCKETS = 1 << 16
@@ -54,25 +54,18 @@ class Shingles:
     """Sets of 64-bit shingle hashes, for use inside a task."""
 
     def __init__(self, size: int) -> None:
-        import xxhash
-
-        self.size, self.hash = size, xxhash.xxh64_intdigest
-        self.known: dict[str, int] = {}
+        self.size = size
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct hashes of each text's shingles."""
-        words = [ascii_words(t) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.known.update((w, self.hash(w.encode("utf-8", "surrogatepass"))) for w in {*chain.from_iterable(words)}.difference(self.known))
-        n = [len(w) for w in words]
-        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, sum(n))
+        h, n = word_hashes(texts)
         k = self.size
         every = self._mix(h, k) if len(h) >= k else h[:0]
         out, at = [], 0
-        for m in n:
+        for m in n.tolist():
             if m >= k:
-                out.append(np.unique(every[at : at + m - k + 1]))
+                own = np.sort(every[at : at + m - k + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             else:
                 out.append(self._mix(h[at : at + m], m) if m else h[:0])
             at += m
