@@ -1,0 +1 @@
+"""Statistics and training-data operators on Spark."""

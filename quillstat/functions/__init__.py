@@ -1,0 +1 @@
+"""Columns and distribution functions."""

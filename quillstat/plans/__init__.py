@@ -1,0 +1 @@
+"""Plans that several operators share."""

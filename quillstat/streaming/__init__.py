@@ -1,0 +1 @@
+"""Nothing here yet: the operators are batch ones, and their sums by key merge as a stream would need."""
