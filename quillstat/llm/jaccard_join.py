@@ -197,7 +197,7 @@ class Join:
         """(a, b) of the pairs (a, b: classes) that link, by their whole sets."""
         pairs = cut(pairs)
         wanted = cut(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
-        sets = cut(self.sets_of(wanted))
+        sets = self.sets_of(wanted)
         two = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
@@ -241,28 +241,27 @@ class Join:
         # but for rounding, which the 1 allows for, the slack is greatest at an end of the sizes
         open_ = counted.where((m_low <= m_high) & (bound(m_low) | bound(m_high)))
         # 4. members of opened groups
-        member = listed_by.select("cls", F.col("comp").alias("other")).unionByName(
-            shared.select("cls").join(group.select(F.col("node").alias("cls"), F.col("comp").alias("other")), "cls")
+        member = listed_by.select("cls", "n", F.col("comp").alias("other")).unionByName(
+            shared.select("cls", "n").join(group.select(F.col("node").alias("cls"), F.col("comp").alias("other")), "cls")
         ).distinct()
-        opened = cut(open_.select("cls", "other"))
+        opened = cut(open_.select("cls", "n", "other"))
         member = cut(member.join(opened.select("other").distinct(), "other", "left_semi"))
         return first.unionByName(self.open(opened, member))
 
     def open(self, queries: DataFrame, members: DataFrame) -> DataFrame:
         """(a, b): a link of each query class into each group, where it has any.
 
-        ``queries`` and ``members`` are (cls, other), ``other`` naming the group.
-        Both are gathered into blocks of about BLOCK tokens, by hash, and each
-        block of a group's queries meets each block of its members.
+        ``queries`` and ``members`` are (cls, n, other), ``other`` naming the
+        group.  Both are dealt into blocks of about BLOCK tokens, by hash, and
+        each block of a group's queries meets each block of its members.
         """
         percent = self.percent
-        sets = cut(self.sets_of(cut(queries.select("cls").unionByName(members.select("cls")).distinct())))
+        sets = self.sets_of(cut(queries.select("cls").unionByName(members.select("cls")).distinct()))
 
         def blocks(side: DataFrame, name: str) -> DataFrame:
-            held = side.join(sets, "cls")
-            many = held.groupBy("other").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK).alias("blocks"))
-            held = held.join(many, "other").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-            return held.groupBy("other", "block").agg(F.collect_list(F.struct("cls", "tokens")).alias("all")).select(
+            many = side.groupBy("other").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+            dealt = cut(side.join(many, "other").select("cls", "other", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")))
+            return dealt.join(sets, "cls").groupBy("other", "block").agg(F.collect_list(F.struct("cls", "tokens")).alias("all")).select(
                 "other", F.col("block").alias(f"{name}_block"), F.col("all.cls").alias(f"{name}_cls"), F.transform("all", lambda r: F.size(r["tokens"])).alias(f"{name}_n"), F.flatten("all.tokens").alias(f"{name}_tokens")
             )
 

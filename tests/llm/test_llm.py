@@ -183,7 +183,8 @@ def test_toxicity(spark):
     for _ in range(400):
         sentences = [prose(rng, 8) for _ in range(rng.randrange(1, 12))]
         if rng.random() < 0.4:
-            sentences.insert(rng.randrange(len(sentences) + 1), "You are " + rng.choice(["filth", "scum", "vermin"]) + " and " + prose(rng, 3))
+            insult = rng.choice(["filth", "scum", "vermin", "brakk" + rng.choice(["a", "ish", "oru", "elt", "umno", "ith", "yx", "ent"])])  # some are inflected
+            sentences.insert(rng.randrange(len(sentences) + 1), "You are " + insult + " and " + prose(rng, 3))
             labels.append(1)
         else:
             labels.append(0)
@@ -283,6 +284,18 @@ def test_jaccard_join(spark, seed):
         assert sorted((r["component_id"] is None, r["component_id"] or 0) for r in jaccard_join.near_duplicates(odd).collect()) == [(False, 7)] * 3 + [(True, 0)] * 2
 
 
+def test_jaccard_join_beyond_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [prose(rng, 60) for _ in range(8)]
+    texts = [b + " " + prose(rng, k) for b in base for k in (1, 2, 3)] + [base[0], base[0]]
+    sizes, comp = near(texts)
+    monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: (sizes[i], comp[i]) for i in range(len(texts))}
+    assert {r["doc_id"] for r in jaccard_join.keep_one(frame(spark, texts)).collect()} == set(comp)
+
+
 # 5
 
 
