@@ -5,15 +5,18 @@ class.  Frequent words are classes of their own, all others are classed by
 their last two characters.  Both factors are log-linear in hashed features of
 the context: the last word, the second and third last (skips), the last two
 together and the classes of both.  Within a class the most frequent words and a
-rest have weights; words of the rest share its probability by their counts, as
-(c + 0.5), one place being kept for words never seen.
+rest have weights, added to the logits of the plain counts; words of the rest
+share its probability by their counts, as (c + 0.5), one place being kept for
+words never seen.
 
 Counts are taken over all training rows and joined to the words of the scored
 texts: counts of at most ``head`` words are broadcast, those of the others meet
 the words they are needed for in a shuffle.  The weights are trained by
-distributed gradient updates: each of a few shards of a bounded sample of the
-training texts (about ``max_train`` rows, chosen by hash) runs AdaGrad steps in
-minibatches, and the shards' weights are averaged after each round.
+distributed gradient updates over all training rows, each learned from in one
+round: a shard is a partition of the rows as they are read and runs AdaGrad
+steps in minibatches.  After each round every row of the tables moves by the
+shards' mean step, weighted by how often they used it; the sums are added up in
+a tree, so no task and not the driver holds more than a few shards' tables.
 
 Defined results: null and empty texts have one token, the end; repeated rows
 are scored alike; with no training rows all counts are zero; an empty table
@@ -41,9 +44,31 @@ BITS = 12
 ROWS = 64
 TOKENS = 8192
 CACHE = 200_000
+OFTEN = 24  # uses of a row in a minibatch from which they are summed on their own
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _sum_by(r: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``r``, and for each the sum of its rows of ``g``.
+
+    Rare values are summed all at once, first rows, then second rows and so on.
+    """
+    order = np.argsort(r.astype(np.int16), kind="stable")  # fits, as there are 2 ** BITS rows
+    row = r[order]
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    sizes = np.diff(np.append(starts, len(row)))
+    by_size = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by_size], sizes[by_size]
+    often = int(np.searchsorted(-sizes, -OFTEN, side="right"))
+    total = g[order[starts]]
+    for k in range(1, int(sizes[often]) if often < len(sizes) else 0):
+        end = int(np.searchsorted(-sizes, -k, side="left"))
+        total[often:end] += g[order[starts[often:end] + k]]
+    for i in range(often):
+        total[i] = g[order[starts[i] : starts[i] + sizes[i]]].sum(0)
+    return row[starts], total
+
+
 def shape(word: str) -> int:
     return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % SHAPES
 
@@ -91,19 +116,23 @@ class Vocabulary:
         self.slot = np.full(len(rows), SLOTS - 1, np.int32)
         sums = {r["s"]: r["z"] for r in counts.groupBy((F.crc32(F.right("word", F.lit(2)).cast("binary")) % SHAPES).alias("s")).agg((F.sum("n") + 0.5 * F.count("*")).alias("z")).collect()}
         rest = np.array([float(sums.get(s, 0.0)) for s in range(SHAPES)]) + 0.5
+        for i, w in enumerate(self.words[:SINGLE]):
+            rest[shape(w)] -= self.count[i] + 0.5
+        single = np.full(SINGLE, 1e-30)
+        single[: len(self.words)] = self.count[:SINGLE] + 0.5
+        #: Logits before training, those of the counts: of classes, and of places in a class (those without a word are out).
+        self.of_class = np.log(np.concatenate([single, np.maximum(rest, 0.5)])).astype(np.float32)
+        self.in_class = np.full((SHAPES, SLOTS), -1e4, np.float32)
         used = np.zeros(SHAPES, int)
-        for i, w in enumerate(self.words):
+        for i, w in enumerate(self.words[SINGLE:], SINGLE):
             s = shape(w)
-            if i < SINGLE:
-                rest[s] -= self.count[i] + 0.5
-            elif used[s] < SLOTS - 1:
+            if used[s] < SLOTS - 1:
                 self.slot[i] = used[s]
+                self.in_class[s, used[s]] = math.log(self.count[i] + 0.5)
                 used[s] += 1
                 rest[s] -= self.count[i] + 0.5
         self.log_rest = np.log10(np.maximum(rest, 0.5))
-        #: What is added to the logits of a class's words: places without a word are out.
-        self.mask = np.where(np.arange(SLOTS)[None, :] < used[:, None], 0.0, -1e4).astype(np.float32)
-        self.mask[:, -1] = 0
+        self.in_class[:, -1] = self.log_rest * math.log(10)
 
 
 class Reader:
@@ -151,12 +180,11 @@ class Weights:
         return one, two
 
     @staticmethod
-    def log_softmax(table: np.ndarray, rows: list[np.ndarray], mask=None) -> np.ndarray:
+    def log_softmax(table: np.ndarray, rows: list[np.ndarray], start: np.ndarray) -> np.ndarray:
         z = table[rows[0]]
         for r in rows[1:]:
-            z = z + table[r]
-        if mask is not None:
-            z = z + mask
+            z += table[r]
+        z += start
         z -= z.max(1, keepdims=True)
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z
@@ -169,9 +197,9 @@ class Weights:
             one, two = self.features(reader, ids, part)
             w = ids[part]
             k, s = reader.cls[w], reader.slot[w]
-            p = self.log_softmax(self.first, one)[np.arange(len(part)), k].astype(float)
+            p = self.log_softmax(self.first, one, reader.v.of_class)[np.arange(len(part)), k].astype(float)
             (in_class,) = np.nonzero(k >= SINGLE)
-            q = self.log_softmax(self.second, [r[in_class] for r in two], reader.v.mask[k[in_class] - SINGLE])
+            q = self.log_softmax(self.second, [r[in_class] for r in two], reader.v.in_class[k[in_class] - SINGLE])
             p[in_class] += q[np.arange(len(in_class)), s[in_class]]
             p /= math.log(10)
             (rest,) = np.nonzero((k >= SINGLE) & (s == SLOTS - 1))
@@ -181,41 +209,63 @@ class Weights:
             out[i : i + TOKENS] = p
         return out
 
-    def learn(self, reader: Reader, ids: np.ndarray, at: np.ndarray, squares: tuple[np.ndarray, np.ndarray], rate: float) -> None:
-        """AdaGrad steps over the tokens at ``at``."""
+    def learn(self, reader: Reader, ids: np.ndarray, at: np.ndarray, squares: tuple[np.ndarray, np.ndarray], uses: tuple[np.ndarray, np.ndarray], rate: float) -> None:
+        """AdaGrad steps over the tokens at ``at``; adds to ``uses`` how often each row was part of one."""
         for i in range(0, len(at), TOKENS):
             part = at[i : i + TOKENS]
             one, two = self.features(reader, ids, part)
             w = ids[part]
             k, s = reader.cls[w], reader.slot[w]
-            g = np.exp(self.log_softmax(self.first, one))
+            g = np.exp(self.log_softmax(self.first, one, reader.v.of_class))
             g[np.arange(len(part)), k] -= 1
-            self._step(self.first, squares[0], one, g, rate)
+            self._step(self.first, squares[0], uses[0], one, g, rate)
             (in_class,) = np.nonzero(k >= SINGLE)
             if len(in_class):
                 rows = [r[in_class] for r in two]
-                g = np.exp(self.log_softmax(self.second, rows, reader.v.mask[k[in_class] - SINGLE]))
+                g = np.exp(self.log_softmax(self.second, rows, reader.v.in_class[k[in_class] - SINGLE]))
                 g[np.arange(len(in_class)), s[in_class]] -= 1
-                self._step(self.second, squares[1], rows, g, rate)
+                self._step(self.second, squares[1], uses[1], rows, g, rate)
 
     @staticmethod
-    def _step(table, squares, rows, g, rate) -> None:
+    def _step(table, squares, uses, rows, g, rate) -> None:
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            row, starts = np.unique(r[order], return_index=True)
-            total = np.add.reduceat(g[order], starts)
+            uses += np.bincount(r, minlength=len(uses))
+            row, total = _sum_by(r, g)
             squares[row] += total * total
             table[row] -= rate * total / np.sqrt(squares[row] + 1.0)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", max_train: int = 12_000, shards: int = 6, rounds: int = 2, rate: float = 0.3) -> Weights:
-    """Weights from about ``max_train`` of the training rows."""
+#: What a shard sends: its number, the sums of steps times uses of each table, and the uses of their rows.
+SUMS = "shard bigint, first binary, second binary, first_uses binary, second_uses binary"
+#: Most shards whose sums are added in one task or in the driver.
+FAN = 16
+
+
+def _sums(shard: int, parts: list[np.ndarray]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([np.ascontiguousarray(p, np.float32).tobytes()], pa.binary()) for p in parts)], names=[c.split()[0] for c in SUMS.split(", ")])
+
+
+def _add(batches: Iterator) -> Iterator:
+    """One row of sums of all rows of a task."""
+    shard, total = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            parts = [np.frombuffer(c[i].as_buffer(), np.float32) for c in batch.columns[1:]]
+            if total is None:
+                shard, total = batch.column(0)[i].as_py(), [p.copy() for p in parts]
+            else:
+                for t, p in zip(total, parts, strict=True):
+                    t += p
+    if total is not None:
+        yield _sums(shard, total)
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = 2, rate: float = 0.3) -> Weights:
+    """Weights from all training rows, each of which is learned from in one of the rounds."""
     rows = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
-    total = rows.count()
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    if total > max_train:
-        rows = rows.where(F.col("h") < int(max_train / total * (1 << 30)))
-    sample = rows.repartition(shards, F.pmod("h", F.lit(shards))).sortWithinPartitions("h", "text")
+    shards = rows.rdd.getNumPartitions()
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast(vocabulary)
     weights = Weights()
@@ -223,24 +273,31 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", max_train
         now = sc.broadcast((weights.first, weights.second))
 
         def run(batches: Iterator, now=now, turn=turn) -> Iterator:
-            import pyarrow as pa
+            from pyspark import TaskContext
 
             reader, w = None, None
             for batch in batches:
                 if reader is None:
                     reader, w = Reader(held.value), Weights(*(x.copy() for x in now.value))
                     squares = np.ones_like(w.first), np.ones_like(w.second)
+                    uses = np.zeros(len(w.first)), np.zeros(len(w.second))
                 for at in range(0, batch.num_rows, ROWS):
                     _, ids, places = reader.read(batch.column(0).slice(at, ROWS).to_pylist())
-                    w.learn(reader, ids, places, squares, rate / (1 + turn))
+                    w.learn(reader, ids, places, squares, uses, rate / (1 + turn))
             if w is not None:
-                yield pa.RecordBatch.from_pydict({"first": [w.first.astype(np.float16).tobytes()], "second": [w.second.astype(np.float16).tobytes()]})
-
-        # as many rows as shards, each of the fixed size of the tables
-        made = sample.select("text").mapInArrow(run, "first binary, second binary").collect()
-        if made:
-            mean = lambda name, like: np.mean([np.frombuffer(r[name], np.float16).astype(np.float32).reshape(like.shape) for r in made], 0)
-            weights = Weights(mean("first", weights.first), mean("second", weights.second))
+                moved = [(new - old) * n[:, None] for new, old, n in zip((w.first, w.second), now.value, uses, strict=True)]
+                yield _sums(TaskContext.get().partitionId(), [*moved, *uses])
+
+        made = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).mapInArrow(run, SUMS)
+        left = shards
+        while left > FAN:
+            left = -(-left // FAN)
+            made = made.repartition(left, "shard").mapInArrow(_add, SUMS)
+        # at most FAN rows, each of the fixed size of the tables
+        for total in _add(iter(made.toArrow().to_batches())):
+            first, second, *uses = (np.frombuffer(c[0].as_buffer(), np.float32) for c in total.columns[1:])
+            one, two = (old + s.reshape(old.shape) / np.maximum(n, 1)[:, None] for old, s, n in zip((weights.first, weights.second), (first, second), uses, strict=True))
+            weights = Weights(one, two)
         now.unpersist()
     return weights
 
