@@ -103,7 +103,7 @@ class Join:
         self.spark = docs.sparkSession
 
     def rows(self) -> tuple[DataFrame, np.ndarray]:
-        """(id, n, cls) of each row, and which token buckets are crowded."""
+        """(id, key, n, cls) of each row, key a hash of its text, and which token buckets are crowded."""
         shingle = self.shingle
         id_type = self.docs.schema["id"].dataType
 
@@ -111,13 +111,13 @@ class Join:
             import pyarrow as pa
 
             sets, counts, seen = Shingles(shingle), np.zeros(BUCKETS, np.int64), set()
-            names = ["id", "n", "cls", "bucket", "many"]
+            names = ["id", "key", "n", "cls", "bucket", "many"]
             kind = None
             for batch in batches:
                 kind = batch.schema.field(0).type
                 n, cls = [], []
                 for at in range(0, batch.num_rows, ROWS):
-                    for s in sets.sets(batch.column(1).slice(at, ROWS).to_pylist()):
+                    for s in sets.sets(batch.column(2).slice(at, ROWS).to_pylist()):
                         n.append(len(s))
                         cls.append(set_id(s) if len(s) else None)
                         if len(s) and cls[-1] not in seen:
@@ -125,18 +125,18 @@ class Join:
                                 seen.add(cls[-1])
                             np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, none], names=names)
             if kind is not None:
                 (b,) = np.nonzero(counts)
                 none = pa.nulls(len(b), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), kind), none, none, pa.array(b.astype(np.int64)), pa.array(counts[b])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), kind), none, none, none, pa.array(b.astype(np.int64)), pa.array(counts[b])], names=names)
 
-        both = cut(self.docs.select("id", "text").mapInArrow(run, f"id {id_type.simpleString()}, n bigint, cls bigint, bucket bigint, many bigint"))
+        both = cut(self.docs.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {id_type.simpleString()}, key bigint, n bigint, cls bigint, bucket bigint, many bigint"))
         loads = np.zeros(BUCKETS)
         for r in both.where("bucket is not null").groupBy("bucket").agg(F.sum("many").alias("many")).collect():
             loads[r["bucket"]] = r["many"]
         usual = float(np.median(loads))
-        return both.where("bucket is null").select("id", "n", "cls"), loads > usual + 10 * np.sqrt(usual) + 50
+        return both.where("bucket is null").select("id", "key", "n", "cls"), loads > usual + 10 * np.sqrt(usual) + 50
 
     def index(self, crowded: np.ndarray) -> DataFrame:
         """(token, cls, n): the least tokens of each class, those of crowded buckets last."""
@@ -166,19 +166,23 @@ class Join:
         return self.docs.select("text").mapInArrow(run, "token bigint, cls bigint, n int")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(cls, tokens) of the classes in ``wanted`` (column cls, distinct)."""
+        """(cls, tokens) of the classes in ``wanted`` (column cls, distinct).
+
+        Few classes: only texts with the key of one of them are read by Python.
+        """
         shingle = self.shingle
-        few = wanted.count() <= BROADCAST
-        held = self.spark.sparkContext.broadcast({r[0] for r in wanted.collect()} if few else None)
+        keys = cut(wanted.join(self.classes.select("cls", "key"), "cls").select("key").distinct())
+        few = keys.count() <= BROADCAST
+        docs = self.docs.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), "key", "left_semi") if few else self.docs
 
         def make():
-            sets, seen, want = Shingles(shingle), set(), held.value
+            sets, seen = Shingles(shingle), set()
 
             def step(batch):
                 cls, tokens = [], []
                 for at in range(0, batch.num_rows, ROWS):
                     for s in sets.sets(batch.column(0).slice(at, ROWS).to_pylist()):
-                        if not len(s) or (c := set_id(s)) in seen or (want is not None and c not in want):
+                        if not len(s) or (c := set_id(s)) in seen:
                             continue
                         if len(seen) < CACHE:
                             seen.add(c)
@@ -188,10 +192,8 @@ class Join:
 
             return step
 
-        found = map_batches(self.docs.select("text"), "cls bigint, tokens array<bigint>", make)
-        if not few:
-            found = found.join(wanted, "cls", "left_semi")
-        return found.dropDuplicates(["cls"])
+        found = map_batches(docs.select("text"), "cls bigint, tokens array<bigint>", make)
+        return found.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b: classes) that link, by their whole sets."""
@@ -292,7 +294,7 @@ class Join:
     def run(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""
         rows, crowded = self.rows()
-        classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id")))
+        self.classes = classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key")))
         group = components(self.links(crowded)).withColumnRenamed("node", "cls")
         named = classes.join(group, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
