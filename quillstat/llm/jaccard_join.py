@@ -211,11 +211,11 @@ class Join:
         one, other = F.min("cls").over(_by("token")), F.max("cls").over(_by("token"))
         shared = cut(self.index(crowded).withColumn("one", one).withColumn("other", other).where("one <> other").select("token", "cls", "n"))
         # 1. groups: a class whose listed tokens are more widely shared is likelier to be near its copies
-        score = shared.groupBy("cls").agg((F.count("*") / F.first(_listed(F.col("n"), p))).alias("score"))
-        shared = cut(shared.join(score, "cls"))
+        score = if_small(cut(shared.groupBy("cls").agg((F.count("*") / F.first(_listed(F.col("n"), p))).alias("score"))), BROADCAST)
         group = first = None
         for turn in range(self.turns):
-            at = shared if group is None else shared.join(group.withColumnRenamed("node", "cls"), "cls", "left")
+            at = shared.join(score, "cls")
+            at = at if group is None else at.join(group.withColumnRenamed("node", "cls"), "cls", "left")
             at = at.withColumn("comp", F.col("cls") if group is None else F.coalesce("comp", "cls"))
             at = at.withColumn("best", F.max(F.struct("score", "cls", "n", "comp")).over(_by("token"))).where("comp <> best.comp")
             stars = at.groupBy("cls", "n", F.col("best.cls").alias("centre"), F.col("best.n").alias("m")).count()
