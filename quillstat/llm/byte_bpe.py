@@ -30,6 +30,7 @@ from quillstat.llm.common import map_batches
 CACHE = 300_000
 #: Rows handled together inside a task.
 ROWS = 256
+BATCH = 256  # rows whose ids a task holds as Python objects
 
 
 def byte_characters() -> list[str]:
@@ -169,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         return step
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return map_batches(source, ", ".join(x for x in (ddl, extra) if x), make)
+    return map_batches(source, ", ".join(x for x in (ddl, extra) if x), make, rows=BATCH)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -188,4 +189,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         return step
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return map_batches(source, f"{ddl}, `{out}` binary", make)
+    return map_batches(source, f"{ddl}, `{out}` binary", make, rows=BATCH)

@@ -74,11 +74,12 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with per-task state.
 
     ``make`` is called once a task and returns a function from a RecordBatch to
-    a dict of columns; ``schema`` is the DDL of the result.
+    a dict of columns; ``schema`` is the DDL of the result.  With ``rows``, batches
+    are handed over in slices of at most so many, to bound what Python holds.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,9 +90,11 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            columns = step(batch)
-            if columns is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
+            size = rows or max(batch.num_rows, 1)
+            for at in range(0, max(batch.num_rows, 1), size):
+                columns = step(batch.slice(at, size))
+                if columns is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
