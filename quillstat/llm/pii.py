@@ -6,7 +6,9 @@ Feistel network over the digits of one format, which keeps different numbers
 different; letters keep their case and script; a name keeps the gender of its
 title and its script; card numbers keep their checksum.  An entity gets one
 surrogate wherever it occurs, also when it is written with other punctuation or
-case.
+case: surrogates are computed from the form that entities are compared in, and
+written in the format of each occurrence.  Phone numbers keep their country code,
+which is told from the digits.
 
 A check over all distinct entities finds surrogates that two entities share or
 that are themselves real entities; those entities are keyed anew until no
@@ -115,8 +117,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + b) % 10
 
 
+#: Country codes at the start of a number that begins with '+'; those not listed have three digits.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _letters(e: Column, seed: Column, hexadecimal: bool = False) -> Column:
-    """Each letter and digit of ``e`` replaced by a keyed one of the same case."""
+    """Each letter and digit of ``e`` replaced by a keyed one of the same case; hexadecimal digits by those in lower case."""
     stream = F.concat(*(F.sha2(F.concat_ws("|", seed, F.lit(str(b))).cast("binary"), 256) for b in range(4)))
 
     def one(s):
@@ -124,7 +130,7 @@ def _letters(e: Column, seed: Column, hexadecimal: bool = False) -> Column:
             r = F.conv(F.substring(s, (i % 63) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 63).cast("int")
             at = lambda alphabet: F.substring(F.lit(alphabet), r % len(alphabet) + 1, F.lit(1))
             if hexadecimal:
-                return F.when(c.rlike("^[A-F]$"), at("ABCDEF")).when(c.rlike("^[0-9a-f]$"), at("0123456789abcdef")).otherwise(c)
+                return at("0123456789abcdef")
             return F.when(c.rlike("^[a-z]$"), at("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("^[A-Z]$"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike("^[0-9]$"), at("0123456789")).otherwise(c)
 
         return F.array_join(F.transform(F.split(e, ""), pick), "")
@@ -166,16 +172,22 @@ def _name(e: Column, seed: Column, tries: Column) -> Column:
     return F.concat(title, out)
 
 
-def surrogate(e: Column, key: str, tries: Column) -> Column:
-    """The replacement of entity ``e`` under ``key``, at the given try."""
+def surrogate(e: Column, key: str, tries: Column, known: Column | None = None) -> Column:
+    """The replacement of entity ``e`` under ``key``, at the given try.
+
+    ``known`` is the type of ``e`` where ``e`` is a canonical value, from which the
+    type cannot be told; the canonical form of the result is the same for both.
+    """
 
     def of(k):
-        seed = F.concat_ws("|", F.lit(key), k, canonical(e, k), tries.cast("string"))
+        value = canonical(e, k)
+        seed = F.concat_ws("|", F.lit(key), k, value, tries.cast("string"))
         tweak = F.concat_ws("|", F.lit(key), k, tries.cast("string"))  # of permutations: the same for all of a type
         digits = F.regexp_replace(e, "[^0-9]", "")
-        country = F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-        plain = F.regexp_replace(F.substring(e, F.length(country) + 1, F.length(e)), "[^0-9]", "")
-        phone = F.concat(country, _refill(F.substring(e, F.length(country) + 1, F.length(e)), _permuted(plain, F.concat_ws("|", tweak, F.regexp_replace(country, "[^0-9]", "")))))
+        country = F.substring(F.regexp_extract(value, _COUNTRY, 0), 2, 3)
+        plain = F.substring(digits, F.length(country) + 1, F.length(digits))
+        phone = _refill(e, F.concat(country, _permuted(plain, F.concat_ws("|", tweak, country))))
+        hexes = _letters(value, seed, hexadecimal=True)
         n = F.length(digits)
         body = lambda last: F.concat(F.substring(digits, 1, 1), _permuted(F.substring(digits, F.lit(2), n - last), F.concat_ws("|", tweak, F.lit(str(last)))))
         valid = _let(body(2), lambda b: F.concat(b, F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
@@ -194,13 +206,13 @@ def surrogate(e: Column, key: str, tries: Column) -> Column:
             .when(k == "ssn", _refill(e, _permuted(digits, tweak)))
             .when(k == "ip", ip)
             .when(k == "access_key", F.concat(F.lit("AKIA"), _letters(F.substring(e, 5, 16), seed)))
-            .when(k == "hex_key", _letters(e, seed, hexadecimal=True))
+            .when(k == "hex_key", F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(hexes)).otherwise(hexes))
             .when(k == "iban", F.concat(F.substring(e, 1, 2), _refill(F.substring(e, F.lit(3), F.length(e)), _letters(F.regexp_replace(e, "[^0-9]", ""), seed))))
             .when(k == "name", _name(e, seed, tries))
             .otherwise(_letters(e, seed))
         )
 
-    return _let(kind(e), of)
+    return _let(kind(e) if known is None else known, of)
 
 
 def entities(text: Column) -> Column:
@@ -216,7 +228,7 @@ def collisions(docs: DataFrame, key: str, text: str = "text", most: int = 50) ->
     given = None
     waiting = real
     for tries in range(most):
-        made = waiting.select("kind", "value", surrogate(F.col("value"), key, F.lit(tries)).alias("s"))
+        made = waiting.select("kind", "value", surrogate(F.col("value"), key, F.lit(tries), F.col("kind")).alias("s"))
         made = made.select("kind", "value", canonical(F.col("s"), F.col("kind")).alias("s"))
         taken = real.select("kind", F.col("value").alias("s"), F.lit(None).cast("string").alias("value"))
         if given is not None:

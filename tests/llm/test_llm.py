@@ -341,6 +341,27 @@ def test_surrogates_do_not_collide(spark):
     assert len({p[1] for p in pairs}) == len(numbers)
 
 
+FORMS = ["123-45-6789", "(504) 555-2652", "504 555 2653", "+1 (504) 555-2652", "+15045552654", "+44 20 7946 0958", "+352 621 123 456", "0641917ea4e9feb9cda83477b57ac2654884f485", "0641917EA4E9FEB9CDA83477B57AC2654884F486", "4041894974608795", "ann.lee@mail.example.com"]
+
+
+def test_written_surrogates_are_not_real_entities(spark):
+    # the first choice for each entity is another person's real entity
+    written = [r["s"] for r in frame(spark, FORMS).select("doc_id", pii.surrogate(F.col("text"), "key", F.lit(0)).alias("s")).orderBy("doc_id").collect()]
+    real = FORMS + written
+    out = [r["text"] for r in pii.replace(frame(spark, [f"of {e} ." for e in real]), "key").orderBy("doc_id").collect()]
+    new = [t[3:-2] for t in out]
+    assert not {e.lower() for e in new} & {e.lower() for e in real} and len({*new}) == len(real)
+
+
+def test_other_forms_get_the_same_surrogate(spark):
+    same = [["+1 (504) 555-2652", "+15045552652", "+1-504-555-2652"], ["0641917ea4e9feb9cda83477b57ac2654884f485", "0641917EA4E9FEB9CDA83477B57AC2654884F485"]]
+    for forms in same:
+        new = [r["s"] for r in frame(spark, forms).select("doc_id", pii.surrogate(F.col("text"), "key", F.lit(0)).alias("s")).orderBy("doc_id").collect()]
+        assert len({re.sub("[^0-9a-f+]", "", e.lower()) for e in new}) == 1
+        assert [re.sub("[0-9A-Fa-f]", "", e) for e in new] == [re.sub("[0-9A-Fa-f]", "", e) for e in forms]
+        assert [e.isupper() for e in new] == [e.isupper() for e in forms]
+
+
 # 6
 
 
