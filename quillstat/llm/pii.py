@@ -49,7 +49,7 @@ _KEYWORD = r"(?i:token|secret|password|passwd|pwd|api_?key|access_?key|auth)"
 #: Patterns by type; where several match at one place, the first does.
 PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex_key": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])",
+    "hex_key": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -57,11 +57,11 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": r"(?<![\p{L}])(?:" + "|".join(t for x in _TITLES.values() for t in x) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
-    "secret": r"(?<=" + _KEYWORD + r"\"? {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,200}(?=[\"'])",
+    "secret": r"(?<=" + _KEYWORD + r"\"? {0,2}[=:] {0,2}[\"'])[^\"'\s]++(?=[\"'])",
 }
 ANY = "|".join(PATTERNS.values())
 #: A quick test that holds for every text with an entity.
-_HINT = r"[0-9@]|" + _KEYWORD + r"\"? {0,2}[=:]|(?:" + "|".join(t for x in _TITLES.values() for t in x) + r")\.? \p{Lu}"
+_HINT = r"[0-9@]|AKIA[A-Z]{16}|[a-fA-F]{32}|" + _KEYWORD + r"\"? {0,2}[=:]|(?:" + "|".join(t for x in _TITLES.values() for t in x) + r")\.? \p{Lu}"
 
 
 def _let(value: Column, body) -> Column:
@@ -152,6 +152,12 @@ def _pick(options: list[str], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, options)), (n % len(options)).cast("int"))
 
 
+def _secret(e: Column, seed: Column) -> Column:
+    """Letters and digits replaced; secrets with few of them are lengthened, or too few would be there for all."""
+    few = F.length(F.regexp_replace(e, "[^A-Za-z0-9]", "")) < 6
+    return _letters(F.when(few, F.concat(e, F.lit("x" * 12))).otherwise(e), seed)
+
+
 def _name(e: Column, seed: Column, tries: Column) -> Column:
     title = F.regexp_extract(e, r"^\p{L}+\.? ", 0)
     bare = F.regexp_extract(e, r"^\p{L}+", 0)
@@ -209,7 +215,7 @@ def surrogate(e: Column, key: str, tries: Column, known: Column | None = None) -
             .when(k == "hex_key", F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(hexes)).otherwise(hexes))
             .when(k == "iban", F.concat(F.substring(e, 1, 2), _refill(F.substring(e, F.lit(3), F.length(e)), _letters(F.regexp_replace(e, "[^0-9]", ""), seed))))
             .when(k == "name", _name(e, seed, tries))
-            .otherwise(_letters(e, seed))
+            .otherwise(_secret(e, seed))
         )
 
     return _let(kind(e) if known is None else known, of)

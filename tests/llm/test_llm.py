@@ -362,6 +362,19 @@ def test_other_forms_get_the_same_surrogate(spark):
         assert [e.isupper() for e in new] == [e.isupper() for e in forms]
 
 
+def test_long_and_short_secrets(spark):
+    long = [f'token = "{c * n}"' for c, n in [("aB3-", 50), ("aB3_", 51), ("eyJ.", 60), ("qW", 5000)]]
+    short = [f"pwd: '{e}'" for e in ["a", "b", "***", "x1y2z", "пароль"]]
+    keys = ["deadbeef" * 4, "ABCDEFAB" * 4, "ab" * 33, "0a" * 64, "AKIA" + "ABCDEFGH" * 2]
+    texts = long + short + [f"Key {k} here" for k in keys]
+    secrets = [t.split('"')[1] for t in long] + [t.split("'")[1] for t in short] + keys
+    rows = pii.replace(frame(spark, texts), "key").orderBy("doc_id").collect()
+    new = [r["text"][t.index(e) : len(r["text"]) - (len(t) - t.index(e) - len(e))] for r, t, e in zip(rows, texts, secrets, strict=True)]
+    assert all(r["n_entities"] == 1 for r in rows)
+    assert not {*new} & {*secrets} and len({*new}) == len(secrets)
+    assert all(len(n) == len(e) for n, e in zip(new, secrets, strict=True) if len(e) >= 32)
+
+
 # 6
 
 
