@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  Documents with a null or repeated id
-are judged row by row; those without an id are never near-duplicates of others
-in name, so all of them stay in the second stage unless their text is a copy.
+are judged row by row; in the second stage those without an id come last, so
+they stay only if no near-duplicate of theirs has an id.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
+    """One document, that of the least id, of each group of near-duplicates; documents without words stay."""
     return keep_one(docs, shingle=5, percent=75)
 
 

@@ -318,12 +318,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return Join(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), **how).run().withColumnRenamed("id", doc_id)
 
 
+def _row(docs: DataFrame, doc_id: str):
+    """A key of each row, ordered by id with nulls last; only rows with the same values share one."""
+    return F.struct(F.col(f"`{doc_id}`").isNull().alias("no_id"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))).alias("hash"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each component: those whose id names it.
+    """One row of each component, that of the least id; nulls are last, and rows of one id go by a hash of their values.
 
-    Rows without an id and rows that repeat an id stay if that id names their
-    component, or none does.
+    Of rows with the same values in all columns any one stays.  Rows without words
+    are in no component, so all of them stay.
     """
-    found = near_duplicates(docs, doc_id, text, **how)
-    others = cut(found.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct())
-    return docs.join(if_small(others, BROADCAST), doc_id, "left_anti")
+    row = _row(docs, doc_id)
+    found = cut(near_duplicates(docs.select(row.alias("__row"), F.col(f"`{text}`").alias("text")), "__row", "text", **how))
+    others = cut(found.where(F.col("__row") != F.col("component_id")).select("__row").distinct())
+    again = cut(found.where((F.col("n_shingles") > 0) & (F.col("__row") == F.col("component_id"))).groupBy("__row").count().where("count > 1").select("__row"))
+    docs = docs.withColumn("__row", row).join(if_small(others, BROADCAST), "__row", "left_anti")
+    if again.isEmpty():
+        return docs.drop("__row")
+    again = if_small(again, BROADCAST)
+    single = docs.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+    return docs.join(again, "__row", "left_anti").unionByName(single).drop("__row")

@@ -296,6 +296,19 @@ def test_jaccard_join_beyond_what_is_broadcast(spark, monkeypatch):
     assert {r["doc_id"] for r in jaccard_join.keep_one(frame(spark, texts)).collect()} == set(comp)
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    x, y, z = (prose(rng, 80) for _ in range(3))
+    near_x, near_y = x + " more", y + " more"
+    rows = [(3, x), (5, near_x), (3, y), (1, near_y), (8, z), (8, z), (9, "alone here"), (None, x), (None, "other null words"), (None, "other null words"), (7, None), (7, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k % 2) for k, (i, t) in enumerate(rows)], "doc_id long, text string, other int")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect()), key=str)
+    want = [(3, x), (1, near_y), (8, z), (9, "alone here"), (None, "other null words"), (7, None), (7, None), (None, None)]
+    assert got == sorted(want, key=str)
+    same = spark.createDataFrame([(4, z, 1)] * 5 + [(None, y, 1)] * 3, docs.schema)
+    assert sorted(r["text"] for r in jaccard_join.keep_one(same.repartition(4)).collect()) == sorted([z, y])
+
+
 # 5
 
 
