@@ -7,6 +7,7 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,18 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable], rows:
     return df.mapInArrow(run, schema)
 
 
+def portions(texts, rows: int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of an Arrow column, cut so that a list holds at most so many rows and bytes; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + chars, "right"))))
+        yield at, texts.slice(at, to - at).to_pylist()
+        at, before = to, ends[to - 1]
+
+
 def columns_with(df: DataFrame, text: str, extra: str) -> tuple[list[str], str]:
     """The columns a row-wise operator passes on, and the DDL with ``extra`` appended.
 

@@ -12,9 +12,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SHORT = 48
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], endings: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of the words of ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, in order; and how many each text has.
 
+    With ``endings``, also the last two bytes of each word as a number.
+
     The bytes of the texts are one array; the hashes of all words take in their
     first bytes, then their second ones, and so on.
     """
@@ -41,4 +43,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty_like(h)
     out[order] = h * np.uint64(0x9E3779B97F4A7C15)
     firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return out, np.diff(np.searchsorted(starts, firsts))
+    counts = np.diff(np.searchsorted(starts, firsts))
+    if not endings:
+        return out, counts
+    return out, counts, a[ends - 1] + 256 * np.where(sizes > 1, a[ends - 2], 0).astype(np.int32)
