@@ -1,45 +1,44 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 Texts and templates are lower-cased words of letters and digits; a shingle is
-three of them.  For each class of template lengths, windows a quarter longer
-than the class's greatest length start at every quarter of it, so that every
-occurrence of a template lies whole in some window.  A window and a template of
-its class are a candidate if they agree in any of ``bands`` minimum hashes; the
-share of the template's shingles that the window holds then decides.  A whole
-template is at least two fifths of its window's union, so 24 bands of one row
-miss it with a probability under 0.6 ** 24, which is 5e-6; one that holds
-``percent`` = 80 is missed with a probability under 0.7 ** 24, 2e-4.
-
-Everything is DataFrame expressions within a row.  Documents that share no
-shingle with any template are left out before any window is made, which loses
-nothing.  Templates come in blocks of ``block``, so the literal tables that the
-plan carries stay small for any number of templates.
+three of them.  Templates are classed by their number of shingles, the powers of
+two from 1 on being the classes' greatest ones.  For a class of ``size``, windows
+start at every quarter of it (each shingle, in small classes) and are as much
+longer as an occurrence at any place needs to lie whole in some window.  A
+window and a template of its class are a candidate if they agree in any of
+``bands`` minimum hashes; the share of the template's shingles that the window
+holds then decides.
+
+What the bands guarantee: of a window that holds a template of m shingles whole
+the template is at least m in ``size + size / 4 - 1``, and m is over half of
+``size``: a share of 1 in classes of 1 and 2 shingles, 3/4 in that of 4, 5/9 in
+that of 8, and over 2/5 in any.  24 bands of one row then miss it with a probability
+under 0.6 ** 24, which is 5e-6; a window that holds ``percent`` = 80 of it has a share
+over 0.29 and is missed with one under 0.71 ** 24, 3e-4.
+
+Everything is DataFrame expressions within a row, one column of them, so a later
+filter on the result stays a small plan.  Texts that share no shingle with any
+template are left out before any window is made, which loses nothing.
 
 Defined results: null, empty and short texts hold no template; repeated rows
 repeat their result; templates under three words are one shingle of their words
-and are found as such; an empty table gives an empty result; input columns named
-as a result column are replaced.
+and are found where a text is just these words; templates without words are never
+found; of several windows with the greatest share the first counts; a very long
+text takes memory of some times its size; an empty table gives an empty result;
+input columns named as a result column are replaced.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE = 3
+from quillstat.llm.license_texts import TEMPLATES
 
-#: Notices by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "proprietary": "All rights reserved",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+SHINGLE = 3
+FOUND = "array<struct<name:string,word:int,percent:double>>"
 
 
 def _words(text: Column) -> Column:
@@ -47,10 +46,19 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _shingles(words: Column) -> Column:
     """Hashes of every three neighbouring words; fewer words are one shingle."""
-    every = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(SHINGLE))))
-    return F.when(F.size(words) >= SHINGLE, every).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w):
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(SHINGLE))))
+        return F.when(F.size(w) >= SHINGLE, every).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(words, of)
 
 
 def _least(shingles: Column, band: int) -> Column:
@@ -62,40 +70,60 @@ def _signature(shingles: Column, size: int, bands: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(size), F.lit(b), _least(shingles, b)) for b in range(bands)))
 
 
-def prepare(spark: SparkSession, templates: dict[str, str], bands: int) -> list[dict]:
-    """Distinct shingles, length class and signature of each template, from the same expressions as the texts'."""
+def prepare(spark: SparkSession, templates: dict[str, str], bands: int) -> dict[int, list[dict]]:
+    """By class: name, distinct shingles and signature of each template, from the same expressions as the texts'."""
     rows = spark.createDataFrame([(k, v) for k, v in sorted(templates.items())], "name string, text string")
-    rows = rows.select("name", F.array_distinct(_shingles(_words(F.col("text")))).alias("s"), F.size(_shingles(_words(F.col("text")))).alias("m"))
-    sized = rows.where("m > 0").withColumn("size", F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2("m")))).cast("int"))
-    out = []
-    for size in sorted(r[0] for r in sized.select("size").distinct().collect()):
-        out += [r.asDict() for r in sized.where(F.col("size") == size).select("name", "s", "size", _signature(F.col("s"), size, bands).alias("keys")).collect()]
+    rows = rows.select("name", F.array_distinct(_shingles(_words(F.col("text")))).alias("s")).where("size(s) > 0")
+    rows = rows.withColumn("size", F.pow(F.lit(2), F.ceil(F.log2(F.size("s")))).cast("int"))
+    out: dict[int, list[dict]] = {}
+    for size in sorted(r[0] for r in rows.select("size").distinct().collect()):
+        out[size] = [r.asDict() for r in rows.where(F.col("size") == size).select("name", "s", _signature(F.col("s"), size, bands).alias("keys")).orderBy("name").collect()]
     return out
 
 
-def _longs(values) -> Column:
-    return F.expr("array(" + ", ".join(f"{v}L" if v > -(2**63) else "long('-9223372036854775808')" for v in values) + ")")
+def _table(values, kind: str) -> Column:
+    """A constant of any size as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def steps(size: int) -> tuple[int, int]:
+    """How far apart the windows of a class start, and how long they are."""
+    step = max(size // 4, 1)
+    return step, size + step - 1
 
 
 def _windows(h: Column, size: int, bands: int) -> Column:
     """Array of the windows of a length class: first word, shingles and signature."""
-    step, length = size // 4, size + size // 4
+    step, length = steps(size)
     starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(step))
     windows = F.transform(starts, lambda i: F.struct(i.alias("word"), F.slice(h, i + 1, length).alias("s")))
     return F.transform(windows, lambda w: F.struct(w["word"].alias("word"), w["s"].alias("s"), _signature(w["s"], size, bands).alias("keys")))
 
 
-def _agreeing(windows: Column, keys: Column) -> Column:
-    return F.filter(windows, lambda w: F.arrays_overlap(w["keys"], keys))
+def _of_class(h: Column, size: int, own: list[dict], bands: int, percent: int) -> Column:
+    """Array of (name, word, percent) of the templates of a class that some window holds."""
+    keys = _table(sorted({k for t in own for k in t["keys"]}), "array<bigint>")
+    table = _table(own, "array<struct<name:string,s:array<bigint>,keys:array<bigint>>>")
+
+    def best(near, t):
+        shares = F.transform(F.filter(near, lambda w: F.arrays_overlap(w["keys"], t["keys"])), lambda w: F.struct((100.0 * F.size(F.array_intersect(t["s"], w["s"])) / F.size(t["s"])).alias("percent"), (-w["word"]).alias("back")))
+        return _let(F.array_max(shares), lambda b: F.struct(t["name"].alias("name"), (-b["back"]).cast("int").alias("word"), b["percent"].alias("percent")))
+
+    # first the windows that agree with any template in any band
+    near = F.filter(_windows(h, size, bands), lambda w: F.arrays_overlap(w["keys"], keys))
+    return _let(near, lambda c: F.when(F.size(c) > 0, F.filter(F.transform(table, lambda t: best(c, t)), lambda x: x["percent"] >= percent)).otherwise(F.array().cast(FOUND)))
 
 
-def _shares(windows: Column, shingles: list[int]) -> Column:
-    """The percentage of the template's shingles in each window, and its first word negated."""
-    its = _longs(shingles)
-    return F.transform(windows, lambda w: F.struct((100.0 * F.size(F.array_intersect(its, w["s"])) / len(shingles)).alias("percent"), (-w["word"]).alias("back")))
+def licenses(text: Column, ready: dict[int, list[dict]], bands: int, percent: int) -> Column:
+    """Sorted array of (name, word, percent) of the prepared templates that ``text`` holds."""
+    none = F.array().cast(FOUND)
+    if not ready:
+        return none
+    every = _table(sorted({x for own in ready.values() for t in own for x in t["s"]}), "array<bigint>")
+    return _let(_shingles(_words(text)), lambda h: F.when(F.arrays_overlap(h, every), F.array_sort(F.concat(*(_of_class(h, size, own, bands, percent) for size, own in ready.items())))).otherwise(none))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", percent: int = 80, bands: int = 24, block: int = 100) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", percent: int = 80, bands: int = 24) -> DataFrame:
     """``docs`` with ``licenses``: array of (name, word, percent) of the templates that ``text`` holds.
 
     ``word`` is the first word of the window with the largest share, ``percent``
@@ -103,22 +131,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     """
     ready = prepare(docs.sparkSession, TEMPLATES if templates is None else templates, bands)
     keep = [c for c in docs.columns if c.lower() != "licenses"]
-    df = docs.select(*(F.col(f"`{c}`") for c in keep), _words(F.col(f"`{text}`")).alias("__w"))
-    df = df.select(*(F.col(f"`{c}`") for c in keep), _shingles(F.col("__w")).alias("__h"))
-    none = F.array().cast("array<struct<name:string,word:int,percent:double>>")
-    df = df.withColumn("__found", none)
-    h = F.col("__h")
-    for at in range(0, len(ready), block):
-        part = ready[at : at + block]
-        df = df.withColumn("__near", F.arrays_overlap(h, _longs(sorted({x for t in part for x in t["s"]}))))
-        for size in sorted({t["size"] for t in part}):
-            own = [t for t in part if t["size"] == size]
-            keys = _longs(sorted({k for t in own for k in t["keys"]}))
-            # the windows that agree with some template in some band
-            df = df.withColumn("__c", F.when(F.col("__near"), _agreeing(_windows(h, size, bands), keys)))
-            for t in own:
-                df = df.withColumn("__best", F.array_max(_shares(_agreeing(F.col("__c"), _longs(t["keys"])), t["s"])))
-                hit = F.col("__best.percent") >= percent
-                new = F.array(F.struct(F.lit(t["name"]).alias("name"), (-F.col("__best.back")).cast("int").alias("word"), F.col("__best.percent").alias("percent")))
-                df = df.withColumn("__found", F.when(F.coalesce(hit, F.lit(False)), F.concat("__found", new)).otherwise(F.col("__found")))
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.array_sort("__found").alias("licenses"))
+    return docs.select(*(F.col(f"`{c}`") for c in keep), licenses(F.col(f"`{text}`"), ready, bands, percent).alias("licenses"))

@@ -59,7 +59,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs).select("doc_id", "licenses")
-    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.name", ",").alias("licenses"))
+    place = F.transform("licenses", lambda x: F.concat(x["name"], F.lit("@"), x["word"].cast("string"), F.lit(":"), F.round(x["percent"]).cast("int").cast("string")))
+    names = F.array_distinct(F.transform("licenses", lambda x: F.substring_index(x["name"], "#", 1)))
+    return found.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(place, ",").alias("places"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
