@@ -3,21 +3,28 @@
 Detected entities (addresses, numbers, keys, titled names) are replaced by
 keyed surrogates of the same type and format.  Digits are permuted by a keyed
 Feistel network over the digits of one format, which keeps different numbers
-different; letters keep their case and script; a name keeps the gender of its
-title and its script; card numbers keep their checksum.  An entity gets one
-surrogate wherever it occurs, also when it is written with other punctuation or
-case: surrogates are computed from the form that entities are compared in, and
-written in the format of each occurrence.  Phone numbers keep their country code,
-which is told from the digits.
-
-A check over all distinct entities finds surrogates that two entities share or
-that are themselves real entities; those entities are keyed anew until no
-collision is left, and the documents that hold them are rewritten with the new
-choice.
-
-Defined results: null texts stay null; texts without entities stay as they are;
-repeated rows are rewritten alike; an empty table gives an empty result; other
-columns pass through, replaced where they are named as a result column.
+different; letters keep their script; a given name keeps the gender of its title;
+card numbers and IBANs keep valid check digits.
+
+An entity is compared in one form, its *value*: without case, spacing and
+punctuation, of a phone number without country code and leading zeros, of a name
+its given name and its family name, each a value of its own.  The surrogate is made
+from the value alone and then written in the format of each occurrence, so every
+way of writing an entity gets the same one: "Mr. John Smith", "Mr John Smith",
+"Mr Smith" and, in the same text, "John Smith" and "Smith" without a title.
+
+A check over all distinct values finds surrogates that two values share or that
+are themselves real values; those values are keyed anew until no collision is left,
+and the documents that hold them are written with the new choice.
+
+Texts are searched once: a checkpoint keeps them with their entities marked, for
+the check and for the writing.
+
+Defined results: null texts stay null; texts without entities stay as they are,
+empty ones and those with control characters too; repeated rows are rewritten
+alike; names without any title in their text are not found; a very long text is
+rewritten whole, in memory of some times its size; an empty table gives an empty
+result; other columns pass through, replaced where they are named as a result column.
 """
 
 from __future__ import annotations
@@ -30,7 +37,9 @@ from quillstat.llm.common import cut, if_small
 _TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "Κυρία"],
     "m": ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"],
+    "": ["Dr", "Prof", "Professor", "Professora", "Доктор"],
 }
+_TITLE = "(?:" + "|".join(t for x in _TITLES.values() for t in x) + r")\.?"
 _NAMES = {
     ("f", "latin"): ["Ada", "Bea", "Cora", "Dina", "Elsa", "Flora", "Greta", "Hilda", "Ines", "Julia", "Klara", "Lena", "Mara", "Nora", "Olga", "Petra"],
     ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivo", "Jonas", "Karl", "Leo", "Max", "Nils", "Oskar", "Paul"],
@@ -56,12 +65,12 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": r"(?<![\p{L}])(?:" + "|".join(t for x in _TITLES.values() for t in x) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
+    "name": r"(?<![\p{L}])" + _TITLE + "(?: " + _TITLE + r")* \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
     "secret": r"(?<=" + _KEYWORD + r"\"? {0,2}[=:] {0,2}[\"'])[^\"'\s]++(?=[\"'])",
 }
 ANY = "|".join(PATTERNS.values())
 #: A quick test that holds for every text with an entity.
-_HINT = r"[0-9@]|AKIA[A-Z]{16}|[a-fA-F]{32}|" + _KEYWORD + r"\"? {0,2}[=:]|(?:" + "|".join(t for x in _TITLES.values() for t in x) + r")\.? \p{Lu}"
+_HINT = r"[0-9@]|AKIA[A-Z]{16}|[a-fA-F]{32}|" + _KEYWORD + r"\"? {0,2}[=:]|" + _TITLE + r" \p{Lu}"
 
 
 def _let(value: Column, body) -> Column:
@@ -77,10 +86,40 @@ def kind(e: Column) -> Column:
     return out
 
 
-def canonical(e: Column, k: Column) -> Column:
-    """How an entity is written for comparison."""
-    digits = F.regexp_replace(e, "[^0-9+]", "")
-    return F.when(k.isin("email", "hex_key"), F.lower(e)).when(k.isin("phone", "card", "ssn"), digits).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
+#: Country codes at the start of a number that begins with '+'; those not listed have three digits.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def value_of(e: Column, k: Column) -> Column:
+    """The form in which entities of all types but names are compared."""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    national = F.regexp_replace(e, _COUNTRY, "")
+    number = F.regexp_replace(national, "[^0-9]", "")
+    short = F.regexp_replace(number, "^0+", "")
+    return (
+        F.when(k.isin("email", "hex_key"), F.lower(e))
+        .when(k == "phone", F.when(F.length(short) >= 4, short).otherwise(number))
+        .when(k.isin("card", "ssn"), digits)
+        .when(k == "iban", F.replace(e, F.lit(" "), F.lit("")))
+        .otherwise(e)
+    )
+
+
+def _person(e: Column) -> Column:
+    """Of a titled name: gender by the titles, given name (empty if there is none) and family name."""
+    words = F.split(F.regexp_replace(e, "^(?:" + _TITLE + " )+", ""), " ")
+    titled = lambda g: e.rlike(r"^(?:" + _TITLE + r" )*?(?:" + "|".join(_TITLES[g]) + r")\.? ")
+    given = F.when(F.size(words) > 1, F.get(words, F.lit(0))).otherwise("")
+    # a title that tells no gender: by the name's ending
+    gender = F.when(titled("f"), "f").when(titled("m"), "m").when(given.rlike("(?:[aаяαηώ]|[^aeiou]e)$"), "f").otherwise("m")
+    return F.struct(gender.alias("gender"), given.alias("given"), F.element_at(words, -1).alias("family"))
+
+
+def units(e: Column, k: Column) -> Column:
+    """Array of (kind, value): what is compared of an entity, a name's given and family name apart."""
+    part = lambda kind_, value: F.struct(kind_.alias("kind"), value.alias("value"))
+    names = _let(_person(e), lambda p: F.filter(F.array(part(F.lit("family"), F.lower(p["family"])), part(F.concat(F.lit("given_"), p["gender"]), F.lower(p["given"]))), lambda u: u["value"] != ""))
+    return F.when(k == "name", names).otherwise(F.array(part(k, value_of(e, k))))
 
 
 def _number(seed: Column) -> Column:
@@ -105,10 +144,10 @@ def _permuted(digits: Column, seed: Column) -> Column:
     return F.when(n >= 2, whole(digits)).when(n == 1, F.pmod(digits.cast("int") + _number(F.concat_ws("|", seed, F.lit("1"))), F.lit(10)).cast("string")).otherwise("")
 
 
-def _refill(e: Column, digits: Column) -> Column:
-    """``e`` with its digits replaced by ``digits``, in order."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9]", ""))
-    return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+def _refill(e: Column, chars: Column, kind_: str = "[0-9]") -> Column:
+    """``e`` with its characters of a kind (digits) replaced by ``chars``, in order."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), kind_.replace("[", "[^"), ""))
+    return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike(f"^{kind_}$"), F.substring(chars, place(i), F.lit(1))).otherwise(c)), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -117,10 +156,6 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + b) % 10
 
 
-#: Country codes at the start of a number that begins with '+'; those not listed have three digits.
-_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
-
-
 def _letters(e: Column, seed: Column, hexadecimal: bool = False) -> Column:
     """Each letter and digit of ``e`` replaced by a keyed one of the same case; hexadecimal digits by those in lower case."""
     stream = F.concat(*(F.sha2(F.concat_ws("|", seed, F.lit(str(b))).cast("binary"), 256) for b in range(4)))
@@ -158,84 +193,140 @@ def _secret(e: Column, seed: Column) -> Column:
     return _letters(F.when(few, F.concat(e, F.lit("x" * 12))).otherwise(e), seed)
 
 
-def _name(e: Column, seed: Column, tries: Column) -> Column:
-    title = F.regexp_extract(e, r"^\p{L}+\.? ", 0)
-    bare = F.regexp_extract(e, r"^\p{L}+", 0)
-    words = F.size(F.split(e, " "))
-    script = F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").when(e.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    r = lambda j: _number(F.concat_ws("|", seed, F.lit(str(j))))
+_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _iban(value: Column, seed: Column) -> Column:
+    """Country kept, account replaced, check digits that are right (the number in base 97 leaves 1)."""
+
+    def checked(account):
+        digits = F.transform(F.split(F.concat(account, F.substring(value, 1, 2), F.lit("00")), ""), lambda c: F.instr(F.lit(_ALNUM), c) - 1)
+        left = F.aggregate(digits, F.lit(0), lambda a, d: (a * F.when(d > 9, 100).otherwise(10) + d) % 97)
+        return F.concat(F.substring(value, 1, 2), F.lpad((98 - left).cast("string"), 2, "0"), account)
 
-    def family(s):
-        count = F.lit(2) + F.least(tries, F.lit(8))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: _pick(_SYLLABLES[s], _number(F.concat_ws("|", seed, F.lit("s"), i.cast("string"))))), ""))
+    return _let(_letters(F.substring(value, F.lit(5), F.length(value)), seed), checked)
 
-    def given(s):
-        return F.when(bare.isin(_TITLES["f"]), _pick(_NAMES["f", s], r("g"))).otherwise(_pick(_NAMES["m", s], r("g")))
+
+def _name(value: Column, gender: str | None, seed: Column, tries: Column) -> Column:
+    """A family name, or a given name of a gender, of the script of ``value``; at later tries there are more of them."""
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    r = lambda j: _number(F.concat_ws("|", seed, F.lit(j)))
+    endings = {"f": {"latin": "na", "cyrillic": "на", "greek": "να"}, "m": {"latin": "nor", "cyrillic": "нор", "greek": "νορ"}}
+
+    def made(s, least):
+        count = F.lit(least) + F.least(tries, F.lit(8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: _pick(_SYLLABLES[s], _number(F.concat_ws("|", seed, F.lit("s"), i.cast("string"))))), "")
 
     out = F.lit(None).cast("string")
     for s in _SYLLABLES:
-        out = F.when(script == s, F.when(words > 2, F.concat(given(s), F.lit(" "), family(s))).otherwise(family(s))).otherwise(out)
-    return F.concat(title, out)
+        if gender is None:
+            own = made(s, 2)
+        else:
+            names = _NAMES[gender, s]
+            own = F.when(tries == 0, _pick(names, r("g"))).otherwise(F.concat(made(s, 0), F.lit(endings[gender][s])))
+        out = F.when(script == s, own).otherwise(out)
+    return F.lower(out)
+
+
+def core(k: Column, value: Column, key: str, tries: Column) -> Column:
+    """The surrogate of a value, itself a value, under ``key`` and at the given try."""
+    seed = F.concat_ws("|", F.lit(key), k, value, tries.cast("string"))
+    tweak = F.concat_ws("|", F.lit(key), k, tries.cast("string"))  # of permutations: the same for all of a type
+    n = F.length(value)
+    rest = F.substring(value, F.lit(2), n)
+    # the first digit stays one from 1 to 9, whatever the others become
+    first = lambda d: F.concat((F.pmod(F.substring(value, 1, 1).cast("int") - 1 + _number(F.concat_ws("|", tweak, d)), F.lit(9)) + 1).cast("string"), d)
+    phone = F.when(value.startswith("0"), _permuted(value, tweak)).otherwise(_let(_permuted(rest, tweak), first))
+    body = lambda last: F.concat(F.substring(value, 1, 1), _permuted(F.substring(value, F.lit(2), n - last), F.concat_ws("|", tweak, F.lit(str(last)))))
+    valid = _let(body(2), lambda b: F.concat(b, F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+    octet = lambda j: F.split(value, r"\.")[j].cast("int")
+    ip = F.aggregate(
+        F.sequence(F.lit(1), F.lit(6)),
+        F.struct((octet(0) * 256 + octet(1)).cast("long").alias("l"), (octet(2) * 256 + octet(3)).cast("long").alias("r")),
+        lambda acc, i: F.struct(acc["r"].alias("l"), F.pmod(acc["l"] + _number(F.concat_ws("|", tweak, i.cast("string"), acc["r"].cast("string"))), F.lit(65536)).alias("r")),
+        lambda acc: F.concat_ws(".", F.floor(acc["l"] / 256).cast("string"), (acc["l"] % 256).cast("string"), F.floor(acc["r"] / 256).cast("string"), (acc["r"] % 256).cast("string")),
+    )
+    return (
+        F.when(k == "email", F.lower(_email(value, seed, F.lit(key))))
+        .when(k == "phone", phone)
+        .when(k == "card", F.when(_luhn(value) == 0, valid).otherwise(body(1)))
+        .when(k == "ssn", _permuted(value, tweak))
+        .when(k == "ip", ip)
+        .when(k == "access_key", F.concat(F.lit("AKIA"), _letters(F.substring(value, 5, 16), seed)))
+        .when(k == "hex_key", _letters(value, seed, hexadecimal=True))
+        .when(k == "iban", _iban(value, seed))
+        .when(k == "family", _name(value, None, seed, tries))
+        .when(k == "given_f", _name(value, "f", seed, tries))
+        .when(k == "given_m", _name(value, "m", seed, tries))
+        .otherwise(_secret(value, seed))
+    )
+
+
+def written(e: Column, k: Column, new: Column) -> Column:
+    """``new``, the surrogates of the units of ``e``, in the format of ``e``."""
+    one = F.get(new, F.lit(0))
+    # what stands before the number of a phone: country code and leading zeros
+    zeros = F.length(F.regexp_replace(F.regexp_replace(e, _COUNTRY, ""), "[^0-9]", "")) - F.length(one)
+    country = F.regexp_replace(F.regexp_extract(e, _COUNTRY, 0), "[^0-9]", "")
+    upper = (e == F.upper(e)) & (e != F.lower(e))
+    titles = F.regexp_extract(e, "^(?:" + _TITLE + " )+", 0)
+    return (
+        F.when(k == "name", F.concat(titles, F.array_join(F.transform(F.reverse(new), F.initcap), " ")))
+        .when(k == "phone", _refill(e, F.concat(country, F.repeat(F.lit("0"), zeros), one)))
+        .when(k.isin("card", "ssn"), _refill(e, one))
+        .when(k == "iban", _refill(e, one, "[0-9A-Z]"))
+        .when(k.isin("email", "hex_key") & upper, F.upper(one))
+        .otherwise(one)
+    )
+
+
+def surrogate(e: Column, key: str, tries: Column) -> Column:
+    """The replacement of entity ``e`` under ``key``, all its values at the given try."""
+    return _let(kind(e), lambda k: written(e, k, F.transform(units(e, k), lambda u: core(u["kind"], u["value"], key, tries))))
+
+
+#: Stands on both sides of an entity in a marked text; a text that holds it has it, and the sign of that, written as two.
+_MARK, _SIGN = "\u0001", "\u0002"
+
+
+def marked(text: Column) -> Column:
+    """``text`` with its entities between marks; null where there is none."""
+    odd = text.contains(_MARK) | text.contains(_SIGN)
+    plain = F.when(odd, F.replace(F.replace(text, F.lit(_SIGN), F.lit(_SIGN + "s")), F.lit(_MARK), F.lit(_SIGN + "m"))).otherwise(text)
+    return F.when(text.rlike(_HINT), _let(F.regexp_replace(plain, ANY, _MARK + "$0" + _MARK), lambda m: F.when(m.contains(_MARK), m)))
+
+
+def _plain(part: Column) -> Column:
+    back = F.replace(F.replace(part, F.lit(_SIGN + "m"), F.lit(_MARK)), F.lit(_SIGN + "s"), F.lit(_SIGN))
+    return F.when(part.contains(_SIGN), back).otherwise(part)
+
+
+def _found(m: Column) -> Column:
+    """Array of (e, kind, units) of the entities of a marked text, in order."""
+    every = F.transform(F.filter(F.split(m, _MARK, -1), lambda x, i: i % 2 == 1), _plain)
+    return F.transform(F.transform(every, lambda e: F.struct(e.alias("e"), kind(e).alias("kind"))), lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), units(x["e"], x["kind"]).alias("units")))
+
+
+def _marked_rows(docs: DataFrame, text: str) -> DataFrame:
+    """``__row``, a number of the row, ``__kept``, its other columns, ``__t``, its text, and ``__m``, that marked: searched once and kept."""
+    t = F.col(f"`{text}`")
+    kept = F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in docs.columns if c != text))
+    return cut(docs.select(F.monotonically_increasing_id().alias("__row"), kept.alias("__kept"), t.alias("__t"), marked(t).alias("__m")))
 
 
-def surrogate(e: Column, key: str, tries: Column, known: Column | None = None) -> Column:
-    """The replacement of entity ``e`` under ``key``, at the given try.
+def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(kind, value, tries) of the values that need another try than 0, over all of ``docs``."""
+    return _collisions(_marked_rows(docs, text), key)
 
-    ``known`` is the type of ``e`` where ``e`` is a canonical value, from which the
-    type cannot be told; the canonical form of the result is the same for both.
-    """
 
-    def of(k):
-        value = canonical(e, k)
-        seed = F.concat_ws("|", F.lit(key), k, value, tries.cast("string"))
-        tweak = F.concat_ws("|", F.lit(key), k, tries.cast("string"))  # of permutations: the same for all of a type
-        digits = F.regexp_replace(e, "[^0-9]", "")
-        country = F.substring(F.regexp_extract(value, _COUNTRY, 0), 2, 3)
-        plain = F.substring(digits, F.length(country) + 1, F.length(digits))
-        phone = _refill(e, F.concat(country, _permuted(plain, F.concat_ws("|", tweak, country))))
-        hexes = _letters(value, seed, hexadecimal=True)
-        n = F.length(digits)
-        body = lambda last: F.concat(F.substring(digits, 1, 1), _permuted(F.substring(digits, F.lit(2), n - last), F.concat_ws("|", tweak, F.lit(str(last)))))
-        valid = _let(body(2), lambda b: F.concat(b, F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        card = _refill(e, F.when(_luhn(digits) == 0, valid).otherwise(body(1)))
-        octet = lambda j: F.split(e, r"\.")[j].cast("int")
-        ip = F.aggregate(
-            F.sequence(F.lit(1), F.lit(6)),
-            F.struct((octet(0) * 256 + octet(1)).cast("long").alias("l"), (octet(2) * 256 + octet(3)).cast("long").alias("r")),
-            lambda acc, i: F.struct(acc["r"].alias("l"), F.pmod(acc["l"] + _number(F.concat_ws("|", tweak, i.cast("string"), acc["r"].cast("string"))), F.lit(65536)).alias("r")),
-            lambda acc: F.concat_ws(".", F.floor(acc["l"] / 256).cast("string"), (acc["l"] % 256).cast("string"), F.floor(acc["r"] / 256).cast("string"), (acc["r"] % 256).cast("string")),
-        )
-        return (
-            F.when(k == "email", _email(e, seed, F.lit(key)))
-            .when(k == "phone", phone)
-            .when(k == "card", card)
-            .when(k == "ssn", _refill(e, _permuted(digits, tweak)))
-            .when(k == "ip", ip)
-            .when(k == "access_key", F.concat(F.lit("AKIA"), _letters(F.substring(e, 5, 16), seed)))
-            .when(k == "hex_key", F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(hexes)).otherwise(hexes))
-            .when(k == "iban", F.concat(F.substring(e, 1, 2), _refill(F.substring(e, F.lit(3), F.length(e)), _letters(F.regexp_replace(e, "[^0-9]", ""), seed))))
-            .when(k == "name", _name(e, seed, tries))
-            .otherwise(_secret(e, seed))
-        )
-
-    return _let(kind(e) if known is None else known, of)
-
-
-def entities(text: Column) -> Column:
-    """Array of the entities of ``text`` in order; null where there is none."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-
-
-def collisions(docs: DataFrame, key: str, text: str = "text", most: int = 50) -> DataFrame:
-    """(kind, value, tries) of the entities that need another try than 0, over all of ``docs``."""
-    e = F.explode(entities(F.col(f"`{text}`")))
-    found = docs.select(e.alias("e")).select("e", kind(F.col("e")).alias("kind"))
-    real = cut(found.select("kind", canonical(F.col("e"), F.col("kind")).alias("value")).distinct())
+def _collisions(rows: DataFrame, key: str, most: int = 50) -> DataFrame:
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but dear to compute
+    found = rows.where("__m is not null").select(F.explode(F.array_distinct(F.flatten(_found(F.col("__m"))["units"]))).alias("u")).select("u.*")
+    real = cut(found.distinct().repartition(spread, "kind", "value"))
     given = None
     waiting = real
     for tries in range(most):
-        made = waiting.select("kind", "value", surrogate(F.col("value"), key, F.lit(tries), F.col("kind")).alias("s"))
-        made = made.select("kind", "value", canonical(F.col("s"), F.col("kind")).alias("s"))
+        made = cut(waiting.select("kind", "value", core(F.col("kind"), F.col("value"), key, F.lit(tries)).alias("s")))
         taken = real.select("kind", F.col("value").alias("s"), F.lit(None).cast("string").alias("value"))
         if given is not None:
             taken = taken.unionByName(given.select("kind", "s", F.lit(None).cast("string").alias("value")))
@@ -249,28 +340,43 @@ def collisions(docs: DataFrame, key: str, text: str = "text", most: int = 50) ->
         given = won if given is None else cut(given.unionByName(won))
         if none_left:
             return given.where("tries > 0").select("kind", "value", "tries")
-        waiting = lost
+        waiting = lost.repartition(spread, "kind", "value")
     raise ValueError(f"surrogates still collide after {most} tries")
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", small: int = 50_000) -> DataFrame:
-    """``docs`` with the entities of ``text`` replaced, and ``n_entities``.
+    """``docs`` with the entities of ``text`` replaced, and ``n_entities``, those found by a pattern.
 
-    Documents with an entity of another try get it by a join, broadcast if there
-    are at most ``small`` such documents' texts.
+    Documents with a value of another try get it by a join on a number of the row,
+    broadcast if there are at most ``small`` of them.
     """
-    again = cut(collisions(docs, key, text))
-    t = F.col(f"`{text}`")
     keep = [c for c in docs.columns if c.lower() != "n_entities"]
-    df = docs.select(*(F.col(f"`{c}`") for c in keep), entities(t).alias("__e"))
-    tries = lambda e: F.lit(0)
+    rows = _marked_rows(docs.select(*(F.col(f"`{c}`") for c in keep)), text)
+    again = cut(_collisions(rows, key))
+    df = rows.withColumn("__e", _found(F.col("__m")))
+    tries = lambda u: F.lit(0)
     if not again.isEmpty():
-        here = docs.where(t.isNotNull()).select(F.sha2(t.cast("binary"), 256).alias("__h"), F.explode(F.array_distinct(entities(t))).alias("e"))
-        here = here.withColumn("kind", kind(F.col("e"))).withColumn("value", canonical(F.col("e"), F.col("kind")))
-        other = cut(here.join(again, ["kind", "value"]).select("__h", "e", "tries").distinct().groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("e", "tries"))).alias("__tries")))
-        df = df.withColumn("__h", F.sha2(t.cast("binary"), 256)).join(if_small(other, small), "__h", "left")
-        tries = lambda e: F.coalesce(F.try_element_at(F.col("__tries"), e), F.lit(0))
-    df = df.withColumn("__s", F.transform("__e", lambda e: surrogate(e, key, tries(e))))
-    whole = F.array_join(F.flatten(F.transform(F.split(t, ANY, -1), lambda part, i: F.array(part, F.coalesce(F.get(F.col("__s"), i), F.lit(""))))), "")
-    new = F.when(F.size("__e") > 0, whole).otherwise(t)
-    return df.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in keep), F.coalesce(F.when(F.col("__e").isNotNull(), F.size("__e")), F.lit(0)).cast("long").alias("n_entities"))
+        here = rows.where("__m is not null").select("__row", F.explode(F.array_distinct(F.flatten(_found(F.col("__m"))["units"]))).alias("u")).select("__row", "u.*")
+        own = here.join(if_small(again, small), ["kind", "value"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "tries"))).alias("__tries"))
+        df = df.join(if_small(cut(own), small), "__row", "left")
+        tries = lambda u: F.coalesce(F.try_element_at(F.col("__tries"), F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
+    # the new values of each entity, then how it is written
+    df = df.withColumn("__n", F.transform("__e", lambda x: F.transform(x["units"], lambda u: core(u["kind"], u["value"], key, tries(u)))))
+    df = df.withColumn("__s", F.transform("__e", lambda x, i: written(x["e"], x["kind"], F.get(F.col("__n"), i))))
+    # names of the text, family name first, with and without their new ones
+    people = F.filter(F.transform("__e", lambda x, i: F.struct(x["kind"].alias("kind"), _person(x["e"]).alias("old"), F.transform(F.get(F.col("__n"), i), F.initcap).alias("new"))), lambda x: x["kind"] == "name")
+    df = df.withColumn("__people", F.array_distinct(people))
+
+    def bare(part):
+        whole = lambda word: F.concat(F.lit(r"(?<!\p{L})"), word, F.lit(r"(?!\p{L})"))
+
+        def one(acc, x):
+            full = F.when(x["old"]["given"] != "", F.regexp_replace(acc, whole(F.concat_ws(" ", x["old"]["given"], x["old"]["family"])), F.concat_ws(" ", F.get(x["new"], F.lit(1)), F.get(x["new"], F.lit(0))))).otherwise(acc)
+            return F.regexp_replace(full, whole(x["old"]["family"]), F.get(x["new"], F.lit(0)))
+
+        return F.when(F.size("__people") > 0, F.aggregate("__people", part, one)).otherwise(part)
+
+    parts = F.split(F.col("__m"), _MARK, -1)
+    whole = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(F.col("__s"), (i / 2).cast("int"))).otherwise(bare(_plain(p)))), "")
+    new = F.when(F.col("__m").isNotNull(), whole).otherwise(F.col("__t"))
+    return df.select(*(new.alias(c) if c == text else F.col(f"__kept.`{c}`") for c in keep), F.coalesce(F.when(F.col("__e").isNotNull(), F.size("__e")), F.lit(0)).cast("long").alias("n_entities"))

@@ -208,32 +208,107 @@ def test_toxicity(spark):
 def test_language_model(spark):
     rng = random.Random(8)
     texts = ODD + [prose(rng, rng.randrange(1, 80)) for _ in range(120)] + ["same words here", "same words here"]
-    docs = frame(spark, texts).withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
+    docs = frame(spark, texts, score=["clash"] * len(texts), lang=["kept"] * len(texts)).withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
     tokens = [[*SPACE_WORD.findall((t or "").translate(UPPER)), ""] for t in texts]
     seen = Counter(w for i, ws in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     total = sum(seen.values())
-    scores = {}
+    mean = lambda rows, c: sum(r[c] for r in rows if r["held_out"]) / sum(r["n_tokens"] for r in rows if r["held_out"])
     for head in (10**6, 20):  # all words broadcast, or most of them joined
         counts, vocabulary, weights = maxent_lm.model(docs.where("not held_out"), head=head)
         rows = maxent_lm.score(docs, counts, vocabulary, weights).collect()
-        assert len(rows) == len(texts)
+        assert len(rows) == len(texts) and {r["lang"] for r in rows} == {"kept"}
+        chance = brute_force_chance(vocabulary, weights, seen)
         for r in rows:
             ws = tokens[r["doc_id"]]
             base = sum(math.log10((seen[w] + 0.5) / (total + 0.5 * (len(seen) + 1))) for w in ws)
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(seen[w] > 0 for w in ws), total)
             assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        scores[head] = sum(r["score"] for r in rows if r["held_out"]) / sum(r["n_tokens"] for r in rows if r["held_out"])
-        assert scores[head] > sum(r["base_score"] for r in rows if r["held_out"]) / sum(r["n_tokens"] for r in rows if r["held_out"])
-    # the probabilities of all words and of one unseen in each class sum to 1
-    counts, vocabulary, weights = maxent_lm.model(docs.where("not held_out"))
-    reader = maxent_lm.Reader(vocabulary)
-    start = reader.head + maxent_lm.SHAPES
-    every = np.arange(reader.head + maxent_lm.SHAPES)
-    ids = np.concatenate([[3, 7, 5, w] for w in every])
-    p = weights.score(reader, ids, np.arange(3, len(ids), 4))
-    p[reader.head :] += math.log10(0.5)
-    assert (10.0**p).sum() == pytest.approx(1, abs=1e-4) and start == len(every)
+            if len(ws) < 100:
+                assert r["score"] == pytest.approx(sum(math.log10(chance(ws[:j], w)) for j, w in enumerate(ws)), rel=1e-4)
+        assert mean(rows, "score") > mean(rows, "base_score")
+        # all words and one unseen in each class have the whole probability
+        unseen = [b"%c%c" % (i % 256, i // 256) for i in range(1 << 16)]
+        one = {}
+        for e in unseen:
+            one.setdefault(ending_class(e), e)
+        assert sum(chance(["alpha", "beta"], w) for w in [*seen, *one.values()]) == pytest.approx(1, abs=1e-4)
     assert maxent_lm.score(docs.limit(0), counts, vocabulary, weights).count() == 0
+    none = maxent_lm.model(docs.limit(0))
+    assert all(r["n_known"] == r["train_tokens"] == 0 and r["score"] < 0 for r in maxent_lm.score(docs, *none).collect())
+
+
+def ending_class(word):
+    b = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
+    return int(maxent_lm.shape(np.array([b[-1] + 256 * (b[-2] if len(b) > 1 else 0)]))[0]) if b else 0
+
+
+def brute_force_chance(v, weights, seen):
+    """P(word | words before it), by dictionaries and loops over all words of a class."""
+    code = {w: int(word_hashes([w])[0][0]) if w else maxent_lm.END for w in seen}
+    place = {int(h): i for i, h in enumerate(v.words)}
+    number = lambda w: place.get(code.get(w), len(v.words) + ending_class(w))
+    single = lambda w: number(w) < maxent_lm.SINGLE and code.get(w) in place
+    klass = lambda w: number(w) if single(w) else maxent_lm.SINGLE + ending_class(w)
+    slots, hashed, inner = weights.sizes.slots, weights.sizes.hashed, weights.sizes.inner
+    members, usual = {}, Counter()
+    for w in sorted(seen, key=lambda w: (-seen[w], np.int64(np.uint64(code[w]).view(np.int64)))):
+        if not single(w):
+            members.setdefault(ending_class(w), []).append(w)
+        usual[klass(w)] += seen[w] + 0.5
+    for s in range(maxent_lm.SHAPES):
+        usual[maxent_lm.SINGLE + s] += 0.5
+    start = len(v.words) + maxent_lm.SHAPES
+    mixed = lambda i: int(maxent_lm._mixed(np.array([i]))[0])
+
+    def chance(before, w):
+        a, b, c = ([start] * 3 + [number(x) for x in before])[:-4:-1]
+        ka, kb = ((0 if i == start else i if i < min(len(v.words), maxent_lm.SINGLE) else int(v.cls[i]) if i < len(v.words) else maxent_lm.SINGLE + i - len(v.words)) for i in (a, b))
+        rows = [mixed(a) % hashed, hashed + mixed(b) % hashed, 2 * hashed + mixed(c) % hashed, 3 * hashed + ka * maxent_lm.CLASSES + kb]
+        z = {k: math.log(u) + sum(float(weights.first[r, k]) for r in rows) for k, u in usual.items()}
+        k = klass(w)
+        p = math.exp(z[k]) / sum(map(math.exp, z.values()))
+        if single(w):
+            return p
+        s = k - maxent_lm.SINGLE
+        own = [x for x in members.get(s, []) if code[x] in place][: slots - 1]
+        rest = sum(seen[x] + 0.5 for x in members.get(s, []) if x not in own) + 0.5
+        rows = [s * 2 * inner + mixed(a) % inner, (s * 2 + 1) * inner + mixed(b) % inner]
+        y = {j: math.log(seen[x] + 0.5) + sum(float(weights.second[r, j]) for r in rows) for j, x in enumerate(own)}
+        y[slots - 1] = math.log(rest) + sum(float(weights.second[r, slots - 1]) for r in rows)
+        j = own.index(w) if w in own else slots - 1
+        p *= math.exp(y[j]) / sum(map(math.exp, y.values()))
+        return p if w in own else p * (seen.get(w, 0) + 0.5) / rest
+
+    return chance
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    docs = frame(spark, [prose(rng, 40) for _ in range(200)])
+    one, many = (maxent_lm.model(docs.repartition(n), updates=2)[2] for n in (1, 7))
+    assert np.allclose(one.first, many.first, atol=1e-4) and np.allclose(one.second, many.second, atol=1e-4) and np.abs(one.first).max() > 0.1
+
+
+def test_language_model_gains_from_gradient_updates(spark):
+    """Under a weak prior the likelihood of the training rows rises with each update, and held-out rows gain from more rows."""
+    rng = random.Random(13)
+    words = [prose(rng, 1) + str(i % 7) for i in range(150)]
+
+    def chain():  # each word mostly determines the next
+        at, out = rng.randrange(150), []
+        for _ in range(60):
+            out.append(words[at])
+            at = (at * 7 + rng.randrange(3)) % 150
+        return " ".join(out)
+
+    docs = frame(spark, [chain() for _ in range(300)])
+    per = []
+    for updates in (0, 1, 2):
+        counts, v, w = maxent_lm.model(docs.where("doc_id < 200"), updates=updates, prior=0.1)
+        per.append(maxent_lm.score(docs.where("doc_id < 200"), counts, v, w).agg(F.sum("score")).first()[0])
+    assert per[0] < per[1] < per[2]
+    held = [maxent_lm.score(docs.where("doc_id >= 200"), *maxent_lm.model(docs.where(f"doc_id < {n}"))).agg(F.sum("score")).first()[0] for n in (25, 200)]
+    assert held[0] < held[1]
 
 
 # 3
@@ -373,6 +448,56 @@ def test_other_forms_get_the_same_surrogate(spark):
         assert len({re.sub("[^0-9a-f+]", "", e.lower()) for e in new}) == 1
         assert [re.sub("[0-9A-Fa-f]", "", e) for e in new] == [re.sub("[0-9A-Fa-f]", "", e) for e in forms]
         assert [e.isupper() for e in new] == [e.isupper() for e in forms]
+    # of phone numbers the national digits, with and without country code and leading zero
+    local = [r["s"] for r in frame(spark, ["+1 (504) 555-2652", "(504) 555-2652", "504.555.2652", "+44 20 7946 0958", "+44 (020) 7946 0958"]).select("doc_id", pii.surrogate(F.col("text"), "key", F.lit(0)).alias("s")).orderBy("doc_id").collect()]
+    national = [re.sub("^0+", "", re.sub("[^0-9]", "", re.sub(r"^\+(1|44)", "", e))) for e in local]
+    assert len(set(national[:3])) == 1 and len(set(national[3:])) == 1 and national[0] != "5045552652" and len(national[0]) == 10
+    assert local[0].startswith("+1 (") and local[3].startswith("+44 ") and local[4].startswith("+44 (0")
+
+
+def test_one_person_has_one_surrogate(spark):
+    texts = [
+        "Mr. John Smith met Mr John Smith. Later John Smith left, and Smith slept; Smithson did not.",
+        "Dr. Jane Roe and Prof. Dr. Max Weber met Mrs Jane Roe. Weber spoke. Jane Roe listened.",
+        "Mr Smith wrote to Frau Dr. Anna Weber.",
+        "Smith was a smith.",
+        "Mrs. Mary Smith left.",
+    ]
+    out = [r["text"] for r in pii.replace(frame(spark, texts), "key").orderBy("doc_id").collect()]
+    john = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr (\w+) (\w+)\. Later (\w+) (\w+) left, and (\w+) slept; Smithson did not\.", out[0]).groups()
+    assert john == john[:2] * 3 + john[1:2] and john[0] in pii._NAMES["m", "latin"] and "Smith" != john[1]
+    jane = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. Dr\. (\w+) (\w+) met Mrs (\w+) (\w+)\. (\w+) spoke\. (\w+) (\w+) listened\.", out[1]).groups()
+    assert jane[:2] == jane[4:6] == jane[7:9] and jane[6] == jane[3] and jane[0] in pii._NAMES["f", "latin"] and jane[2] in pii._NAMES["m", "latin"]
+    other = re.fullmatch(r"Mr (\w+) wrote to Frau Dr\. (\w+) (\w+)\.", out[2]).groups()
+    assert other[0] == john[1] and other[2] == jane[3] and out[3] == texts[3]
+    mary = re.fullmatch(r"Mrs\. (\w+) (\w+) left\.", out[4]).groups()
+    assert mary[1] == john[1] and mary[0] in pii._NAMES["f", "latin"] and mary[0] != jane[0]
+
+
+def test_bank_accounts_stay_valid(spark):
+    def left(iban):
+        plain = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"]
+    out = [r["text"] for r in pii.replace(frame(spark, [f"to {i} now" for i in ibans]), "key").orderBy("doc_id").collect()]
+    new = [t[3:-4] for t in out]
+    assert [left(i) for i in ibans] == [left(i) for i in new] == [1] * 4 and "NWBK" not in new[0]
+    assert new[0].replace(" ", "") == new[1] and [re.sub("[0-9]", "9", re.sub("[A-Z]", "A", x)) for x in new] == [re.sub("[0-9]", "9", re.sub("[A-Z]", "A", x)) for x in ibans]
+
+
+def test_marks_in_texts_stay(spark):
+    texts = ["\x01 a\x02m b\x02s \x01", "\x01mail ann.lee@mail.example.com\x02", "secret: 'a\x01b\x02cdefgh' end\x01"]
+    out = [r["text"] for r in pii.replace(frame(spark, texts, __M=["x"] * 3), "key").orderBy("doc_id").collect()]
+    assert out[0] == texts[0] and re.fullmatch("\x01mail [^@]+@\\w+\\.\\w+\\.com\x02", out[1]) and re.fullmatch("secret: '[^']*' end\x01", out[2]) and "cdefgh" not in out[2]
+
+
+def test_a_very_long_text_is_rewritten_whole(spark):
+    rng = random.Random(21)
+    body = prose(rng, 150_000)
+    texts = [f"{body} ann.lee@mail.example.com {body} Mr. John Smith {body} 123-45-6789", None]
+    out = [r["text"] for r in pii.replace(frame(spark, texts), "key").orderBy("doc_id").collect()]
+    assert out[1] is None and out[0].count(body) == 3 and not any(p in out[0] for p in ("ann.lee", "Smith", "123-45-6789"))
 
 
 def test_long_and_short_secrets(spark):
@@ -391,22 +516,48 @@ def test_long_and_short_secrets(spark):
 # 6
 
 
+def shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return [tuple(w[i : i + 3]) for i in range(len(w) - 2)] or ([tuple(w)] if w else [])
+
+
+def held(text, templates, percent=80):
+    """(name, word, percent) by trying every window of every template's class."""
+    h, out = shingles(text), []
+    for name, body in templates.items():
+        own = set(shingles(body))
+        if not own or not h:
+            continue
+        step, length = license_scan.steps(1 << (len(own) - 1).bit_length())
+        share, back = max((100.0 * len(own & set(h[i : i + length])) / len(own), -i) for i in range(0, len(h), step))
+        if share >= percent:
+            out.append((name, -back, share))
+    return sorted(out)
+
+
 def test_licenses(spark):
     rng = random.Random(9)
     names = list(license_scan.TEMPLATES)
-    texts, want = list(ODD), [set() for _ in ODD]
-    for i in range(120):
-        ws, own = prose(rng, rng.randrange(0, 200)).split(), set(rng.sample(names, i % 3))
-        at = sorted(rng.randrange(len(ws) + 1) for _ in own)
-        for k, n in zip(reversed(at), sorted(own), strict=True):
-            ws.insert(k, "\n" + rng.choice([str.upper, str.lower, str])(license_scan.TEMPLATES[n]) + ".\n")
+    texts = list(ODD)
+    for i in range(150):
+        ws = prose(rng, rng.randrange(0, 200)).split()
+        for n in rng.sample(names, i % 3):
+            body = license_scan.TEMPLATES[n].split()
+            if i % 5 == 4:  # some words are lost
+                body = [w for w in body if rng.random() > 0.04]
+            ws.insert(rng.randrange(len(ws) + 1), "\n" + rng.choice([str.upper, str.lower, str])(" ".join(body)) + ".\n")
         texts.append(" ".join(ws))
-        want.append(own)
-    got = {r["doc_id"]: {x["name"] for x in r["licenses"]} for r in license_scan.scan(frame(spark, texts, licenses=["clash"] * len(texts))).collect()}
-    assert all(got[i] == want[i] for i in range(len(texts)))
-    small = license_scan.scan(frame(spark, ["all rights reserved", "two words", None]), {"t": "two words", "r": "all rights reserved", "e": "..."}, block=1)
+    texts += [texts[40], texts[40], prose(rng, 60_000) + " " + license_scan.TEMPLATES["MIT#text"]]
+    found = license_scan.scan(frame(spark, texts, licenses=["clash"] * len(texts)))
+    got = {r["doc_id"]: [tuple(x) for x in r["licenses"]] for r in found.collect()}
+    assert all(got[i] == held(t, license_scan.TEMPLATES) for i, t in enumerate(texts))
+    assert sum(map(len, got.values())) > 100 and "MIT#text" in {x[0] for x in got[len(texts) - 1]}
+    # a filter on the result is still planned
+    assert found.where("exists(licenses, x -> x.name like 'MIT%' and x.percent = 100)").where("size(licenses) > 0").count() == sum(any(n.startswith("MIT") and p == 100 for n, _, p in x) for x in got.values())
+    small = license_scan.scan(frame(spark, ["all rights reserved", "two words", None]), {"t": "two words", "r": "all rights reserved", "e": "..."})
     assert [[x["name"] for x in r["licenses"]] for r in small.orderBy("doc_id").collect()] == [["r"], ["t"], []]
     assert license_scan.scan(empty(spark)).count() == 0
+    assert license_scan.scan(frame(spark, ["all rights reserved"]), {}).first()["licenses"] == []
 
 
 # 10
@@ -421,28 +572,41 @@ def base_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
 
 
-def robust(x, steps=4):
-    """The same estimate in numpy: medians, concentration steps by bins of distance, reweighting."""
-    floors = np.array(list(quality_rules.FLOORS.values())) ** 2
-    p, n = x.shape[1], len(x)
+def robust(x, tol=1e-3):
+    """The same estimate in numpy: four starts, concentration steps by bins of distance until the least determinant stands, reweighting."""
+    q = quality_rules
+    floors = np.array(list(q.FLOORS.values())) ** 2
+    n, p = x.shape
 
     def median(v):
-        cells = np.sort(np.floor(v / quality_rules._GRID))
-        return (cells[(n + 1) // 2 - 1] + 0.5) * quality_rules._GRID
+        cells = np.sort(np.floor(v / q._GRID))
+        return (cells[(n + 1) // 2 - 1] + 0.5) * q._GRID
 
-    m = np.array([median(x[:, i]) for i in range(p)])
-    s = np.diag([(1.4826 * median(np.abs(x[:, i] - m[i]))) ** 2 + floors[i] for i in range(p)])
-    q = quality_rules
     half, cutoff = 0.5 / q.chi2_cdf(q.chi2_quantile(0.5, p), p + 2), q.chi2_quantile(0.975, p)
-    far = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-    for _ in range(steps):
-        bins = np.floor(np.log1p(far()) / q._BIN)
-        order = np.sort(bins)
-        near = x[bins <= order[(n + 1) // 2 - 1]]
-        m, s = near.mean(0), np.cov(near.T, bias=True) * half + np.diag(floors)
-    near = x[far() <= cutoff]
-    m, s = near.mean(0), np.cov(near.T, bias=True) * 0.975 / q.chi2_cdf(cutoff, p + 2) + np.diag(floors)
-    return far()
+    far = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+
+    def step(m, s):
+        bins = np.floor(np.log1p(far(m, s)) / q._BIN)
+        near = x[bins <= np.sort(bins)[(n + 1) // 2 - 1]]
+        return near.mean(0), np.cov(near.T, bias=True) * half + np.diag(floors)
+
+    c = np.array([median(x[:, i]) for i in range(p)])
+    r = np.sqrt([(1.4826 * median(np.abs(x[:, i] - c[i]))) ** 2 + floors[i] for i in range(p)])
+    z = (x - c) / r
+    t = np.cov(np.tanh(z).T, bias=True)
+    d = np.sqrt(np.outer(np.diag(t), np.diag(t)))
+    squeezed = np.where(d > 1e-9, 0.99 * t / np.where(d > 1e-9, d, 1), 0)
+    np.fill_diagonal(squeezed, 1)
+    length = np.linalg.norm(z, axis=1, keepdims=True)
+    u = np.where(length > 0, z / np.where(length > 0, length, 1), 0)
+    near = z[np.abs(z).max(1) <= 3]
+    starts = [(c, np.eye(p)), (c, squeezed), (c, p * u.T @ u / n + 0.01 * np.eye(p)), (c + r * near.mean(0), np.cov(near.T, bias=True) + 0.01 * np.eye(p))]
+    logdet = lambda e: np.linalg.slogdet(e[1])[1]
+    best = min((step(*step(m, np.outer(r, r) * s)) for m, s in starts), key=logdet)
+    while logdet(new := step(*best)) < logdet(best) - tol:
+        best = new
+    near = x[far(*best) <= cutoff]
+    return far(near.mean(0), np.cov(near.T, bias=True) * 0.975 / q.chi2_cdf(cutoff, p + 2) + np.diag(floors))
 
 
 def test_quality_rules(spark):
