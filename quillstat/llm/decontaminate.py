@@ -13,8 +13,9 @@ to the hits of the former ones.  The result is the same for any block size.
 
 Defined results: null texts have no words; null item ids count as the empty id;
 rows of one item id are one item; repeated documents repeat their result; an
-empty benchmark hits nothing; input columns named as a result column are
-replaced.
+empty benchmark hits nothing; no documents give an empty result; a very long text is
+scanned whole, in memory of some times its size; input columns named as a result
+column of a scan are replaced, those of what is left after removals all stay.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 16_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 2_000_000) -> DataFrame:
     """``docs`` with what of the benchmark occurs in ``text``.
 
     Adds ``n_words``, ``n_hit`` (words inside occurring windows), ``items``
@@ -164,16 +165,22 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, **how) -> DataFrame:
+def _whole(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` as a struct ``row``, and its text: no column of it can clash with what a scan adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    found = scan(docs, benchmark, **how)
-    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"), share)).select(*(c for c in docs.columns if c in found.columns))
+    found = scan(_whole(docs, text), benchmark, **how)
+    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"), share)).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """All rows of ``docs``, the runs of hit words cut out of ``text``."""
-    found = scan(docs, benchmark, text=text, **how)
-    t, s = F.col(f"`{text}`"), F.col("spans")
+    found = scan(_whole(docs, text), benchmark, **how)
+    t, s = F.col("text"), F.col("spans")
     gaps = F.sequence(F.lit(0), F.size(s), F.lit(2))
     part = F.transform(gaps, lambda i: F.substring(t, F.when(i == 0, 0).otherwise(F.get(s, i - 1)) + 1, F.coalesce(F.get(s, i), F.length(t)) - F.when(i == 0, 0).otherwise(F.get(s, i - 1))))
-    return found.withColumn(text, F.when(F.size(s) > 0, F.array_join(part, "")).otherwise(t)).select(*docs.columns)
+    new = F.when(F.size(s) > 0, F.array_join(part, "")).otherwise(t)
+    return found.select(*(new.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
