@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,27 +50,61 @@ def space_words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: the session's ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none, as in local tests.
+    A temporary folder is set only where the session names none and runs on one
+    machine, as in local tests; on a cluster its executors would not share it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised by a reliable checkpoint in the shared folder.
 
-    Before it, what former steps left is let go: Spark deletes the shuffle files
-    and checkpoints of tables that no longer exist when the driver collects its
-    garbage, which a driver with little to do puts off for long.
+    Where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, Spark deletes
+    it when nothing refers to it any more; else it stays until the folder is emptied.
     """
     shared_folder(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of a run of many steps, written to the shared folder as Parquet and deleted when no later step needs them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            remove(self.spark, path)
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go what former steps left: Spark deletes shuffle files of tables that no longer exist when the driver collects its garbage, which a driver with little to do puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, to be broadcast if it has at most ``rows`` rows; counts them, so ``df`` is best materialised."""
     return F.broadcast(df) if df.count() <= rows else df

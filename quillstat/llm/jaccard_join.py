@@ -21,11 +21,17 @@ excluded by the bound, so the components of all links found are exact.  Tokens
 whose hash bucket is crowded come last in the order; the order decides only how
 many candidates there are, never what is found.
 
+No token and no group meets in one task: rows of tokens that may be crowded are
+summed before they are shuffled, all other tokens have few rows by the very count
+that did not mark them; groups of many members are joined by broadcast, and the
+blocks in which members are compared are dealt to several tasks for each group.
+
 Defined results: null texts and texts without words have the empty set and link
 with nothing; shorter texts than a shingle are one shingle; repeated rows and
 equal texts fall into one class; null ids never name a component that has other
-ids; an empty table gives an empty result.  Hashes of 64 bits stand for shingles
-and sets.
+ids; ids that tie for the least are one; an empty table gives an empty result; input
+columns other than id and text are ignored; a very long text takes memory of some
+times its size in one task.  Hashes of 64 bits stand for shingles and sets.
 """
 
 from __future__ import annotations
@@ -34,18 +40,23 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import cut, if_small, map_batches
+from quillstat.llm.common import Scratch, cut, if_small, map_batches, portions, release
 from quillstat.llm.components import components
 from quillstat.llm.word_hashes import word_hashes
 
 ROWS = 128
 BUCKETS = 1 << 16
 CACHE = 300_000
-#: Most class ids that are broadcast to pick out their texts.
-BROADCAST = 2_000_000
+#: Most rows (of a few numbers, about 80 bytes each) that are broadcast: 32 MB.
+BROADCAST = 400_000
+#: Members from which a group counts as large; there are few of those.
+LARGE = 5_000
+#: Tasks among which the blocks of one group are dealt.
+SPREAD = 32
+CHARS = 1 << 20
 #: Tokens in a block of sets that are compared together.
 BLOCK = 32_768
 
@@ -116,8 +127,8 @@ class Join:
             for batch in batches:
                 kind = batch.schema.field(0).type
                 n, cls = [], []
-                for at in range(0, batch.num_rows, ROWS):
-                    for s in sets.sets(batch.column(2).slice(at, ROWS).to_pylist()):
+                for _, texts in portions(batch.column(2), ROWS, CHARS):
+                    for s in sets.sets(texts):
                         n.append(len(s))
                         cls.append(set_id(s) if len(s) else None)
                         if len(s) and cls[-1] not in seen:
@@ -139,7 +150,7 @@ class Join:
         return both.where("bucket is null").select("id", "key", "n", "cls"), loads > usual + 10 * np.sqrt(usual) + 50
 
     def index(self, crowded: np.ndarray) -> DataFrame:
-        """(token, cls, n): the least tokens of each class, those of crowded buckets last."""
+        """(token, cls, n, hot): the least tokens of each class, those of crowded buckets (hot) last."""
         held = self.spark.sparkContext.broadcast(crowded)
         shingle, percent = self.shingle, self.percent
 
@@ -148,9 +159,9 @@ class Join:
 
             sets, seen = Shingles(shingle), set()
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS * 8):
+                for _, texts in portions(batch.column(0), ROWS * 8, 4 * CHARS):
                     token, cls, size = [], [], []
-                    for s in sets.sets(batch.column(0).slice(at, ROWS * 8).to_pylist()):
+                    for s in sets.sets(texts):
                         if not len(s) or (c := set_id(s)) in seen:
                             continue
                         if len(seen) < CACHE:
@@ -161,9 +172,11 @@ class Join:
                         cls.append(np.full(len(t), c))
                         size.append(np.full(len(t), len(s), np.int32))
                     if token:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], names=["token", "cls", "n"])
+                        every = np.concatenate(token)
+                        hot = held.value[(every & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(hot)], names=["token", "cls", "n", "hot"])
 
-        return self.docs.select("text").mapInArrow(run, "token bigint, cls bigint, n int")
+        return self.docs.select("text").mapInArrow(run, "token bigint, cls bigint, n int, hot boolean")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """(cls, tokens) of the classes in ``wanted`` (column cls, distinct).
@@ -180,8 +193,8 @@ class Join:
 
             def step(batch):
                 cls, tokens = [], []
-                for at in range(0, batch.num_rows, ROWS):
-                    for s in sets.sets(batch.column(0).slice(at, ROWS).to_pylist()):
+                for _, texts in portions(batch.column(0), ROWS, CHARS):
+                    for s in sets.sets(texts):
                         if not len(s) or (c := set_id(s)) in seen:
                             continue
                         if len(seen) < CACHE:
@@ -207,9 +220,16 @@ class Join:
 
     def links(self, crowded: np.ndarray) -> DataFrame:
         """(a, b): checked links that connect all classes of each component."""
-        p = self.percent
-        one, other = F.min("cls").over(_by("token")), F.max("cls").over(_by("token"))
-        shared = cut(self.index(crowded).withColumn("one", one).withColumn("other", other).where("one <> other").select("token", "cls", "n"))
+        p, scratch = self.percent, Scratch(self.spark)
+        try:
+            return self._links(crowded, p, scratch)
+        finally:
+            scratch.close()
+
+    def _links(self, crowded: np.ndarray, p: int, scratch: Scratch) -> DataFrame:
+        shared = _over_token(self.index(crowded), one=F.min("cls"), other=F.max("cls")).where("one <> other").select("token", "cls", "n", "hot")
+        shared = scratch.keep(shared)
+        release(self.spark)
         # 1. groups: a class whose listed tokens are more widely shared is likelier to be near its copies
         score = if_small(cut(shared.groupBy("cls").agg((F.count("*") / F.first(_listed(F.col("n"), p))).alias("score"))), BROADCAST)
         group = first = None
@@ -217,7 +237,7 @@ class Join:
             at = shared.join(score, "cls")
             at = at if group is None else at.join(group.withColumnRenamed("node", "cls"), "cls", "left")
             at = at.withColumn("comp", F.col("cls") if group is None else F.coalesce("comp", "cls"))
-            at = at.withColumn("best", F.max(F.struct("score", "cls", "n", "comp")).over(_by("token"))).where("comp <> best.comp")
+            at = _over_token(at, best=F.max(F.struct("score", "cls", "n", "comp"))).where("comp <> best.comp")
             stars = at.groupBy("cls", "n", F.col("best.cls").alias("centre"), F.col("best.n").alias("m")).count()
             rest = F.greatest(*(F.col(c) - _listed(F.col(c), p) for c in ("n", "m")))
             stars = stars.where(F.col("count") + rest >= least_overlap(p, F.col("n"), F.col("m"))).where((100 * F.col("n") >= p * F.col("m")) & (100 * F.col("m") >= p * F.col("n")))
@@ -225,12 +245,14 @@ class Join:
             found = self.check(best)
             first = found if first is None else cut(first.unionByName(found))
             group = components(first)
+            release(self.spark)
         # 2. the matrix: (token, group) with the range of its members' sizes
-        listed_by = shared.select("token", "cls", "n").join(group.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        spread = cut(listed_by.select("cls", "n", "comp").distinct().groupBy("comp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
-        listed_by = cut(listed_by.withColumn("one", F.min("comp").over(_by("token"))).withColumn("two", F.max("comp").over(_by("token"))).where("one <> two").select("token", "cls", "n", "comp"))
-        matrix = listed_by.select("token", F.col("comp").alias("other")).distinct().join(spread.withColumnRenamed("comp", "other"), "other")
-        queries = listed_by.join(spread.select("comp", F.col("members").alias("own")), "comp")
+        listed_by = shared.join(if_small(group.select(F.col("node").alias("cls"), "comp"), BROADCAST), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        spread = cut(listed_by.groupBy("comp", "cls").agg(F.first("n").alias("n")).groupBy("comp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
+        both = _over_token(listed_by, one=F.min("comp"), two=F.max("comp")).where("one <> two").select("token", "cls", "n", "comp")
+        listed_by = scratch.keep(both)
+        matrix = _by_group(scratch.keep(listed_by.select("token", "comp").distinct()), spread).withColumnRenamed("comp", "other")
+        queries = _by_group(listed_by, spread.select("comp", "members")).withColumnRenamed("members", "own")
         # 3. the smaller group asks the larger one
         met = queries.join(matrix, "token").where("comp <> other and (own < members or own = members and comp < other)")
         met = met.where((100 * F.col("n") >= p * F.col("low")) & (100 * F.col("high") >= p * F.col("n")))
@@ -243,11 +265,13 @@ class Join:
         # but for rounding, which the 1 allows for, the slack is greatest at an end of the sizes
         open_ = counted.where((m_low <= m_high) & (bound(m_low) | bound(m_high)))
         # 4. members of opened groups
-        member = listed_by.select("cls", "n", F.col("comp").alias("other")).unionByName(
-            shared.select("cls", "n").join(group.select(F.col("node").alias("cls"), F.col("comp").alias("other")), "cls")
-        ).distinct()
         opened = cut(open_.select("cls", "n", "other"))
-        member = cut(member.join(opened.select("other").distinct(), "other", "left_semi"))
+        others = if_small(opened.select("other").distinct(), BROADCAST)
+        sizes = shared.groupBy("cls").agg(F.first("n").alias("n"))
+        member = sizes.join(group.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("other"))
+        member = cut(member.join(others, "other", "left_semi").select("cls", "n", "other"))
+        scratch.drop(shared, listed_by)
+        release(self.spark)
         return first.unionByName(self.open(opened, member))
 
     def open(self, queries: DataFrame, members: DataFrame) -> DataFrame:
@@ -255,19 +279,22 @@ class Join:
 
         ``queries`` and ``members`` are (cls, n, other), ``other`` naming the
         group.  Both are dealt into blocks of about BLOCK tokens, by hash, and
-        each block of a group's queries meets each block of its members.
+        each block of a group's queries meets each block of its members, in one of
+        SPREAD tasks by the number of the former.
         """
         percent = self.percent
         sets = self.sets_of(cut(queries.select("cls").unionByName(members.select("cls")).distinct()))
 
         def blocks(side: DataFrame, name: str) -> DataFrame:
             many = side.groupBy("other").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-            dealt = cut(side.join(many, "other").select("cls", "other", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")))
-            return dealt.join(sets, "cls").groupBy("other", "block").agg(F.collect_list(F.struct("cls", "tokens")).alias("all")).select(
-                "other", F.col("block").alias(f"{name}_block"), F.col("all.cls").alias(f"{name}_cls"), F.transform("all", lambda r: F.size(r["tokens"])).alias(f"{name}_n"), F.flatten("all.tokens").alias(f"{name}_tokens")
+            dealt = cut(side.join(if_small(cut(many), BROADCAST), "other").select("cls", "other", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")))
+            return dealt.join(sets, "cls").groupBy("other", "block").agg(F.first("blocks").alias(f"{name}_blocks"), F.collect_list(F.struct("cls", "tokens")).alias("all")).select(
+                "other", F.col("block").alias(f"{name}_block"), f"{name}_blocks", F.col("all.cls").alias(f"{name}_cls"), F.transform("all", lambda r: F.size(r["tokens"])).alias(f"{name}_n"), F.flatten("all.tokens").alias(f"{name}_tokens")
             )
 
-        two = blocks(queries, "q").join(blocks(members, "m"), "other").select("q_cls", "q_n", "q_tokens", "m_cls", "m_n", "m_tokens")
+        asking = queries.groupBy("other").agg(F.ceil(F.sum("n") / BLOCK).alias("asking"))
+        asked = blocks(members, "m").join(if_small(cut(asking), BROADCAST), "other").withColumn("task", F.explode(F.sequence(F.lit(0), F.least(F.col("asking"), F.lit(SPREAD)).cast("int") - 1)))
+        two = blocks(queries, "q").withColumn("task", F.pmod("q_block", F.lit(SPREAD)).cast("int")).join(asked, ["other", "task"]).select("q_cls", "q_n", "q_tokens", "m_cls", "m_n", "m_tokens")
 
         def make():
             def step(batch):
@@ -297,15 +324,32 @@ class Join:
         self.classes = classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.min("key").alias("key")))
         group = components(self.links(crowded)).withColumnRenamed("node", "cls")
         named = classes.join(group, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-        names = cut(named.join(least, "comp").select("cls", "component_id"))
+        least = named.groupBy("comp").agg(F.count("*").alias("members"), F.min("id").alias("component_id"))
+        names = cut(_by_group(cut(named.select("cls", "comp")), cut(least)).select("cls", "component_id"))
         return rows.join(names, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
+def _over_token(df: DataFrame, **aggregates) -> DataFrame:
+    """``df`` (token, hot, ...) with aggregates over all rows of each token.
+
+    Those of tokens that may be in very many rows are summed before they meet and joined back.
+    """
+    by = Window.partitionBy("token")
+    few = df.where("not hot").withColumns({k: a.over(by) for k, a in aggregates.items()})
+    hot = df.where("hot")
+    summed = hot.groupBy("token").agg(*(a.alias(k) for k, a in aggregates.items()))
+    return few.unionByName(hot.join(summed, "token").select(*few.columns))
+
+
+def _by_group(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``groups`` (comp, members, ...), a row for each group; the few large ones are broadcast.
 
-    return Window.partitionBy(column)
+    Large is a group of over LARGE members and one in 100,000 of all, so there are at most 100,000.
+    """
+    every = groups.agg(F.sum("members")).first()[0] or 0
+    large = F.col("members") > max(LARGE, every // 100_000)
+    few = F.broadcast(groups.where(large))
+    return df.join(few, "comp").unionByName(df.join(few, "comp", "left_anti").join(groups.where(~large), "comp"))
 
 
 def _listed(n, percent: int):

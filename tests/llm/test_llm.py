@@ -366,11 +366,34 @@ def test_jaccard_join_beyond_what_is_broadcast(spark, monkeypatch):
     sizes, comp = near(texts)
     monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "LARGE", 3)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
     assert got == {i: (sizes[i], comp[i]) for i in range(len(texts))}
     assert {r["doc_id"] for r in jaccard_join.keep_one(frame(spark, texts)).collect()} == set(comp)
 
 
+def test_jaccard_join_of_hot_passages(spark, monkeypatch):
+    """Every token is hot, half of the texts share a passage and one family is most of the table."""
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    texts = [passage + " " + prose(rng, rng.randrange(0, 40)) for _ in range(60)] + [prose(rng, 50) for _ in range(30)] + [passage] * 20
+    monkeypatch.setattr(jaccard_join, "LARGE", 2)
+    join = jaccard_join.Join
+    rows = join.rows
+    monkeypatch.setattr(join, "rows", lambda self: (rows(self)[0], np.ones(jaccard_join.BUCKETS, bool)))
+    sizes, comp = near(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame(spark, texts).repartition(5)).collect()}
+    assert got == {i: (sizes[i], comp[i]) for i in range(len(texts))}
+
+
+def test_jaccard_join_of_a_very_long_text(spark):
+    rng = random.Random(15)
+    body = prose(rng, 120_000)
+    texts = [body, body + " a few more words at the end", "short", None]
+    assert [r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+
+
 def test_keep_one_of_repeated_and_null_ids(spark):
     rng = random.Random(3)
     x, y, z = (prose(rng, 80) for _ in range(3))
