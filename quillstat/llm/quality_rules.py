@@ -7,17 +7,27 @@ language and source a minimum-covariance-determinant estimate of centre and
 scatter is found, and a text whose Mahalanobis distance from its group's centre
 passes a chi-square quantile is rejected.
 
+The estimate starts from four deterministic ones: medians with median absolute
+deviations, and with these the correlation of values squeezed by tanh, the scatter of
+directions from the centre, and the moments of rows that are near in every
+statistic.  Concentration steps (the half of a group's rows nearest to the centre gives
+the next estimate) improve all four twice, that of the least determinant goes on
+until its determinant falls no more.  Scatter is regularised: the square of a least
+spread of each statistic is added to its variance, so statistics that hardly vary
+in clean texts do not reject them.
+
 Everything is DataFrame expressions.  A concentration step sums the vectors and
-their products by group and by bin of the current distance; the bins nearest
-the centre that hold half of a group's rows give its next estimate.  The start
-is the medians and median absolute deviations, found from binned counts too, so
-no group is ever gathered in one task and nothing depends on the partitioning.
+their products by group and by bin of the current distance; medians come from
+binned counts too, so no group is ever gathered in one task and nothing depends on
+the partitioning.
 
 Defined results: a null text has no words and fails the fixed rules, as any
-text under ten words; repeated rows repeat their result; null languages and
-sources are groups of their own; groups under ``min_group`` rows are pooled by
-language, and languages under it together; an empty table gives an empty
-result; a group without spread in a statistic gets that statistic's floor.
+text under ten words; repeated rows repeat their result; rows at the same distance
+are all in a half or all out of it; null languages and sources are groups of their
+own; groups under ``min_group`` rows are pooled by language, and languages under it
+together; an empty table gives an empty result; a group without spread in a
+statistic gets that statistic's floor; a very long text takes memory of some times
+its size; input columns named as a result column are replaced.
 """
 
 from __future__ import annotations
@@ -129,7 +139,7 @@ def _median(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def _factor(params: DataFrame) -> DataFrame:
-    """(g, m0.., l..): centres with the Cholesky factor of the scatter, from centres and s_i_j."""
+    """(g, start, logdet, m0.., l..): centres with the Cholesky factor of the scatter, from centres and s_i_j."""
     out = params
     for i in range(P):
         for j in range(i + 1):
@@ -137,7 +147,7 @@ def _factor(params: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+    return out.select("g", "start", sum((2 * F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)).alias("logdet"), *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -159,13 +169,63 @@ def _estimate(near: DataFrame, factor: float) -> DataFrame:
             cov = F.col(f"b{i}{j}") / F.col("n") - mean[i] * mean[j]
             # sums of squares may fall a little below zero when there is no spread
             cols.append((F.greatest(cov, F.lit(0.0)) * factor + FLOORS[NAMES[i]] ** 2 if i == j else cov * factor).alias(f"s{i}{j}"))
-    return near.select("g", *cols)
+    return near.select("g", "start", *cols)
+
+
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _moments(values: list[Column], name: str, where: Column | None = None) -> list[Column]:
+    """Sums of ``values`` and of their products."""
+    own = values if where is None else [F.when(where, v).otherwise(0.0) for v in values]
+    return [F.sum(v).alias(f"{name}a{i}") for i, v in enumerate(own)] + [F.sum(own[i] * own[j]).alias(f"{name}b{i}{j}") for i, j in _PAIRS]
 
 
-def fit(counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = 200, steps: int = 4) -> tuple[DataFrame, DataFrame]:
+def _starts(x: DataFrame) -> DataFrame:
+    """The four first estimates of each group: (g, start, m_i, s_i_j)."""
+    long = x.select("g", F.posexplode(F.array(*(f"x{i}" for i in range(P)))).alias("dim", "x"))
+    middle = cut(_median(long, F.col("x")))
+    away = _median(long.join(if_small(middle, SMALL * P), ["g", "dim"]), F.abs(F.col("x") - F.col("median"))).withColumnRenamed("median", "mad")
+    both = middle.join(away, ["g", "dim"])
+    of = lambda value, i: F.max(F.when(F.col("dim") == i, value))
+    floor = F.element_at(F.array(*(F.lit(f * f) for f in FLOORS.values())), F.col("dim") + 1)
+    centre = cut(both.groupBy("g").agg(*(of(F.col("median"), i).alias(f"c{i}") for i in range(P)), *(of(F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + floor), i).alias(f"r{i}") for i in range(P))))
+    df = x.join(if_small(centre, SMALL), "g").select("g", *(((F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"r{i}")).alias(f"z{i}") for i in range(P)))
+    z = [F.col(f"z{i}") for i in range(P)]
+    squares = sum((v * v for v in z), F.lit(0.0))
+    near = F.greatest(*(F.abs(v) for v in z)) <= 3
+    direction = [F.when(squares > 0, v / F.sqrt(squares)).otherwise(0.0) for v in z]
+    sums = df.groupBy("g").agg(F.count("*").alias("n"), F.count_if(near).alias("k"), *_moments([F.tanh(v) for v in z], "t"), *_moments(direction, "u"), *_moments(z, "v", near)).join(centre, "g")
+    n, k = F.col("n"), F.greatest(F.col("k"), F.lit(1))
+
+    def cov(name, count, i, j, centred=True):
+        i, j = max(i, j), min(i, j)
+        return F.col(f"{name}b{i}{j}") / count - (F.col(f"{name}a{i}") / count * F.col(f"{name}a{j}") / count if centred else F.lit(0.0))
+
+    def corr(i, j):
+        both = cov("t", n, i, i) * cov("t", n, j, j)
+        return F.when(both > 1e-18, cov("t", n, i, j) / F.sqrt(both)).otherwise(0.0)
+
+    r = lambda i, j: F.col(f"r{i}") * F.col(f"r{j}")
+    made = []
+    for start in range(4):
+        cols = [(F.col(f"c{i}") + (F.col(f"r{i}") * F.col(f"va{i}") / k if start == 3 else 0.0)).alias(f"m{i}") for i in range(P)]
+        for i, j in _PAIRS:
+            # correlations a little under 1, so that every scatter has full rank
+            value = [F.lit(1.0 if i == j else 0.0), F.lit(1.0) if i == j else 0.99 * corr(i, j), P * cov("u", n, i, j, False) + (0.01 if i == j else 0.0), cov("v", k, i, j) + (0.01 if i == j else 0.0)][start]
+            cols.append((r(i, j) * value).alias(f"s{i}{j}"))
+        made.append(sums.select("g", F.lit(start).alias("start"), *cols))
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def fit(counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = 200, tol: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(assignment of groups, parameters of groups) from the rows that pass the fixed rules.
 
-    ``counted`` comes from :func:`counts` and is read several times.
+    ``counted`` comes from :func:`counts` and is read twice.  Steps end when no
+    group's logarithm of the determinant falls by more than ``tol``.
     """
     rows = _keys(counted, lang, source).where(~F.col("base_failed"))
     sizes = rows.groupBy("__lang", "__group").count()
@@ -173,31 +233,37 @@ def fit(counted: DataFrame, lang: str = "lang", source: str = "source", min_grou
     # small groups are pooled by language, and small pools together
     pooled = F.sum(F.when(small, F.col("count"))).over(Window.partitionBy("__lang"))
     groups = cut(sizes.select("__group", F.when(~small, F.concat(F.lit("g"), "__group")).when(pooled >= min_group, F.concat(F.lit("l"), "__lang")).otherwise("a").alias("g")))
-    x = rows.join(groups, "__group").select("g", *(s.alias(f"x{i}") for i, s in enumerate(statistics())))
-    long = x.select("g", F.posexplode(F.array(*(f"x{i}" for i in range(P)))).alias("dim", "x"))
-    middle = cut(_median(long, F.col("x")))
-    away = cut(_median(long.join(middle, ["g", "dim"]), F.abs(F.col("x") - F.col("median"))).withColumnRenamed("median", "mad"))
-    start = middle.join(away, ["g", "dim"]).groupBy("g").agg(
-        *(F.max(F.when(F.col("dim") == i, F.col("median"))).alias(f"m{i}") for i in range(P)),
-        *(F.max(F.when(F.col("dim") == i, F.pow(1.4826 * F.col("mad"), 2) + FLOORS[NAMES[i]] ** 2)).alias(f"s{i}{i}") for i in range(P)),
-    )
-    start = start.select("g", *(f"m{i}" for i in range(P)), *(F.col(f"s{i}{i}") if i == j else F.lit(0.0).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))
-    params = cut(_factor(start))
+    x = cut(rows.join(if_small(groups, SMALL), "__group").select("g", *(s.alias(f"x{i}") for i, s in enumerate(statistics()))))
     half = 0.5 / chi2_cdf(chi2_quantile(0.5, P), P + 2)  # makes the scatter of the nearer half that of a normal whole
     cutoff = chi2_quantile(0.975, P)
     most = 0.975 / chi2_cdf(cutoff, P + 2)
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"a{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}{j}") for i in range(P) for j in range(i + 1))]
-    again = [F.sum(c).alias(c) for c in ("n", *(f"a{i}" for i in range(P)), *(f"b{i}{j}" for i in range(P) for j in range(i + 1)))]
-    for _ in range(steps):
-        bins = _distance(x.join(params, "g")).groupBy("g", F.floor(F.log1p("d2") / _BIN).alias("bin")).agg(*sums)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = bins.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-        near = near.where(2 * F.col("before") < F.col("all")).groupBy("g").agg(*again)
-        params = cut(_factor(_estimate(near, half)))
+    values = [F.col(f"x{i}") for i in range(P)]
+    sums = [F.count("*").alias("n"), *_moments(values, "")]
+    again = [F.sum(c).alias(c) for c in ("n", *(f"a{i}" for i in range(P)), *(f"b{i}{j}" for i, j in _PAIRS))]
+    own = Window.partitionBy("g", "start")
+
+    def step(params: DataFrame) -> DataFrame:
+        bins = _distance(x.join(if_small(params, 4 * SMALL), "g")).groupBy("g", "start", F.floor(F.log1p("d2") / _BIN).alias("bin")).agg(*sums)
+        before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = bins.withColumn("before", before).withColumn("all", F.sum("n").over(own))
+        near = near.where(2 * F.col("before") < F.col("all")).groupBy("g", "start").agg(*again)
+        return cut(_factor(_estimate(near, half)))
+
+    def least(params: DataFrame) -> DataFrame:
+        """The one of the least determinant of each group."""
+        every = F.struct("logdet", "start", *(c for c in params.columns if c not in ("g", "logdet", "start")))
+        return cut(params.groupBy("g").agg(F.min(every).alias("p")).select("g", "p.*"))
+
+    best = least(step(step(cut(_factor(_starts(x))))))
+    while True:
+        new = step(best)
+        falls = new.join(best.select("g", F.col("logdet").alias("old")), "g").where(F.col("logdet") < F.col("old") - tol)
+        if falls.isEmpty():
+            break
+        best = least(best.unionByName(new.select(*best.columns)))
     # the usual reweighting: all rows within the 97.5 % quantile
-    near = _distance(x.join(params, "g")).where(F.col("d2") <= cutoff).groupBy("g").agg(*sums)
-    params = cut(_factor(_estimate(near, most)))
-    return groups, params
+    near = _distance(x.join(if_small(best, SMALL), "g")).where(F.col("d2") <= cutoff).groupBy("g", "start").agg(*sums)
+    return groups, cut(_factor(_estimate(near, most)).drop("start", "logdet"))
 
 
 def judge(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], lang: str = "lang", source: str = "source", tail: float = 1e-6) -> DataFrame:
@@ -217,8 +283,7 @@ def judge(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], lang: str = "
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    slim = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    fitted = fit(cut(counts(slim).drop("text")), **how)
-    whole = counts(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source")))
-    return judge(whole, fitted).where("kept").select("__row.*")
+    """The rows of ``docs`` that are kept, with their columns, which are kept with their counts while groups are fitted."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    whole = cut(counts(docs.select(row, F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))).drop("text"))
+    return judge(whole, fit(whole.drop("__row"), **how)).where("kept").select("__row.*")
