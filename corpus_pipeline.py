@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm.byte_bpe import decode, encode
-from quillstat.llm.common import shared_folder, table
+from quillstat.llm.common import remove, shared_folder, table
 from quillstat.llm.decontaminate import remove_documents
 from quillstat.llm.jaccard_join import keep_one
 from quillstat.llm.pii import replace
@@ -40,7 +40,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and secrets replaced, and ``n_chars`` of the new text."""
     new = replace(docs, PII_KEY)
-    return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return new.select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +67,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages before it wrote is deleted, whether they succeed or not."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    written = []
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            written.append(f"{folder}/{k}")
+            stage(spark, docs, sf_dir).write.parquet(written[-1])
+            docs = spark.read.parquet(written[-1])
+            for path in written[:-1]:
+                remove(spark, path)
+            written = written[-1:]
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs
