@@ -49,3 +49,38 @@ def test_stages(spark, tmp_path):
     assert ids(after[3]) == ids(after[2]) and after[3].where(F.length("text") != F.col("n_chars")).count() == 0
     joined = after[4].join(after[3].select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")), "doc_id")
     assert joined.where("h = decoded_sha256").count() == after[3].count()
+
+
+def test_run_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, empty and very long texts, extra and clashing columns; nothing is left behind."""
+    import random
+
+    from quillstat.llm.common import shared_folder
+
+    rng = random.Random(5)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    word = lambda k: (rng.choice(words) + rng.choice(["", "s", "ed", "ing"])).capitalize() if k % 10 == 0 else rng.choice(words) + rng.choice(["", "s", "ed", "ing"])
+    prose = lambda n: " ".join(map(word, range(n))) + "."
+    same, clash, long = prose(60), prose(60), prose(100_000)
+    bench = prose(40)
+    rows = [(i, prose(rng.randrange(20, 90))) for i in range(300)]
+    rows += [(900, same), (901, same), (901, clash), (902, clash + " more"), (None, same), (None, prose(50)), (903, None), (904, ""), (905, long), (906, bench), (907, prose(40) + " Mr. John Smith.")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or ""), "x", 1.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, items string, n_hit double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    after = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, after, str(tmp_path))
+        assert after.columns == docs.columns
+    kept = {(r["doc_id"], r["text"], r["items"], r["n_hit"]) for r in after.where("doc_id is null or doc_id >= 900").collect()}
+    # of the copies the least id, of the near copies too; null and empty texts and the benchmark passage are gone
+    assert {(i, len(t)) for i, t, _, _ in kept if i != 907} == {(900, len(same)), (901, len(clash)), (None, len(rows[305][1])), (905, len(long))}
+    assert {k[2:] for k in kept} == {("x", 1.5)} and not any("Smith" in t for _, t, _, _ in kept)
+    before = {p for p in os.listdir(shared_folder(spark).removeprefix("file:")) if p.startswith("pipeline-")}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == after.count() and out.where("doc_id = 905").first()["n_tokens"] > 100_000
+    (own,) = {p for p in os.listdir(shared_folder(spark).removeprefix("file:")) if p.startswith("pipeline-")} - before
+    assert os.listdir(os.path.join(shared_folder(spark).removeprefix("file:"), own)) == ["4"]
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
