@@ -110,6 +110,19 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bounded(rows: DataFrame, key: str, most: int, size: str | None = None, most_size: int = 0) -> DataFrame:
+    """About at most ``most`` of the rows of each value of ``key`` (and as many as have a sum of ``size`` of ``most_size``).
+
+    Rows are chosen by a hash of all their columns, so the choice does not depend on
+    how they are partitioned, and rare values keep all their rows at any number of others.
+    """
+    aggs = [F.count("*").alias("n"), *([F.sum(size).alias("m")] if size else [])]
+    share = F.least(F.lit(1.0), most / F.col("n"), *([most_size / F.greatest(F.col("m"), F.lit(1))] if size else []))
+    shares = rows.groupBy(key).agg(*aggs).select(key, share.alias("__share"))
+    hashed = F.pmod(F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in rows.columns)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(if_small(cut(shares), 400_000), key).where(hashed < F.col("__share")).select(*rows.columns)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with per-task state.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import fold, table
+from quillstat.llm.common import bounded, fold, table
 
 
 def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,21 +15,19 @@ def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, *model(docs.where(~F.col("held_out"))))
 
 
-#: Most labelled rows that a classifier learns from, about.
-MAX_LABELLED = 40_000
+#: Most labelled rows of each value of a label that a classifier learns from, about.
+MAX_LABELLED = 20_000
 
 
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts of the rows that a classifier may learn ``label`` from.
 
-    At most about MAX_LABELLED of the labels, chosen by a hash of the id, so they
-    are small enough to broadcast whatever the number of documents.
+    At most about MAX_LABELLED of the labels of each value, so they are small enough to broadcast
+    whatever the number of documents.
     """
-    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", label)
-    total = labels.count()
-    if total > MAX_LABELLED:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MAX_LABELLED / total * (1 << 30)))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", label)
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", label).where(F.col(label).isNotNull())
+    labels = bounded(labels, label, MAX_LABELLED)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", label)
 
 
 def op2_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

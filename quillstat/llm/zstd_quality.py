@@ -1,18 +1,21 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, from pieces of good and of bad labelled
-texts.  A text that compresses better with the good dictionary looks good: the
-difference of the two sizes, normalised by their sum and by the length, and the
-size without a dictionary, are calibrated to a probability by a logistic
-regression on labelled rows that the dictionaries have not seen.
+texts.  A text is compressed piece by piece with either, so that the dictionaries
+count for all of a long text: what compresses better with the good dictionary looks
+good.  The difference of the two sizes, normalised by their sum and by the length of
+the text, is calibrated to a probability by a logistic regression on labelled rows
+that the dictionaries have not seen.  Nothing else enters a score.
 
-Training takes bounded samples of the labelled rows, chosen by hashes of their
-texts: about ``dict_bytes`` bytes of pieces for each dictionary and about
-``max_calibration`` rows for the calibration.  Every document is scored whole.
+Training takes bounded samples of the labelled rows, chosen by hashes: about
+``dict_bytes`` bytes of pieces for each dictionary and about ``max_calibration``
+rows of each label for the calibration.  Every document is scored whole.
 
 Defined results: null and empty texts are scored as the empty text; repeated
-rows repeat their score; rows with a null label or text teach nothing; without
-rows of both labels every score is the share of label 1, or 0.5 with no labels.
+rows repeat their score, and so do texts with the same sizes; rows with a null label
+or text teach nothing; without rows of both labels every score is the share of label
+1, or 0.5 with no labels; an empty table gives an empty result; a very long text is
+compressed piece by piece; input columns named as a result column are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import map_batches
+from quillstat.llm.common import bounded, map_batches
 
-PIECE = 2048
+PIECE, SCORED = 2048, 1024  # bytes of a piece to learn from, and of one to score
 LEVEL = 3
 
 
@@ -48,18 +51,17 @@ class Sizes:
         import zstandard as z
 
         kind = z.DICT_TYPE_RAWCONTENT if model.raw else z.DICT_TYPE_AUTO
-        with_dict = [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
-        self.all = [*with_dict, z.ZstdCompressor(level=LEVEL, write_content_size=False)]
+        self.both = [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
 
-    def features(self, text: str | None) -> tuple[float, ...]:
+    def features(self, text: str | None) -> tuple[float, float]:
+        """The difference of the sizes over their sum, and over the length."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        good, bad, own = (len(c.compress(data)) for c in self.all)
-        n = len(data) + 1
-        d, s, log = (good - bad) / (good + bad), own / n, float(np.log(n))
-        return d, (good - bad) / n, s, good / n, bad / n, log, d * d, d * s, s * s, d * log, s * log
+        pieces = [data[at : at + SCORED] for at in range(0, len(data), SCORED)] or [b""]
+        good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.both)
+        return (good - bad) / (good + bad), (good - bad) / (len(data) + 1)
 
 
-FEATURES = 11
+FEATURES = 2
 
 
 def _dictionary(pieces: list[bytes], size: int) -> tuple[bytes, bool]:
@@ -72,11 +74,12 @@ def _dictionary(pieces: list[bytes], size: int) -> tuple[bytes, bool]:
         return b"".join(pieces)[-size:] or b"\0" * 8, True
 
 
-def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int = 65_536, dict_bytes: int = 4_000_000, max_calibration: int = 40_000) -> Model:
+def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int = 65_536, dict_bytes: int = 4_000_000, max_calibration: int = 20_000) -> Model:
     """The model of rows with ``text`` and a 0/1 ``label``."""
     t = F.col(f"`{text}`")
-    rows = labelled.select(t.alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    # half of the texts, by hash, build dictionaries; the others calibrate
+    others = [F.col(f"`{c}`").cast("string") for c in labelled.columns if c not in (text, label)]
+    rows = labelled.select(t.alias("text"), F.col(f"`{label}`").cast("int").alias("label"), F.xxhash64(F.lit(0), *others).alias("row")).where("text is not null and label in (0, 1)")
+    # half of the texts, by hash, build dictionaries; the others, none of them a copy, calibrate
     rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
     have = {(r["label"], r["half"]): (r["n"], r["bytes"]) for r in rows.groupBy("label", "half").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     n = [sum(v[0] for k, v in have.items() if k[0] == y) for y in (0, 1)]
@@ -106,10 +109,7 @@ def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int =
         good, bad = b"".join(pieces[1])[-dict_size:] or b"\0" * 8, b"".join(pieces[0])[-dict_size:] or b"\0" * 8
     model = Model(good, bad, raw0 or raw1, None, None, None, share)
     held = labelled.sparkSession.sparkContext.broadcast(model)
-    total = sum(have[y, 1][0] for y in (0, 1))
-    fit = rows.where("half = 1")
-    if total > max_calibration:
-        fit = fit.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int(max_calibration / total * (1 << 30)))
+    fit = bounded(rows.where("half = 1"), "label", max_calibration)
 
     def measure():
         sizes = Sizes(held.value)
@@ -130,12 +130,16 @@ def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int =
     return model
 
 
-def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
+def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """Newton's method, steps being halved while they lose."""
+    loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + 0.5 * ridge * w @ w
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a.T * (p * (1 - p) + 1e-6)) @ a + ridge * np.eye(len(w))
         move = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        while loss(w + move) > loss(w) and np.abs(move).max() > 1e-9:
+            move /= 2
         w += move
         if np.abs(move).max() < 1e-9:
             break
