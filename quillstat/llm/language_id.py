@@ -9,30 +9,36 @@ length where the profile lacks the n-gram.  N-grams that no profile has add the
 same to every language, so documents are ranked over those that some profile
 has.
 
-Profiles are learned from at most about ``max_train`` labelled rows, chosen by
-a hash of text so that the choice does not depend on the partitioning; every
-document is scored over its whole text.
+Profiles are learned from at most about ``max_train`` labelled rows of each
+language, chosen by a hash of the row so that the choice does not depend on the
+partitioning and copies of a text are not chosen together; every document is
+scored over its whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
-letters of no profile give the most frequent language with score 0; equal
-distances go to the more frequent language; rows with a null language teach
-nothing; with nothing to learn from every text is ``und``.
+letters of no profile give the most frequent language of the profiles with score 0;
+equal distances go to the more frequent language; rows with a null language teach
+nothing; with nothing to learn from every text is ``und``; repeated rows repeat
+their result; an empty table gives an empty result; a very long text takes memory
+of some times its size; input columns named as a result column are replaced.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import map_batches
+from quillstat.llm.common import bounded, map_batches, portions
 
-ROWS = 128
+ROWS, CHARS = 128, 1 << 20
 BITS = 21  # of a code point
 
 
+@cache
 def letters() -> np.ndarray:
-    """Whether each code point is a letter."""
+    """Whether each code point is a letter; found once by each worker."""
     table = np.zeros(0x110000, bool)
     table[[c for c in range(0x110000) if chr(c).isalpha()]] = True
     return table
@@ -67,12 +73,11 @@ def pack(gram: str) -> int:
     return sum(ord(ch) << BITS * i for i, ch in enumerate(gram))
 
 
-def profiles(train: DataFrame, size: int = 300, max_train: int = 20_000, text: str = "text", lang: str = "lang") -> DataFrame:
+def profiles(train: DataFrame, size: int = 300, max_train: int = 5_000, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n, rank) of each language, ranks from 0, ties in the order of the n-grams."""
-    rows = train.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
-    if total > max_train:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(max_train / total * (1 << 30)))
+    others = [F.col(f"`{c}`").cast("string") for c in train.columns if c not in (text, lang)]
+    rows = train.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.lit(0), *others).alias("row")).where("text is not null and lang is not null")
+    rows = bounded(rows, "lang", max_train).select("text", "lang")
 
     def make():
         letter = letters()
@@ -175,8 +180,8 @@ def identify(docs: DataFrame, learned: DataFrame, size: int = 300, text: str = "
         def step(batch):
             texts = batch.column(len(keep))
             rows = []
-            for at in range(0, batch.num_rows, ROWS):
-                rows += ranks.value.predict([t or "" for t in texts.slice(at, ROWS).to_pylist()], letter)
+            for _, own in portions(texts, ROWS, CHARS):
+                rows += ranks.value.predict([t or "" for t in own], letter)
             return {c: batch.column(i) for i, c in enumerate(keep)} | {"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]}
 
         return step
