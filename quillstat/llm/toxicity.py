@@ -7,14 +7,18 @@ gradient steps on the noisy-or likelihood.  The sentence scores then locate the
 offending sentences.
 
 What has weights are words and the first three, four and five letters of words
-(insults are inflected), those whose document frequencies differ most between
-the labels (by the G statistic).  Training takes a bounded sample of about
-``max_train`` labelled rows, chosen by a hash of their texts; every document is
-scored over all its sentences.
+(insults are inflected): the ``size`` of them (1,000) whose document frequencies
+differ most between the labels (by the G statistic), ties in their order, of those in
+``min_docs`` (5) documents at least.  Training takes a bounded sample of labelled rows,
+of each label about ``max_train`` (10,000) and ``max_chars`` characters (50 million),
+chosen by a hash of the row; what of it reaches the driver are the numbers of the
+known marks of each sentence.  Every document is scored over all its sentences.
 
 Defined results: null and empty texts have no sentence and score 0; repeated
 rows repeat their score; rows with a null label or text teach nothing; without
-rows of both labels every score is the share of label 1 (0 with no labels).
+rows of both labels every score is the share of label 1 (0 with no labels); an empty
+table gives an empty result; a very long text is scored sentence by sentence; input
+columns named as a result column are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import map_batches
+from quillstat.llm.common import bounded, map_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -69,10 +73,10 @@ class Model:
     share: float | None = None
 
 
-def sample(labelled: DataFrame, label: str, text: str, max_train: int) -> DataFrame:
-    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    total = rows.count()
-    return rows if total <= max_train else rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(max_train / total * (1 << 30)))
+def sample(labelled: DataFrame, label: str, text: str, max_train: int, max_chars: int) -> DataFrame:
+    others = [F.col(f"`{c}`").cast("string") for c in labelled.columns if c not in (text, label)]
+    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label"), F.xxhash64(F.lit(0), *others).alias("row")).where("text is not null and label in (0, 1)")
+    return bounded(rows.withColumn("chars", F.length("text")), "label", max_train, "chars", max_chars).select("text", "label")
 
 
 def vocabulary(rows: DataFrame, size: int, min_docs: int) -> DataFrame:
@@ -103,8 +107,8 @@ def vocabulary(rows: DataFrame, size: int, min_docs: int) -> DataFrame:
     return counts.where(n >= min_docs).select("word", (2 * g).alias("g")).orderBy(F.desc("g"), "word").limit(size)
 
 
-def train(labelled: DataFrame, label: str, text: str = "text", size: int = 1000, min_docs: int = 5, max_train: int = 20_000, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) -> Model:
-    rows = sample(labelled, label, text, max_train)
+def train(labelled: DataFrame, label: str, text: str = "text", size: int = 1000, min_docs: int = 5, max_train: int = 10_000, max_chars: int = 50_000_000, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) -> Model:
+    rows = sample(labelled, label, text, max_train, max_chars)
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
         return Model({}, 0.0, float(next(iter(n), 0)))

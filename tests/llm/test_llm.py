@@ -153,6 +153,24 @@ def test_language(spark):
     assert all(odd[i] == ("und", 0.0) for i, t in enumerate(ODD) if not any(c.isalpha() for c in t or ""))
     assert odd[6] == ("aa", 0.0) or odd[6][0] in kinds
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.profiles(empty(spark))).collect()} == {"und"}
+    # the distance, by sorting and counting
+    ranks = {}
+    for r in learned.collect():
+        ranks.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+    weight = {k: sum(r["n"] for r in learned.where(f"lang = '{k}'").collect()) for k in ranks}
+    joint = Counter({g: n for g, n in ((r["gram"], r["n"]) for r in learned.groupBy("gram").agg(F.sum("n").alias("n")).collect())})
+    for i, t in [*enumerate(texts), *((len(texts), t) for t in ODD if t)]:
+        low = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        seen = Counter(c for c in low if c != " ") + Counter(low[j : j + 2] for j in range(len(low) - 1) if low[j : j + 2] != "  ") + Counter(low[j : j + 3] for j in range(len(low) - 2) if low[j + 1] != " ")
+        own = sorted((g for g in seen if g in joint), key=lambda g: (-seen[g], -joint[g], language_id.pack(g)))[:300]
+        if not own or i == len(texts):
+            continue
+        away = {k: sum(abs(ranks[k][g] - j) if g in ranks[k] else 300 for j, g in enumerate(own)) for k in ranks}
+        best = min(away, key=lambda k: (away[k], -weight[k], k))
+        assert out[i]["lang_pred"] == best and out[i]["score"] == pytest.approx(1 - away[best] / (300 * len(own)))
+    # a rare language keeps all its rows beside a frequent one
+    few = language_id.profiles(docs.where("lang <> 'bb' or doc_id % 20 = 0"), max_train=5)
+    assert {r["lang"] for r in few.collect()} == {"aa", "bb", "cc"}
     whole = language_id.profiles(docs).where("lang = 'aa' and length(gram) = 1 and gram <> ' '").collect()
     counts = Counter(c for t, k in zip(texts, langs, strict=True) if k == "aa" for c in t if c.isalpha())
     assert {r["gram"]: r["n"] for r in whole} == counts
@@ -169,6 +187,16 @@ def test_quality(spark):
     model = zstd_quality.train(docs.where("doc_id % 3 > 0"), "label")
     out = zstd_quality.score(docs, model).where("doc_id % 3 = 0").collect()
     assert sum(r["predicted"] == r["label"] for r in out) >= 0.97 * len(out)
+    # by compressing with both dictionaries
+    import zstandard
+
+    kind = zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_AUTO
+    size = [lambda b, d=d: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False).compress(b)) for d in (model.good, model.bad)]
+    for r in out[:30]:
+        data = (good + bad)[r["doc_id"]].encode()
+        g, b = (sum(f(data[k : k + 1024]) for k in range(0, len(data), 1024)) for f in size)
+        x = (np.array([(g - b) / (g + b), (g - b) / (len(data) + 1)]) - model.mean) / model.scale
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + x @ model.weights[1:]))))
     odd = zstd_quality.score(frame(spark, ODD + ODD, score=["clash"] * 2 * len(ODD)), model).collect()
     by = {r["doc_id"]: r["score"] for r in odd}
     assert all(0 <= v <= 1 for v in by.values()) and all(by[i] == by[i + len(ODD)] for i in range(len(ODD))) and by[0] == by[1]
@@ -197,7 +225,14 @@ def test_toxicity(spark):
     for i in held:  # the sentence is located
         if labels[i]:
             assert any("You are" in texts[i][s["begin"] : s["end"]] for s in out[i]["offending"])
-    odd = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, ODD), model).collect()}
+    # noisy-or of sentences, by words
+    for i in held:
+        p = [1 / (1 + math.exp(-model.bias - sum(model.weights.get(m, 0.0) for m in {m for w in re.findall(r"[^\W\d_]+", x.lower()) for m in toxicity.marks(w)}))) for x in re.findall(r"[^.!?\n]+[.!?]*", texts[i])]
+        assert out[i]["score"] == pytest.approx(1 - math.prod(1 - x for x in p))
+        assert [s["score"] for s in out[i]["offending"]] == pytest.approx([x for x in p if x >= 0.5])
+    long = toxicity.score(frame(spark, [prose(rng, 150_000) + ". You are scum.", None]), model).orderBy("doc_id").collect()
+    assert long[0]["predicted"] == 1 and long[1]["score"] == 0
+    odd = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, ODD, score=["clash"] * len(ODD)), model).collect()}
     assert odd[0] == odd[1] == 0 and all(0 <= v <= 1 for v in odd.values())
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs.limit(0), "label")).collect()} == {0.0}
 
@@ -555,7 +590,8 @@ def held(text, templates, percent=80):
         share, back = max((100.0 * len(own & set(h[i : i + length])) / len(own), -i) for i in range(0, len(h), step))
         if share >= percent:
             out.append((name, -back, share))
-    return sorted(out)
+    sets = {n: set(shingles(templates[n])) for n, _, _ in out}
+    return sorted(x for x in out if not any(y[2] > x[2] and 2 * len(sets[x[0]] & sets[y[0]]) > len(sets[x[0]]) for y in out))
 
 
 def test_licenses(spark):
@@ -577,6 +613,8 @@ def test_licenses(spark):
     assert sum(map(len, got.values())) > 100 and "MIT#text" in {x[0] for x in got[len(texts) - 1]}
     # a filter on the result is still planned
     assert found.where("exists(licenses, x -> x.name like 'MIT%' and x.percent = 100)").where("size(licenses) > 0").count() == sum(any(n.startswith("MIT") and p == 100 for n, _, p in x) for x in got.values())
+    versions = license_scan.scan(frame(spark, ["This is licensed under the GNU General Public License, version 3."])).first()["licenses"]
+    assert [x["name"] for x in versions] == ["GPL-3.0#notice1"]
     small = license_scan.scan(frame(spark, ["all rights reserved", "two words", None]), {"t": "two words", "r": "all rights reserved", "e": "..."})
     assert [[x["name"] for x in r["licenses"]] for r in small.orderBy("doc_id").collect()] == [["r"], ["t"], []]
     assert license_scan.scan(empty(spark)).count() == 0
