@@ -114,6 +114,28 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules)}
 
 SQL: dict[str, str] = {
+    "op3_jaccard_join": r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct r, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') as t
+  from (select r, w, unnest(range(1, greatest(len(w) - 3, 2)::bigint)) as i from d where len(w) > 0)
+), n as (
+  select r, count(*) as n from s group by r
+), p as (
+  select a.r as x, b.r as y, count(*) as o from s a join s b using (t) where a.r < b.r group by all
+), l as (
+  select x, y from p join n a on a.r = x join n b on b.r = y where 100 * o >= 75 * (a.n + b.n - o)
+), e as (
+  select x, y from l union all select y, x from l
+), c as (
+  select r, r as m from n union select c.r, e.y from c join e on e.x = c.m
+), least_id as (
+  select c.r, min(o.doc_id) as component_id from c join d o on o.r = c.m group by c.r
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id from d left join n using (r) left join least_id using (r)
+""",
     "op8_decontaminate": r"""
 with d as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w

@@ -1,7 +1,8 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, from pieces of good and of bad labelled
-texts.  A text is compressed piece by piece with either, so that the dictionaries
+Pairs of zstandard dictionaries are built, from pieces of good and of bad labelled
+texts; what a dictionary holds varies with the order of its pieces, so there are
+``PAIRS`` of them, in as many orders, and differences are their means.  A text is compressed piece by piece with either, so that the dictionaries
 count for all of a long text: what compresses better with the good dictionary looks
 good.  The difference of the two sizes, normalised by their sum and by the length of
 the text, is calibrated to a probability by a logistic regression on labelled rows
@@ -29,14 +30,14 @@ from pyspark.sql import functions as F
 
 from quillstat.llm.common import bounded, map_batches
 
-PIECE, SCORED = 2048, 1024  # bytes of a piece to learn from, and of one to score
+PIECE, SCORED = 2048, 512  # bytes of a piece to learn from, and of one to score
 LEVEL = 3
+PAIRS = 4
 
 
 @dataclass
 class Model:
-    good: bytes | None
-    bad: bytes | None
+    pairs: list[tuple[bytes, bytes]]  # of the good and of the bad
     raw: bool
     weights: np.ndarray | None
     mean: np.ndarray | None
@@ -51,14 +52,15 @@ class Sizes:
         import zstandard as z
 
         kind = z.DICT_TYPE_RAWCONTENT if model.raw else z.DICT_TYPE_AUTO
-        self.both = [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+        self.pairs = [[z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False) for d in pair] for pair in model.pairs]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """The difference of the sizes over their sum, and over the length."""
         data = (text or "").encode("utf-8", "surrogatepass")
         pieces = [data[at : at + SCORED] for at in range(0, len(data), SCORED)] or [b""]
-        good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.both)
-        return (good - bad) / (good + bad), (good - bad) / (len(data) + 1)
+        sizes = [[sum(len(c.compress(p)) for p in pieces) for c in pair] for pair in self.pairs]
+        n = len(sizes)
+        return sum((g - b) / (g + b) for g, b in sizes) / n, sum(g - b for g, b in sizes) / n / (len(data) + 1)
 
 
 FEATURES = 2
@@ -85,7 +87,7 @@ def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int =
     n = [sum(v[0] for k, v in have.items() if k[0] == y) for y in (0, 1)]
     share = n[1] / sum(n) if sum(n) else 0.5
     if not all(n) or not all((y, h) in have for y in (0, 1) for h in (0, 1)):
-        return Model(None, None, False, None, None, None, share)
+        return Model([], False, None, None, None, share)
     part = {y: min(1.0, dict_bytes / max(1, have[y, 0][1])) for y in (0, 1)}
 
     def cut_pieces():
@@ -103,11 +105,18 @@ def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int =
         return step
 
     sample = map_batches(rows.where("half = 0").select("text", "label"), "label int, piece binary", cut_pieces).collect()
-    pieces = {y: sorted(bytes(r["piece"]) for r in sample if r["label"] == y) for y in (0, 1)}
-    (good, raw1), (bad, raw0) = _dictionary(pieces[1], dict_size), _dictionary(pieces[0], dict_size)
-    if raw1 != raw0:  # both of one kind
-        good, bad = b"".join(pieces[1])[-dict_size:] or b"\0" * 8, b"".join(pieces[0])[-dict_size:] or b"\0" * 8
-    model = Model(good, bad, raw0 or raw1, None, None, None, share)
+    pieces = {y: [bytes(r["piece"]) for r in sample if r["label"] == y] for y in (0, 1)}
+    pairs, raw = [], False
+    for k in range(PAIRS):
+        # orders that mix texts: a dictionary is chosen from one stretch of the pieces after another
+        own = [sorted(pieces[y], key=lambda p: (zlib.crc32(p, k), p)) for y in (1, 0)]
+        (good, raw1), (bad, raw0) = (_dictionary(p, dict_size) for p in own)
+        raw = raw or raw1 or raw0
+        pairs.append((good, bad))
+        if raw:  # all of one kind
+            pairs = [tuple(b"".join(p)[-dict_size:] or b"\0" * 8 for p in own)]
+            break
+    model = Model(pairs, raw, None, None, None, share)
     held = labelled.sparkSession.sparkContext.broadcast(model)
     fit = bounded(rows.where("half = 1"), "label", max_calibration)
 
@@ -124,7 +133,7 @@ def train(labelled: DataFrame, label: str, text: str = "text", dict_size: int =
     order = np.lexsort(x.T)  # the same sums however the rows came in
     x, y = x[order], y[order]
     if not len(y) or y.min() == y.max():
-        return Model(None, None, False, None, None, None, share)
+        return Model([], False, None, None, None, share)
     model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     model.weights = _logistic(np.c_[np.ones(len(x)), (x - model.mean) / model.scale], y)
     return model

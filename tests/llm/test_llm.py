@@ -191,11 +191,11 @@ def test_quality(spark):
     import zstandard
 
     kind = zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_AUTO
-    size = [lambda b, d=d: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False).compress(b)) for d in (model.good, model.bad)]
+    size = lambda b, d: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False).compress(b))
     for r in out[:30]:
         data = (good + bad)[r["doc_id"]].encode()
-        g, b = (sum(f(data[k : k + 1024]) for k in range(0, len(data), 1024)) for f in size)
-        x = (np.array([(g - b) / (g + b), (g - b) / (len(data) + 1)]) - model.mean) / model.scale
+        each = [[sum(size(data[k : k + 512], d) for k in range(0, len(data), 512)) for d in pair] for pair in model.pairs]
+        x = (np.array([np.mean([(g - b) / (g + b) for g, b in each]), np.mean([g - b for g, b in each]) / (len(data) + 1)]) - model.mean) / model.scale
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + x @ model.weights[1:]))))
     odd = zstd_quality.score(frame(spark, ODD + ODD, score=["clash"] * 2 * len(ODD)), model).collect()
     by = {r["doc_id"]: r["score"] for r in odd}
