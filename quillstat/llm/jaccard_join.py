@@ -211,11 +211,13 @@ class Join:
     def check(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b: classes) that link, by their whole sets."""
         pairs = cut(pairs)
+        release(self.spark)
         wanted = cut(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
         sets = self.sets_of(wanted)
         two = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
+        release(self.spark)
         return cut(two.where(100 * both >= self.percent * union).select("a", "b"))
 
     def links(self, crowded: np.ndarray) -> DataFrame:
@@ -227,8 +229,11 @@ class Join:
             scratch.close()
 
     def _links(self, crowded: np.ndarray, p: int, scratch: Scratch) -> DataFrame:
-        shared = _over_token(self.index(crowded), one=F.min("cls"), other=F.max("cls")).where("one <> other").select("token", "cls", "n", "hot")
+        index = self.index(crowded)
+        hot = scratch.keep(index.where("hot"))
+        shared = _over_token(index.where("not hot"), hot, one=F.min("cls"), other=F.max("cls")).where("one <> other").select("token", "cls", "n", "hot")
         shared = scratch.keep(shared)
+        scratch.drop(hot)
         release(self.spark)
         # 1. groups: a class whose listed tokens are more widely shared is likelier to be near its copies
         score = if_small(cut(shared.groupBy("cls").agg((F.count("*") / F.first(_listed(F.col("n"), p))).alias("score"))), BROADCAST)
@@ -237,20 +242,22 @@ class Join:
             at = shared.join(score, "cls")
             at = at if group is None else at.join(group.withColumnRenamed("node", "cls"), "cls", "left")
             at = at.withColumn("comp", F.col("cls") if group is None else F.coalesce("comp", "cls"))
-            at = _over_token(at, best=F.max(F.struct("score", "cls", "n", "comp"))).where("comp <> best.comp")
+            at = _over_token(at.where("not hot"), at.where("hot"), best=F.max(F.struct("score", "cls", "n", "comp"))).where("comp <> best.comp")
             stars = at.groupBy("cls", "n", F.col("best.cls").alias("centre"), F.col("best.n").alias("m")).count()
             rest = F.greatest(*(F.col(c) - _listed(F.col(c), p) for c in ("n", "m")))
             stars = stars.where(F.col("count") + rest >= least_overlap(p, F.col("n"), F.col("m"))).where((100 * F.col("n") >= p * F.col("m")) & (100 * F.col("m") >= p * F.col("n")))
             best = stars.groupBy("cls").agg(F.max(F.struct("count", F.col("centre"))).alias("best")).select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
             found = self.check(best)
+            release(self.spark)
             first = found if first is None else cut(first.unionByName(found))
             group = components(first)
             release(self.spark)
         # 2. the matrix: (token, group) with the range of its members' sizes
         listed_by = shared.join(if_small(group.select(F.col("node").alias("cls"), "comp"), BROADCAST), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         spread = cut(listed_by.groupBy("comp", "cls").agg(F.first("n").alias("n")).groupBy("comp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
-        both = _over_token(listed_by, one=F.min("comp"), two=F.max("comp")).where("one <> two").select("token", "cls", "n", "comp")
+        both = _over_token(listed_by.where("not hot"), listed_by.where("hot"), one=F.min("comp"), two=F.max("comp")).where("one <> two").select("token", "cls", "n", "comp")
         listed_by = scratch.keep(both)
+        release(self.spark)
         matrix = _by_group(scratch.keep(listed_by.select("token", "comp").distinct()), spread).withColumnRenamed("comp", "other")
         queries = _by_group(listed_by, spread.select("comp", "members")).withColumnRenamed("members", "own")
         # 3. the smaller group asks the larger one
@@ -266,6 +273,7 @@ class Join:
         open_ = counted.where((m_low <= m_high) & (bound(m_low) | bound(m_high)))
         # 4. members of opened groups
         opened = cut(open_.select("cls", "n", "other"))
+        release(self.spark)
         others = if_small(opened.select("other").distinct(), BROADCAST)
         sizes = shared.groupBy("cls").agg(F.first("n").alias("n"))
         member = sizes.join(group.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("other"))
@@ -288,6 +296,7 @@ class Join:
         def blocks(side: DataFrame, name: str) -> DataFrame:
             many = side.groupBy("other").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
             dealt = cut(side.join(if_small(cut(many), BROADCAST), "other").select("cls", "other", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")))
+            release(self.spark)
             return dealt.join(sets, "cls").groupBy("other", "block").agg(F.first("blocks").alias(f"{name}_blocks"), F.collect_list(F.struct("cls", "tokens")).alias("all")).select(
                 "other", F.col("block").alias(f"{name}_block"), f"{name}_blocks", F.col("all.cls").alias(f"{name}_cls"), F.transform("all", lambda r: F.size(r["tokens"])).alias(f"{name}_n"), F.flatten("all.tokens").alias(f"{name}_tokens")
             )
@@ -329,14 +338,10 @@ class Join:
         return rows.join(names, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _over_token(df: DataFrame, **aggregates) -> DataFrame:
-    """``df`` (token, hot, ...) with aggregates over all rows of each token.
-
-    Those of tokens that may be in very many rows are summed before they meet and joined back.
-    """
+def _over_token(few: DataFrame, hot: DataFrame, **aggregates) -> DataFrame:
+    """Rows (token, ...) with aggregates over all rows of each token, those of tokens that may be in very many (``hot``) being summed before they meet and joined back."""
     by = Window.partitionBy("token")
-    few = df.where("not hot").withColumns({k: a.over(by) for k, a in aggregates.items()})
-    hot = df.where("hot")
+    few = few.withColumns({k: a.over(by) for k, a in aggregates.items()})
     summed = hot.groupBy("token").agg(*(a.alias(k) for k, a in aggregates.items()))
     return few.unionByName(hot.join(summed, "token").select(*few.columns))
 
