@@ -120,7 +120,7 @@ def weighted_mean(x: Column | str, w: Column | str) -> Column:
 
 
 def weighted_cov(x: Column | str, y: Column | str, w: Column | str) -> Column:
-    """Weighted population covariance of rows without nulls, from shifted sums in one pass."""
+    """Weighted population covariance of rows without nulls, in one pass; of values far from 0 use tableone.weighted_moments, which takes two."""
     x, y, w = col(x).cast("double"), col(y).cast("double"), col(w).cast("double")
     return F.sum(x * y * w) / F.sum(w) - (F.sum(x * w) / F.sum(w)) * (F.sum(y * w) / F.sum(w))
 
@@ -141,7 +141,7 @@ def proportion_ci(c: Column | str, alpha: float = 0.05, method: str = "wald") ->
         mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
         lo, hi = (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
     else:
-        raise ValueError(f"method is wald or wilson, not {method}; exact limits come from proportion_limits")
+        raise ValueError(f"method is wald or wilson, not {method}; exact limits come from hypothesis.binom_test")
     nan = F.lit(float("nan"))
     return F.struct(F.when(n > 0, lo).otherwise(nan).alias("lo"), F.when(n > 0, hi).otherwise(nan).alias("hi"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.plans.ordered import running
+
 
 def exact_match(df: DataFrame, treatment: str, covariates: list[str], estimand: str = "ATT") -> DataFrame:
     """(covariates, treated, controls, weight of each treated and each control) of strata with both arms."""
@@ -33,6 +35,41 @@ def cem(df: DataFrame, treatment: str, breaks: dict[str, list[float]], estimand:
     return exact_match(binned, treatment, [f"{c}_bin" for c in breaks], estimand)
 
 
+def nearest_match(df: DataFrame, unit: str, treatment: str, score: str, exact: list[str] | None = None, caliper: float | None = None, std_caliper: bool = True) -> DataFrame:
+    """(exact, treated, control, distance): for each treated unit the control of the nearest score, controls being used again.
+
+    Of equally near controls that of the lower score counts, of one score that of
+    the least unit.  ``caliper`` is in standard deviations of the score over all
+    units, or in its own measure.  Controls are summed by score, and running maxima
+    and minima over the scores find the next lower and the next higher one, so no
+    pairs are made.  Rows without a unit, treatment, score or exact value are left out.
+    """
+    keys = exact or []
+    have = df.select(*keys, F.col(unit).alias("__u"), (F.col(treatment).cast("double") > 0).alias("__t"), F.col(score).cast("double").alias("__s"))
+    for c in have.columns:
+        have = have.where(F.col(f"`{c}`").isNotNull())
+    have = have.where(~F.isnan("__s"))
+    controls = have.where(~F.col("__t")).groupBy(*keys, F.col("__s").alias("__c")).agg(F.min("__u").alias("control"))
+    line = have.groupBy(*keys, "__s").agg(F.max(F.when(~F.col("__t"), F.col("__s"))).alias("__own"))
+    line = running(line, "__s", {"__low": ("max", "__own")}, tuple(keys))
+    line = running(line, "__s", {"__high": ("min", "__own")}, tuple(keys), descending=True)
+    low, high = F.col("__s") - F.col("__low"), F.col("__high") - F.col("__s")
+    line = line.withColumn("__c", F.when(F.col("__high").isNull() | (low <= high), F.col("__low")).otherwise(F.col("__high"))).select(*keys, "__s", "__c")
+    out = have.where("__t").join(line, [*keys, "__s"]).join(controls, [*keys, "__c"])
+    out = out.select(*keys, F.col("__u").alias("treated"), "control", F.abs(F.col("__s") - F.col("__c")).alias("distance"))
+    if caliper is None:
+        return out
+    limit = caliper * (have.agg(F.stddev_samp("__s")).first()[0] or 0.0) if std_caliper else caliper
+    return out.where(F.col("distance") <= F.lit(float(limit)))
+
+
+def match_weights(pairs: DataFrame) -> DataFrame:
+    """(unit, weight) of matched units: 1 of a treated one; of a control how often it was taken, scaled so that all controls sum to their number."""
+    taken = pairs.groupBy(F.col("control").alias("unit")).agg(F.count("*").alias("k"))
+    total = taken.agg((F.count("*") / F.sum("k")).alias("scale"))
+    return pairs.select(F.col("treated").alias("unit"), F.lit(1.0).alias("weight")).unionByName(taken.join(F.broadcast(total)).select("unit", (F.col("k") * F.col("scale")).alias("weight")))
+
+
 def propensity_weights(df: DataFrame, treatment: str, ps: str, estimand: str = "ATE", stabilize: bool = False, out: str = "weight") -> DataFrame:
     """``df`` with weights of the estimand from a propensity column: ATE, ATT, ATC or ATO."""
     t, p = F.col(treatment).cast("double"), F.col(ps)
@@ -75,12 +112,13 @@ def balance(df: DataFrame, treatment: str, covariates: list[str], weight: str |
 
 
 def standardize(df: DataFrame, treatment: str, outcome: str, covariates: list[str]) -> DataFrame:
-    """(arm, mean): the outcome's mean in each arm, standardised to all rows over cells of ``covariates``."""
+    """(arm, mean, share): the outcome's mean in each arm, standardised over cells of ``covariates`` with both arms, and the share of rows in such cells."""
     t = F.col(treatment).cast("int") > 0
     y = F.col(outcome).cast("double")
     cells = df.groupBy(*covariates).agg(F.count("*").alias("n"), F.avg(F.when(t, y)).alias("m1"), F.avg(F.when(~t, y)).alias("m0"))
-    one = cells.where("m1 is not null and m0 is not null").agg((F.sum(F.col("n") * F.col("m1")) / F.sum("n")).alias("m1"), (F.sum(F.col("n") * F.col("m0")) / F.sum("n")).alias("m0"))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"m{a}").alias("mean")) for a in (0, 1)))).alias("r")).select("r.*")
+    both = F.when(F.col("m1").isNotNull() & F.col("m0").isNotNull(), F.col("n"))
+    one = cells.agg((F.sum(both * F.col("m1")) / F.sum(both)).alias("m1"), (F.sum(both * F.col("m0")) / F.sum(both)).alias("m0"), (F.sum(both) / F.sum("n")).alias("share"))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"m{a}").alias("mean"), F.col("share")) for a in (0, 1)))).alias("r")).select("r.*")
 
 
 def pool_rubin(fits: DataFrame, m: int) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstat.functions.columns import col
-from quillstat.functions.dist import beta_ppf, chi2_sf, f_sf, norm_cdf, norm_ppf, t_ppf, t_sf
-from quillstat.plans.ordered import mid_ranks, running_sums
+from quillstat.functions.dist import beta_i, beta_ppf, chi2_sf, f_sf, norm_cdf, norm_ppf, t_ppf, t_sf
+from quillstat.plans.ordered import mid_ranks, running, running_sums
 
 
 @dataclass
@@ -117,13 +117,48 @@ def chisq_test(df: DataFrame, a: str, b: str, correct: bool = True) -> HTest:
     return HTest("chi-square", stat, chi2_sf(stat, dof), dof)
 
 
+def _two_sided(log_prob, own: int, low: int, high: int) -> float:
+    """The sum of all probabilities up to that of ``own``, of a distribution with one peak.
+
+    Where the tails begin is found by halving, and terms are added from there until
+    they vanish, so their number goes with the spread and not with the counts.
+    """
+    limit = log_prob(own) + 1e-7
+    a, b = low, high
+    while a < b:  # the peak
+        mid = (a + b) // 2
+        a, b = (mid + 1, b) if log_prob(mid + 1) > log_prob(mid) else (a, mid)
+    peak = a
+
+    def first(near: int, far: int) -> int | None:
+        """The place nearest to the peak, from ``near`` to ``far``, that is up to the limit."""
+        if log_prob(far) > limit:
+            return None
+        while near != far:
+            mid = near + (far - near) // 2 if far > near else near - (near - far) // 2
+            near, far = (near, mid) if log_prob(mid) <= limit else (mid + (1 if far > near else -1), far)
+        return far
+
+    total = 0.0
+    for near, far, step in ((peak, low, -1), (peak + 1, high, 1)):
+        x = first(near, far) if (far - near) * step >= 0 else None
+        while x is not None and (far - x) * step >= 0:
+            term = math.exp(log_prob(x))
+            total += term
+            if term < 1e-18 * total:
+                break
+            x += step
+    return min(1.0, total)
+
+
+def _log_choose(m: int, j: int) -> float:
+    return math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1)
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p value of a two-by-two table."""
     n, r, k = a + b + c + d, a + b, a + c
-    log = lambda m, j: math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1)
-    prob = lambda x: math.exp(log(r, x) + log(n - r, k - x) - log(n, k))
-    own = prob(a) * (1 + 1e-7)
-    return min(1.0, sum(p for x in range(max(0, k + r - n), min(k, r) + 1) if (p := prob(x)) <= own))
+    return _two_sided(lambda x: _log_choose(r, x) + _log_choose(n - r, k - x) - _log_choose(n, k), a, max(0, k + r - n), min(k, r))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> HTest:
@@ -219,13 +254,18 @@ def _limits(x: int, n: int, level: float) -> tuple[float, float]:
     return (0.0 if x == 0 else beta_ppf(a, x, n - x + 1)), (1.0 if x == n else beta_ppf(1 - a, x + 1, n - x))
 
 
-def binom_test(x: int, n: int, p: float = 0.5, conf_level: float = 0.95) -> HTest:
-    """Exact two-sided binomial test of counts."""
-    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    own = math.exp(log(x)) * (1 + 1e-7)
-    q = min(1.0, sum(v for k in range(n + 1) if (v := math.exp(log(k))) <= own))
-    low, high = _limits(x, n, conf_level)
-    return HTest("exact binomial", x, q, None, {"probability": x / n}, low, high)
+def binom_test(x: int, n: int, p: float = 0.5, conf_level: float = 0.95, alternative: str = "two.sided") -> HTest:
+    """Exact binomial test of counts; limits by Clopper and Pearson."""
+    if alternative == "two.sided":
+        q = float(x == n * p) if p in (0.0, 1.0) else _two_sided(lambda k: _log_choose(n, k) + k * math.log(p) + (n - k) * math.log1p(-p), x, 0, n)
+        low, high = _limits(x, n, conf_level)
+    elif alternative == "less":
+        q = 1.0 if x >= n else 1 - beta_i(x + 1, n - x, p)
+        low, high = 0.0, _limits(x, n, 2 * conf_level - 1)[1]
+    else:
+        q = 1.0 if x <= 0 else beta_i(x, n - x + 1, p)
+        low, high = _limits(x, n, 2 * conf_level - 1)[0], 1.0
+    return HTest("exact binomial", x, min(1.0, q), None, {"probability": x / n}, low, high)
 
 
 def prop_test(counts: list[tuple[int, int]], p: float | None = None, conf_level: float = 0.95, correct: bool = True) -> HTest:
@@ -254,25 +294,23 @@ def prop_test(counts: list[tuple[int, int]], p: float | None = None, conf_level:
 def p_adjust(df: DataFrame, p: str, method: str = "holm", out: str = "adjusted", n: int | None = None) -> DataFrame:
     """``df`` with adjusted p values: holm, hochberg, bonferroni, BH (fdr), BY or none; nulls and NaN stay.
 
-    Running maxima and minima over the distinct p values; of equal values the
-    least favourable rank counts, as it does for the sorted rows.
+    Running maxima and minima over the distinct p values, range-partitioned when
+    there are many; of equal values the least favourable rank counts, as it does for
+    the sorted rows.
     """
-    from pyspark.sql import Window
-
     x = F.col(p).cast("double")
     good = x.isNotNull() & ~F.isnan(x)
     each = df.where(good).groupBy(x.alias("__p")).agg(F.count("*").alias("__k"))
     total = n or df.where(good).count()
     rank = running_sums(each, "__p", {"__last": "__k"})
     first, last, v = F.col("__last") - F.col("__k") + 1, F.col("__last"), F.col("__p")
-    up, down = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
     if method == "holm":
-        rank = rank.withColumn("__a", F.max((total - first + 1) * v).over(up))
+        rank = running(rank.withColumn("__s", (total - first + 1) * v), "__p", {"__a": ("max", "__s")})
     elif method == "hochberg":
-        rank = rank.withColumn("__a", F.min((total - last + 1) * v).over(down))
+        rank = running(rank.withColumn("__s", (total - last + 1) * v), "__p", {"__a": ("min", "__s")}, descending=True)
     elif method in ("BH", "fdr", "BY"):
-        q = sum(1 / i for i in range(1, total + 1)) if method == "BY" and total < 10**7 else math.log(total) + 0.5772156649015329 if method == "BY" else 1.0
-        rank = rank.withColumn("__a", F.min(q * total / last * v).over(down))
+        q = _harmonic(total) if method == "BY" else 1.0
+        rank = running(rank.withColumn("__s", q * total / last * v), "__p", {"__a": ("min", "__s")}, descending=True)
     elif method == "bonferroni":
         rank = rank.withColumn("__a", total * v)
     elif method == "none":
@@ -283,6 +321,13 @@ def p_adjust(df: DataFrame, p: str, method: str = "holm", out: str = "adjusted",
     return df.join(rank, x == F.col("__p"), "left").withColumn(out, F.coalesce("__a", x)).drop("__p", "__a")
 
 
+def _harmonic(n: int) -> float:
+    """Sum of 1/i up to n; beyond 100 terms by Euler and Maclaurin, right to the last digit."""
+    if n <= 100:
+        return sum(1 / i for i in range(1, n + 1))
+    return math.log(n) + 0.57721566490153286 + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
+
+
 def stat_auto(df: DataFrame, a: str, b: str) -> str:
     """Formatted p value by type: nominal by nominal (Fisher or chi-square), numeric by nominal (ANOVA)."""
     nominal = lambda c: isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))

@@ -27,6 +27,15 @@ class Estimates:
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, statistic double, p_value double, conf_low double, conf_high double")
 
 
+def _held(rows: DataFrame, *how):
+    """:func:`maximise` over cached rows, which are let go after it."""
+    rows = rows.persist()
+    try:
+        return maximise(rows, *how)
+    finally:
+        rows.unpersist()
+
+
 def fit_risk_ratio(df: DataFrame, formula: str) -> tuple[Fit, np.ndarray]:
     """Modified Poisson: the fit and its robust covariance, for ratios of risks."""
     fit = fit_glm(df, formula, "poisson")
@@ -93,7 +102,7 @@ def multinomial_regression(df: DataFrame, formula: str, levels: list | None = No
         r[np.arange(len(m)), m[:, p].astype(int)] += 1
         return (r[:, 1:].T @ m[:, :p]).ravel()
 
-    coef, cov, ll = maximise(rows.persist(), loglik, gradient, np.zeros(p * k))
+    coef, cov, ll = _held(rows, loglik, gradient, np.zeros(p * k))
     return Estimates([f"{lv}:{n}" for lv in levels[1:] for n in names], coef, cov, ll)
 
 
@@ -123,7 +132,7 @@ def ordinal_regression(df: DataFrame, formula: str, levels: list | None = None)
         g[p:] += np.bincount(y, dh, k + 1)[:k] - np.bincount(y, dl, k + 1)[1:]
         return g
 
-    coef, cov, ll = maximise(rows.persist(), loglik, gradient, np.r_[np.zeros(p), np.log(cum / (1 - cum))])
+    coef, cov, ll = _held(rows, loglik, gradient, np.r_[np.zeros(p), np.log(cum / (1 - cum))])
     return Estimates(names + [f"{a}|{b}" for a, b in zip(levels, levels[1:], strict=False)], coef, cov, ll)
 
 
@@ -163,7 +172,7 @@ def accelerated_failure(df: DataFrame, time: str, event: str, predictors: str, d
 
     mean = rows.agg(F.avg("t")).first()[0]
     start = np.r_[mean, np.zeros(p - 1)] if d.names[0] == "(Intercept)" else np.zeros(p)
-    coef, cov, ll = maximise(rows.persist(), loglik, gradient, start if fixed else np.r_[start, 0.0])
+    coef, cov, ll = _held(rows, loglik, gradient, start if fixed else np.r_[start, 0.0])
     return Estimates(d.names + ([] if fixed else ["log(scale)"]), coef, cov, ll)
 
 

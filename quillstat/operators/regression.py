@@ -48,7 +48,9 @@ def _atom(text: str, df: DataFrame, levels: dict[str, list], reads: list[str]) -
         return [(text, F.col(text).cast("double"))]
     if text not in levels:
         levels[text] = [r[0] for r in df.where(F.col(text).isNotNull()).select(text).distinct().orderBy(text).collect()]
-    return [(f"{text}{x}", F.when(F.col(text) == F.lit(x), 1.0).otherwise(0.0)) for x in levels[text][1:]]
+    # a level that was not there when the model was made has no columns: an error, and of a null nothing is known
+    known = F.when(F.col(text).isin(*levels[text]), 0.0).when(F.col(text).isNull(), F.lit(None).cast("double")).otherwise(F.raise_error(F.concat(F.lit(f"{text} has a new level "), F.col(text).cast("string"))).cast("double"))
+    return [(f"{text}{x}", F.when(F.col(text) == F.lit(x), 1.0).otherwise(known)) for x in levels[text][1:]]
 
 
 def design(formula: str, df: DataFrame, levels: dict[str, list] | None = None) -> Design:
@@ -105,6 +107,7 @@ class Fit:
     bread: np.ndarray
     design: Design
     iterations: int = 1
+    weights: str | None = None
 
     def tidy(self, spark=None, *, level: float = 0.95, exponentiate: bool = False):
         se = np.sqrt(np.diag(self.cov))
@@ -123,6 +126,7 @@ class Fit:
         return self.rows.sparkSession.createDataFrame(row, "n long, df_residual double, deviance double, null_deviance double, loglik double, aic double, bic double")
 
     def predict(self, data: DataFrame, *, kind: str = "response", out: str = "fitted") -> DataFrame:
+        """``data`` with ``out``; null in rows with a missing predictor, and an error in those with an unknown factor level."""
         eta = sum((F.lit(float(b)) * c for b, c in zip(self.coef, self.design.columns, strict=True)), F.lit(0.0))
         if self.design.offset is not None:
             eta = eta + self.design.offset
@@ -133,12 +137,16 @@ def _inverse(family: str):
     return {"gaussian": lambda e: e, "binomial": lambda e: 1 / (1 + F.exp(-e)), "poisson": F.exp, "gamma": lambda e: 1 / e}[family]
 
 
+def _complete(df: DataFrame, d: Design, weights: str | None = None) -> DataFrame:
+    """The rows without a null in what the design reads."""
+    for c in d.reads + ([weights] if weights else []):
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def _matrix(df: DataFrame, d: Design, weights: str | None) -> DataFrame:
     """Complete cases as x0.., y, w, o; a null drops a row, a NaN does not."""
-    have = df
-    for c in d.reads + ([weights] if weights else []):
-        have = have.where(F.col(c).isNotNull())
-    return have.select(*(c.alias(f"x{i}") for i, c in enumerate(d.columns)), d.response.alias("y"), (F.col(weights).cast("double") if weights else F.lit(1.0)).alias("w"), (d.offset if d.offset is not None else F.lit(0.0)).alias("o"))
+    return _complete(df, d, weights).select(*(c.alias(f"x{i}") for i, c in enumerate(d.columns)), d.response.alias("y"), (F.col(weights).cast("double") if weights else F.lit(1.0)).alias("w"), (d.offset if d.offset is not None else F.lit(0.0)).alias("o"))
 
 
 def _gram(m: DataFrame, p: int, w: Column, z: Column, extra: dict[str, Column]) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -158,6 +166,11 @@ def _solve(g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inv @ b, inv
 
 
+def _rank(g: np.ndarray) -> int:
+    s = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    return int(np.linalg.matrix_rank(g / np.outer(s, s), tol=1e-11, hermitian=True))
+
+
 def fit_ols(df: DataFrame, formula: str, weights: str | None = None) -> Fit:
     d = design(formula, df)
     m, p = _matrix(df, d, weights), len(d.names)
@@ -167,14 +180,14 @@ def fit_ols(df: DataFrame, formula: str, weights: str | None = None) -> Fit:
     resid = y - sum((F.lit(float(c)) * F.col(f"x{i}") for i, c in enumerate(coef)), F.lit(0.0))
     rows = m.withColumn("resid", resid)
     rss = rows.agg(F.sum(w * F.col("resid") * F.col("resid"))).first()[0]  # a second pass, for cancellation
-    n, dof = s["n"], s["n"] - np.linalg.matrix_rank(g)
+    n, dof = s["n"], s["n"] - _rank(g)
     scale = rss / dof if dof else math.nan
     loglik = 0.5 * ((s["lw"] or 0.0) - n * (math.log(2 * math.pi) + 1 - math.log(n) + math.log(rss))) if rss > 0 else math.inf
-    return Fit(d.names, coef, inv * scale, n, dof, "gaussian", scale, rss, s["yy"] - s["yw"] ** 2 / s["ww"], loglik, rows.withColumn("weight", w), inv, d)
+    return Fit(d.names, coef, inv * scale, n, dof, "gaussian", scale, rss, s["yy"] - s["yw"] ** 2 / s["ww"], loglik, rows.withColumn("weight", w), inv, d, weights=weights)
 
 
 def fit_glm(df: DataFrame, formula: str, family: str = "gaussian", weights: str | None = None, steps: int = 25, tol: float = 1e-8) -> Fit:
-    """Iteratively reweighted least squares; each step is one aggregation over the cached matrix."""
+    """Iteratively reweighted least squares; each step is one aggregation over the cached matrix, for the sums and the deviance of the step before."""
     if family == "gaussian":
         return fit_ols(df, formula, weights)
     d = design(formula, df)
@@ -192,19 +205,19 @@ def fit_glm(df: DataFrame, formula: str, family: str = "gaussian", weights: str
     slope = {"binomial": lambda u: u * (1 - u), "poisson": lambda u: u, "gamma": lambda u: -u * u}[family]  # d mu / d eta
     variance = {"binomial": lambda u: u * (1 - u), "poisson": lambda u: u, "gamma": lambda u: u * u}[family]
     eta, coef, old = link(start), None, None
-    for it in range(1, steps + 1):
+    for it in range(steps + 1):
         mu = _inverse(family)(eta) if coef is not None else start
         k = slope(mu)
-        g, b, _ = _gram(m, p, w * k * k / variance(mu), eta - o + (y - mu) / k, {})
-        coef, inv = _solve(g, b)
-        eta = sum((F.lit(float(c)) * F.col(f"x{i}") for i, c in enumerate(coef)), F.lit(0.0)) + o
-        new = m.agg(F.sum(w * dev(_inverse(family)(eta)))).first()[0]
-        if old is not None and abs(new - old) / (abs(new) + 0.1) < tol:
+        g, b, more = _gram(m, p, w * k * k / variance(mu), eta - o + (y - mu) / k, {"dev": F.sum(w * dev(mu))})
+        new, inv = more["dev"], _solve(g, b)[1]
+        if coef is not None and old is not None and abs(new - old) / (abs(new) + 0.1) < tol:
             break
-        old = new
+        old = new if coef is not None else None
+        coef = inv @ b
+        eta = sum((F.lit(float(c)) * F.col(f"x{i}") for i, c in enumerate(coef)), F.lit(0.0)) + o
     mu = _inverse(family)(eta)
     sums = m.agg(F.sum(w * F.pow(y - mu, 2) / variance(mu)).alias("pearson"), F.sum(w * dev(F.lit(mean))).alias("null"), F.sum(_loglik(family, y, mu, w)).alias("ll")).first()
-    dof = n - np.linalg.matrix_rank(g)
+    dof = n - _rank(g)
     scale = sums["pearson"] / dof if family == "gamma" else 1.0
     ll = sums["ll"]
     if family == "gamma":
@@ -213,7 +226,8 @@ def fit_glm(df: DataFrame, formula: str, family: str = "gaussian", weights: str
     k = slope(mu)
     # working residuals and weights, so that scores are weight * resid * x
     rows = m.withColumn("resid", (y - mu) / k).withColumn("weight", w * k * k / variance(mu))
-    return Fit(d.names, coef, inv * scale, n, dof, family, scale, new, sums["null"], ll, rows, inv, d, it)
+    m.unpersist()
+    return Fit(d.names, coef, inv * scale, n, dof, family, scale, new, sums["null"], ll, rows, inv, d, it, weights)
 
 
 def _loglik(family: str, y: Column, mu: Column, w: Column) -> Column:
@@ -243,12 +257,12 @@ def hc_covariance(fit: Fit, kind: str = "HC3") -> np.ndarray:
 def cluster_covariance(fit: Fit, df: DataFrame, formula: str, clusters: list[str], adjust: bool = True) -> np.ndarray:
     """One- or multi-way clustered covariance (HC1 factor), by inclusion and exclusion over sets of clusters."""
     d, p = fit.design, len(fit.coef)
-    have = df
-    for c in d.reads:
-        have = have.where(F.col(c).isNotNull())
-    x = fit.predict(have, kind="link", out="__eta")
+    x = fit.predict(_complete(df, d, fit.weights), kind="link", out="__eta")
     mu = _inverse(fit.family)(F.col("__eta"))
-    score = [(d.response - mu) * c for c in d.columns]  # canonical links
+    w = F.col(fit.weights).cast("double") if fit.weights else F.lit(1.0)
+    score = [w * (d.response - mu) * c for c in d.columns]  # canonical links
+    if fit.family == "gamma":  # the inverse link falls where the canonical one rises
+        score = [-s for s in score]
     out = np.zeros((p, p))
     for mask in range(1, 1 << len(clusters)):
         own = [c for i, c in enumerate(clusters) if mask >> i & 1]
@@ -264,8 +278,9 @@ def newey_west(df: DataFrame, formula: str, order_by: list[str], lags: int) -> n
     """Bartlett-weighted covariance of a least-squares fit, rows in the order of ``order_by``."""
     fit = fit_ols(df, formula)
     d, p = fit.design, len(fit.coef)
-    resid = d.response - sum((F.lit(float(b)) * c for b, c in zip(fit.coef, d.columns, strict=True)), F.lit(0.0))
-    s = df.select(*order_by, *((resid * c).alias(f"s{i}") for i, c in enumerate(d.columns)))
+    resid = d.response - (d.offset if d.offset is not None else 0.0) - sum((F.lit(float(b)) * c for b, c in zip(fit.coef, d.columns, strict=True)), F.lit(0.0))
+    # rows that are not in the fit take no place in the order
+    s = _complete(df, d).select(*order_by, *((resid * c).alias(f"s{i}") for i, c in enumerate(d.columns)))
     s = lagged(s, order_by, [f"s{i}" for i in range(p)], lags)
     out = s.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}" if k == 0 else f"s{j}_{k}")).alias(f"m{k}_{i}_{j}") for k in range(lags + 1) for i in range(p) for j in range(p))).first()
     meat = np.zeros((p, p))
@@ -277,7 +292,7 @@ def newey_west(df: DataFrame, formula: str, order_by: list[str], lags: int) -> n
 
 def durbin_watson(df: DataFrame, formula: str, order_by: list[str]) -> DataFrame:
     fit = fit_ols(df, formula)
-    scored = fit.predict(df, out="__f").select(*order_by, (fit.design.response - F.col("__f")).alias("e"))
+    scored = fit.predict(_complete(df, fit.design), out="__f").select(*order_by, (fit.design.response - F.col("__f")).alias("e"))
     return lagged(scored, order_by, ["e"], 1).agg((F.sum(F.pow(F.col("e") - F.col("e_1"), 2)) / F.sum(F.col("e") * F.col("e"))).alias("dw"))
 
 
@@ -290,6 +305,32 @@ def breusch_pagan(df: DataFrame, formula: str) -> tuple[float, int, float]:
     return stat, len(fit.coef) - 1, chi2_sf(stat, len(fit.coef) - 1)
 
 
+def ramsey_reset(df: DataFrame, formula: str, powers: tuple[int, ...] = (2, 3)) -> tuple[float, int, float]:
+    """F statistic, numerator degrees of freedom and p value of powers of the fitted values added to the model.
+
+    With all powers from 2 on, those of standardised values span the same and are less alike.
+    """
+    fit = fit_ols(df, formula)
+    more = fit.predict(_complete(df, fit.design), out="__f")
+    if list(powers) == list(range(2, 2 + len(powers))) and "(Intercept)" in fit.names:
+        m = more.agg(F.avg("__f").alias("m"), F.stddev_pop("__f").alias("s")).first()
+        more = more.withColumn("__f", (F.col("__f") - F.lit(m["m"])) / F.lit(m["s"] or 1.0))
+    more = more.withColumns({f"__f{k}": F.pow("__f", F.lit(k)) for k in powers})
+    full = fit_ols(more, formula + "".join(f" + __f{k}" for k in powers))
+    f = (fit.deviance - full.deviance) / (fit.df_residual - full.df_residual) / (full.deviance / full.df_residual)
+    return f, int(fit.df_residual - full.df_residual), f_sf(f, fit.df_residual - full.df_residual, full.df_residual)
+
+
+def breusch_godfrey(df: DataFrame, formula: str, order_by: list[str], lags: int = 1) -> tuple[float, int, float]:
+    """Statistic, degrees of freedom and p value for serial correlation up to ``lags``, residuals before the first row counting as 0."""
+    fit = fit_ols(df, formula)
+    resid = fit.predict(_complete(df, fit.design), out="__f").withColumn("__e", fit.design.response - F.col("__f"))
+    rows = lagged(resid, order_by, ["__e"], lags).fillna(0.0, [f"__e_{k}" for k in range(1, lags + 1)])
+    aux = fit_ols(rows, "__e ~ " + formula.split("~")[1] + "".join(f" + __e_{k}" for k in range(1, lags + 1)))
+    stat = fit.n * (1 - aux.deviance / aux.null_deviance)
+    return stat, lags, chi2_sf(stat, lags)
+
+
 def wald_test(full: Fit, reduced: Fit, cov: np.ndarray | None = None) -> tuple[float, int, float]:
     """F statistic, its numerator degrees of freedom and p value of the coefficients only ``full`` has."""
     at = [i for i, n in enumerate(full.names) if n not in reduced.names]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.dist import chi2_sf, norm_ppf
+from quillstat.plans.ordered import running
 
 
 def risk_table(df: DataFrame, time: str, event: str, by: str | None = None, weight: str | None = None, entry: str | None = None) -> DataFrame:
@@ -24,11 +25,10 @@ def risk_table(df: DataFrame, time: str, event: str, by: str | None = None, weig
         enter = have.groupBy("grp", F.col("s").alias("t")).agg(F.sum("w").alias("enter"))
         both = out.withColumn("enter", F.lit(0.0)).unionByName(enter.select("grp", "t", F.lit(None).cast("double").alias("d"), F.lit(0.0).alias("leave"), "enter"))
         each = both.groupBy("grp", "t").agg(F.sum("d").alias("d"), F.sum("leave").alias("leave"), F.sum("enter").alias("enter"))
-        before = Window.partitionBy("grp").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-        each = each.withColumn("n", F.coalesce(F.sum("enter").over(before), F.lit(0.0)) - F.coalesce(F.sum("leave").over(before), F.lit(0.0)))
+        each = running(each, "t", {"__in": ("sum", "enter"), "__out": ("sum", "leave")}, ("grp",), before=True)
+        each = each.withColumn("n", F.coalesce("__in", F.lit(0.0)) - F.coalesce("__out", F.lit(0.0)))
         return each.where("d is not null").select("grp", "t", "d", (F.col("leave") - F.col("d")).alias("c"), "n")
-    after = Window.partitionBy("grp").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("n", F.sum("leave").over(after)).select("grp", "t", "d", (F.col("leave") - F.col("d")).alias("c"), "n")
+    return running(out, "t", {"n": ("sum", "leave")}, ("grp",), descending=True).select("grp", "t", "d", (F.col("leave") - F.col("d")).alias("c"), "n")
 
 
 def survival_curve(df: DataFrame, time: str, event: str, by: str | None = None, *, weight: str | None = None, entry: str | None = None, kind: str = "kaplan_meier", conf: str = "log", level: float = 0.95) -> DataFrame:
@@ -38,14 +38,14 @@ def survival_curve(df: DataFrame, time: str, event: str, by: str | None = None,
     none once the survival is 0.  ``conf``: log, log-log, plain or logit.
     """
     r = risk_table(df, time, event, by, weight, entry)
-    w = Window.partitionBy("grp").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     z = norm_ppf(1 - (1 - level) / 2)
     d, n = F.col("d"), F.col("n")
     if kind == "nelson_aalen":
-        r = r.withColumn("cumhaz", F.sum(d / n).over(w)).withColumn("std_error", F.sqrt(F.sum(d / (n * n)).over(w)))
+        r = running(r.withColumns({"__h": d / n, "__v": d / (n * n)}), "t", {"cumhaz": ("sum", "__h"), "__var": ("sum", "__v")}, ("grp",)).withColumn("std_error", F.sqrt("__var"))
         h, se = F.col("cumhaz"), F.col("std_error")
         return r.select("grp", "t", "n", "d", "cumhaz", "std_error", F.greatest(h - z * se, F.lit(0.0)).alias("lower"), (h + z * se).alias("upper"))
-    r = r.withColumn("surv", F.product(1 - d / n).over(w)).withColumn("gw", F.sum(F.when(n > d, d / (n * (n - d))).otherwise(0.0)).over(w)).withColumn("zero", F.max((d >= n) & (d > 0)).over(w))
+    r = r.withColumns({"__p": 1 - d / n, "__g": F.when(n > d, d / (n * (n - d))).otherwise(0.0), "__z": (d >= n) & (d > 0)})
+    r = running(r, "t", {"surv": ("product", "__p"), "gw": ("sum", "__g"), "zero": ("max", "__z")}, ("grp",))
     s, root = F.col("surv"), F.sqrt("gw")
     if conf == "log":
         lo, hi = s * F.exp(-z * root), F.least(s * F.exp(z * root), F.lit(1.0))
@@ -72,38 +72,54 @@ def curve_at(curve: DataFrame, times: list[float], value: str = "surv", start: f
 
 
 def curve_quantile(curve: DataFrame, q: float = 0.5) -> DataFrame:
-    """(grp, time): the first time at which the survival is at most 1 - q, null if never."""
-    return curve.groupBy("grp").agg(F.min(F.when(F.col("surv") <= 1 - q + 1e-12, F.col("t"))).alias("time"))
+    """(grp, time, lower, upper): the first time at which the survival is at most ``q``, and the same of its limits; null if never.
+
+    Where a curve equals ``q`` over a stretch of time, the middle of the stretch counts.
+    """
+    tol = 1e-8 * max(1.0, abs(q))
+    at = lambda c, d: F.min(F.when(F.col(c) <= q + d, F.col("t")))
+    firsts = curve.groupBy("grp").agg(*(x for c in ("surv", "lower", "upper") for x in (at(c, tol).alias(f"{c}_at"), at(c, -tol - 1e-15).alias(f"{c}_below"))))
+    mid = lambda c: F.when(F.col(f"{c}_below") > F.col(f"{c}_at"), (F.col(f"{c}_at") + F.col(f"{c}_below")) / 2).otherwise(F.col(f"{c}_at"))
+    return firsts.select("grp", mid("surv").alias("time"), mid("lower").alias("lower"), mid("upper").alias("upper"))
 
 
 def rmst(df: DataFrame, time: str, event: str, tau: float, by: str | None = None) -> DataFrame:
-    """(grp, rmst, variance): the area under the Kaplan-Meier curve up to ``tau``."""
-    c = survival_curve(df, time, event, by).where(F.col("t") <= tau)
-    w = Window.partitionBy("grp").orderBy("t")
-    c = c.withColumn("width", F.coalesce(F.lead("t").over(w), F.lit(float(tau))) - F.col("t"))
-    c = c.withColumn("tail", F.sum(F.col("width") * F.col("surv")).over(Window.partitionBy("grp").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
+    """(grp, rmst, variance): the area under the Kaplan-Meier curve up to ``tau``; of a group without times before it, ``tau`` and 0."""
+    curve = survival_curve(df, time, event, by)
+    c = curve.where(F.col("t") <= tau)
+    # the next time, and the area from each time on
+    c = running(c, "t", {"__next": ("min", "t")}, ("grp",), descending=True, before=True)
+    c = c.withColumn("__area", (F.coalesce("__next", F.lit(float(tau))) - F.col("t")) * F.col("surv"))
+    c = running(c, "t", {"tail": ("sum", "__area")}, ("grp",), descending=True)
     n, d = F.col("n"), F.col("d")
-    return c.groupBy("grp").agg(
-        (F.min("t") + F.sum(F.col("width") * F.col("surv"))).alias("rmst"),
+    out = c.groupBy("grp").agg(
+        (F.min("t") + F.sum("__area")).alias("rmst"),
         F.sum(F.when(n > d, F.pow("tail", 2) * d / (n * (n - d))).otherwise(0.0)).alias("variance"),
     )
+    every = curve.select("grp").distinct()
+    return every.join(out, "grp", "left").select("grp", F.coalesce("rmst", F.lit(float(tau))).alias("rmst"), F.coalesce("variance", F.lit(0.0)).alias("variance"))
 
 
 def log_rank_table(df: DataFrame, time: str, event: str, by: str, *, strata: str | None = None, rho: float = 0.0) -> DataFrame:
     """(grp, n, observed, expected): weighted by S(t-)**rho, summed over strata."""
     x = df.withColumn("__s", F.col(strata).cast("string") if strata else F.lit(""))
     each = x.groupBy("__s", F.col(by).alias("grp"), F.col(time).cast("double").alias("t")).agg(F.sum(F.col(event).cast("int")).alias("d"), F.count("*").alias("m"))
-    own = Window.partitionBy("__s", "grp").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     total = each.groupBy("__s", "t").agg(F.sum("d").alias("dt"), F.sum("m").alias("mt"))
-    total = total.withColumn("nt", F.sum("mt").over(Window.partitionBy("__s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy("__s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.withColumn("weight", F.pow(F.coalesce(F.product(1 - F.col("dt") / F.col("nt")).over(before), F.lit(1.0)), rho))
+    total = _weighted(running(total, "t", {"nt": ("sum", "mt")}, ("__s",), descending=True), "dt", "nt", rho)
     # a group's rows at risk at t are those of its own times from t on: sum dt/nt over times up to each row's time
-    cum = total.withColumn("h", F.sum(F.col("weight") * F.col("dt") / F.col("nt")).over(Window.partitionBy("__s").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    cum = running(total.withColumn("__h", F.col("weight") * F.col("dt") / F.col("nt")), "t", {"h": ("sum", "__h")}, ("__s",))
     rows = each.join(cum.select("__s", "t", "h", "weight"), ["__s", "t"])
     return rows.groupBy("grp").agg(F.sum("m").alias("n"), F.sum(F.col("weight") * F.col("d")).alias("observed"), F.sum(F.col("m") * F.col("h")).alias("expected"))
 
 
+def _weighted(total: DataFrame, d: str, n: str, rho: float) -> DataFrame:
+    """``total`` with ``weight``, the power of the survival just before each time."""
+    if not rho:
+        return total.withColumn("weight", F.lit(1.0))
+    total = running(total.withColumn("__p", 1 - F.col(d) / F.col(n)), "t", {"__before": ("product", "__p")}, ("__s",), before=True)
+    return total.withColumn("weight", F.pow(F.coalesce("__before", F.lit(1.0)), rho))
+
+
 def log_rank(df: DataFrame, time: str, event: str, by: str, *, strata: str | None = None, rho: float = 0.0) -> tuple[float, int, float]:
     """Statistic, degrees of freedom and p value of the (stratified, Fleming-Harrington) log-rank test."""
     import numpy as np
@@ -112,11 +128,9 @@ def log_rank(df: DataFrame, time: str, event: str, by: str, *, strata: str | Non
     groups = sorted(r[0] for r in x.select("__g").distinct().collect())
     aggs = [F.sum(F.col(event).cast("int")).alias("d")] + [F.count_if(F.col("__g") == g).alias(f"m{i}") for i, g in enumerate(groups)] + [F.sum(F.when(F.col("__g") == g, F.col(event).cast("int")).otherwise(0)).alias(f"d{i}") for i, g in enumerate(groups)]
     each = x.groupBy("__s", F.col(time).cast("double").alias("t")).agg(*aggs)
-    after = Window.partitionBy("__s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("__s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumns({f"n{i}": F.sum(f"m{i}").over(after) for i in range(len(groups))})
+    each = running(each, "t", {f"n{i}": ("sum", f"m{i}") for i in range(len(groups))}, ("__s",), descending=True)
     each = each.withColumn("n", sum((F.col(f"n{i}") for i in range(len(groups))), F.lit(0)))
-    each = each.withColumn("w", F.pow(F.coalesce(F.product(1 - F.col("d") / F.col("n")).over(before), F.lit(1.0)), rho)).where("d > 0")
+    each = _weighted(each, "d", "n", rho).withColumnRenamed("weight", "w").where("d > 0")
     k = len(groups)
     share = lambda i: F.col(f"n{i}") / F.col("n")
     spread = F.pow("w", 2) * F.col("d") * F.when(F.col("n") > 1, (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
@@ -134,11 +148,11 @@ def cumulative_incidence(df: DataFrame, time: str, cause: str, by: str | None =
     g = F.col(by) if by else F.lit("all")
     x = df.select(g.alias("grp"), F.col(time).cast("double").alias("t"), F.col(cause).cast("int").alias("k"))
     each = x.groupBy("grp", "t").agg(F.count_if(F.col("k") > 0).alias("d"), F.count("*").alias("m"))
-    each = each.withColumn("n", F.sum("m").over(Window.partitionBy("grp").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
-    each = each.withColumn("before", F.coalesce(F.product(1 - F.col("d") / F.col("n")).over(Window.partitionBy("grp").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
+    each = running(each, "t", {"n": ("sum", "m")}, ("grp",), descending=True).withColumn("__p", 1 - F.col("d") / F.col("n"))
+    each = running(each, "t", {"before": ("product", "__p")}, ("grp",), before=True).withColumn("before", F.coalesce("before", F.lit(1.0)))
     causes = x.where("k > 0").groupBy("grp", "t", F.col("k").alias("cause")).agg(F.count("*").alias("dk"))
     step = causes.join(each, ["grp", "t"]).withColumn("jump", F.col("before") * F.col("dk") / F.col("n"))
-    return step.withColumn("cif", F.sum("jump").over(Window.partitionBy("grp", "cause").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).select("grp", "t", "cause", "cif")
+    return running(step, "t", {"cif": ("sum", "jump")}, ("grp", "cause")).select("grp", "t", "cause", "cif")
 
 
 def split_follow_up(df: DataFrame, time: str, event: str, cuts: list[float], start: str = "tstart", stop: str = "tstop") -> DataFrame:
@@ -165,6 +179,7 @@ def cox_ph(df: DataFrame, time: str, event: str, predictors: list[str], ties: st
 
     p = len(predictors)
     x = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), (F.col(stratum).cast("string") if stratum else F.lit("")).alias("s"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(predictors))).na.drop().persist()
+    held = x
     centre = x.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(p))).first()
     x = x.withColumns({f"x{i}": F.col(f"x{i}") - F.lit(centre[i]) for i in range(p)})
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
@@ -174,10 +189,10 @@ def cox_ph(df: DataFrame, time: str, event: str, predictors: list[str], ties: st
         terms = {"r": F.exp(eta)} | {f"a{i}": F.exp(eta) * F.col(f"x{i}") for i in range(p)} | {f"b{i}_{j}": F.exp(eta) * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}
         dead = F.col("e") > 0
         each = x.groupBy("s", "t").agg(F.count_if(dead).alias("d"), F.sum(F.when(dead, eta).otherwise(0.0)).alias("ll"), *(F.sum(F.when(dead, F.col(f"x{i}")).otherwise(0.0)).alias(f"sx{i}") for i in range(p)), *(F.sum(v).alias(k) for k, v in terms.items()), *(F.sum(F.when(dead, v).otherwise(0.0)).alias(f"d_{k}") for k, v in terms.items()))
-        after = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-        each = each.withColumns({k: F.sum(k).over(after) for k in terms}).where("d > 0")
-        if ties == "efron":
-            each = each.withColumn("f", F.explode(F.transform(F.sequence(F.lit(0), (F.col("d") - 1).cast("int")), lambda l: l / F.col("d"))))
+        each = running(each, "t", {f"c_{k}": ("sum", k) for k in terms}, ("s",), descending=True).drop(*terms).withColumnsRenamed({f"c_{k}": k for k in terms}).where("d > 0")
+        if ties == "efron":  # a row for each event of a tie, made from short arrays however many they are
+            each = each.withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1, F.lit(1000).cast("long"))))
+            each = each.withColumn("f", F.explode(F.sequence(F.col("f"), F.least(F.col("f") + 999, F.col("d") - 1)))).withColumn("f", F.col("f") / F.col("d"))
         else:
             each = each.withColumn("f", F.lit(0.0))
         times = F.lit(1.0) if ties == "efron" else F.col("d").cast("double")
@@ -198,5 +213,5 @@ def cox_ph(df: DataFrame, time: str, event: str, predictors: list[str], ties: st
         if done:
             break
         beta = beta + np.linalg.solve(h, u)
-    x.unpersist()
+    held.unpersist()
     return predictors, beta, np.linalg.inv(h), (first, last)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,11 +58,12 @@ def category_text(df: DataFrame, column: str, by: str | None = None, levels: lis
 def numeric_summary(df: DataFrame, column: str, by: str, add_all: bool = True) -> DataFrame:
     """(group, n, mean, sd, q1, median, q3) of a numeric column by group, and over all groups."""
     x = F.col(column).cast("double")
-    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")] + [F.percentile(x, F.lit(q)).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    quarters = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one pass for all three
+    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), quarters.alias("q")]
     have = df.where(F.col(by).isNotNull()).withColumn("__g", F.col(by).cast("string"))
     if add_all:  # grouping sets ((group), ())
         have = have.withColumn("__g", F.explode(F.array(F.col("__g"), F.lit("All"))))
-    return have.groupBy(F.col("__g").alias("group")).agg(*aggs)
+    return have.groupBy(F.col("__g").alias("group")).agg(*aggs).select("group", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def standardized_difference(df: DataFrame, column: str, groups: str, categorical: bool | None = None) -> float:
@@ -95,7 +96,7 @@ def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Colum
     row a level.  Groups are ordered by value; rows with a null group are left
     out of groups but not of ``All``.
     """
-    from quillstat.operators.tests import stat_auto
+    from quillstat.operators.hypothesis import stat_auto
 
     for name, _ in params:
         if name not in df.columns:
@@ -187,7 +188,12 @@ def smd_table(df: DataFrame, column: str, groups: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.abs(F.col("ma") - F.col("mb")) / F.sqrt((F.col("va") + F.col("vb")) / 2)).alias("smd"))
 
 
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def weighted_moments(df: DataFrame, x: str, y: str, weight: str, by: str) -> DataFrame:
+    """(by, mean_x, mean_y, cov, corr): weighted moments of rows without nulls, in two passes, so values far from 0 lose nothing."""
+    v = lambda c: F.col(c).cast("double")
+    rows = df.select(F.col(by), v(x).alias("__x"), v(y).alias("__y"), v(weight).alias("__w")).where("__x is not null and __y is not null and __w is not null")
+    mean = rows.groupBy(by).agg((F.sum(F.col("__x") * F.col("__w")) / F.sum("__w")).alias("mean_x"), (F.sum(F.col("__y") * F.col("__w")) / F.sum("__w")).alias("mean_y"))
+    d = rows.join(mean, by)
+    a, b, w = F.col("__x") - F.col("mean_x"), F.col("__y") - F.col("mean_y"), F.col("__w")
+    out = d.groupBy(by, "mean_x", "mean_y").agg((F.sum(a * b * w) / F.sum(w)).alias("cov"), (F.sum(a * b * w) / F.sqrt(F.sum(a * a * w) * F.sum(b * b * w))).alias("corr"))
+    return out.select(by, "mean_x", "mean_y", "cov", "corr")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def row_sums(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -25,7 +26,11 @@ def row_sums(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int) ->
                 total += f(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
         yield pa.RecordBatch.from_pydict({"v": [total.tolist()]}, schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
-    return np.sum([np.array(r["v"]) for r in df.mapInArrow(run, "v array<double>").collect()], 0)
+    each = df.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v"))
+    out = np.zeros(size)
+    for r in each.groupBy("i").agg(F.sum("v").alias("v")).collect():  # added up by place, not on the driver
+        out[r["i"]] = r["v"]
+    return out
 
 
 def maximise(df: DataFrame, loglik: Callable[[np.ndarray, np.ndarray], float], gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, steps: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float]:

@@ -17,35 +17,55 @@ ONE_TASK = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by a reliable checkpoint in ``spark.checkpoint.dir`` (a temporary folder where it is unset)."""
+    """``df`` by a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder where it is unset and Spark runs on one machine."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def running_sums(df: DataFrame, key: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, one_task: int = ONE_TASK) -> DataFrame:
-    """``df`` (one row for each ``by`` and ``key``) with running sums up to and with each key.
+_HOW = {
+    "sum": (F.sum, lambda a, b: a + b),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+    "product": (F.product, lambda a, b: a * b),
+}
+
+
+def running(df: DataFrame, key: str, out: dict[str, tuple[str, str]], by: tuple[str, ...] = (), descending: bool = False, before: bool = False, one_task: int = ONE_TASK) -> DataFrame:
+    """``df`` (one row for each ``by`` and ``key``) with running aggregates up to each key, or before it.
 
-    ``sums`` maps result names to summed columns.  With groups, each group's keys
-    are one window; without, more than ``one_task`` keys are range-partitioned.
+    ``out`` maps result names to (sum, max, min or product, column); nulls do not
+    count, and where there is nothing yet the result is null.  Up to ``one_task`` rows are
+    one window a group; more are range-partitioned by group and key, so that
+    neither a large group nor the only one is a task.
     """
     order = F.col(key).desc() if descending else F.col(key).asc()
-    if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
     held = cut(df)
+    end = -1 if before else 0
     if held.count() <= one_task:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return held.coalesce(1).withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
-    ranged = cut(held.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
-    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__part").agg(*(F.sum(c).alias(f"__{out}") for out, c in sums.items()))
-    totals = totals.select("__part", *(F.coalesce(F.sum(f"__{out}").over(before), F.lit(0)).alias(f"__{out}") for out in sums))
-    return inside.join(F.broadcast(totals), "__part").withColumns({out: F.col(out) + F.col(f"__{out}") for out in sums}).drop("__part", *(f"__{out}" for out in sums))
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        return (held if by else held.coalesce(1)).withColumns({name: _HOW[how][0](c).over(w) for name, (how, c) in out.items()})
+    ranged = cut(held.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy("__part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    inside = ranged.withColumns({name: _HOW[how][0](c).over(w) for name, (how, c) in out.items()})
+    # a row for each partition, and for each group that ends in it
+    former = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__part", *by).agg(*(_HOW[how][0](c).alias(f"__{name}") for name, (how, c) in out.items()))
+    totals = cut(totals.select("__part", *by, *(_HOW[how][0](f"__{name}").over(former).alias(f"__{name}") for name, (how, _) in out.items())))
+    totals = F.broadcast(totals) if totals.count() <= one_task else totals
+    joined = inside.join(totals, ["__part", *by])
+    whole = {name: F.coalesce(_HOW[how][1](F.col(name), F.col(f"__{name}")), F.col(name), F.col(f"__{name}")) for name, (how, _) in out.items()}
+    return joined.withColumns(whole).drop("__part", *(f"__{name}" for name in out))
+
+
+def running_sums(df: DataFrame, key: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, one_task: int = ONE_TASK) -> DataFrame:
+    """``df`` with running sums up to and with each key; ``sums`` maps result names to summed columns."""
+    return running(df, key, {name: ("sum", c) for name, c in sums.items()}, by, descending, one_task=one_task)
 
 
 def mid_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

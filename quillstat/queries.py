@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, economics, prediction, regression, survival, tableone, tests
+from quillstat.operators import causal, economics, models, prediction, regression, survival, tableone
+from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,7 +218,11 @@ def km_at(spark, d):
     return rounded(survival.curve_at(survival.survival_curve(surv(spark, d), "time", "event", "grp"), [5.5, 10.0, 30.0]))
 
 
-@query(f"with {_KM} select grp, min(t) filter (s <= 0.5 + 1e-12) as time from s group by 1")
+@query(f"""with {_KM}, cb as (select *, sum(case when n > d then d / (n * (n - d)) else 0 end) over (partition by grp order by t) as gw, max((d > 0 and d >= n)::int) over (partition by grp order by t) as z from s),
+b as (select grp, t, unnest(['time', 'lower', 'upper']) as curve, unnest([s, case when z = 0 then s * exp(-1.959963984540054 * sqrt(gw)) end, case when z = 0 then least(s * exp(1.959963984540054 * sqrt(gw)), 1) end]) as v from cb),
+q as (select grp, curve, min(t) filter (v <= 0.5 + 1e-8) as first_t, min(t) filter (v < 0.5 - 1e-8) as below_t from b group by all),
+m as (select grp, curve, case when below_t > first_t then (first_t + below_t) / 2 else first_t end as x from q)
+select grp, max(x) filter (curve = 'time') as time, max(x) filter (curve = 'lower') as lower, max(x) filter (curve = 'upper') as upper from m group by 1""")
 def km_median(spark, d):
     return rounded(survival.curve_quantile(survival.survival_curve(surv(spark, d), "time", "event", "grp")))
 
@@ -421,8 +426,8 @@ def balance(spark, d):
     return rounded(causal.balance(reg(spark, d), "treat", ["x1", "x2"]))
 
 
-@query(f"""with {REG}, c as (select mode, count(*) as n, avg(y) filter (treat = 1) as m1, avg(y) filter (treat = 0) as m0 from reg group by 1), s as (select sum(n * m1) / sum(n) as m1, sum(n * m0) / sum(n) as m0 from c where m1 is not null and m0 is not null)
-select 1::bigint as arm, round(m1, 6) as mean from s union all select 0, round(m0, 6) from s""")
+@query(f"""with {REG}, c as (select mode, count(*) as n, avg(y) filter (treat = 1) as m1, avg(y) filter (treat = 0) as m0 from reg group by 1), s as (select sum(n * m1) / sum(n) as m1, sum(n * m0) / sum(n) as m0, round(sum(n) / (select sum(n) from c), 6)::double as share from c where m1 is not null and m0 is not null)
+select 1::bigint as arm, round(m1, 6) as mean, share from s union all select 0, round(m0, 6), share from s""")
 def standardize(spark, d):
     return rounded(causal.standardize(reg(spark, d), "treat", "y", ["mode"]))
 
@@ -474,6 +479,226 @@ def formula_columns(spark, d):
     return rounded(reg(spark, d).select(*(c.alias(n) for n, c in zip(("l", "s"), des.columns, strict=True))).agg(F.sum("l").alias("log10_sum"), F.sum("s").alias("sqrt_sum")), 4)
 
 
+# text aggregates of Table One
+
+_FIXED = "printf('%.1f', round_even(({}) * 10, 0) / 10)"
+
+
+def _fixed(x: str) -> str:
+    return _FIXED.format(x)
+
+
+@query(f"""with x as (select l_returnflag as grp, l_quantity::double as q, (l_discount > 0.05)::int as b, nullif(l_tax::double, 0) as tax from lineitem), a as (select grp, avg(q) as m, stddev_samp(q) as sd, quantile_cont(q, 0.25) as q1, median(q) as med, quantile_cont(q, 0.75) as q3, min(q) as lo, max(q) as hi, count(*) as n, sum(b) as k, 100.0::double * sum(b) / count(*) as p, count(tax) / count(*) as filled from x group by 1)
+select grp, round_even(m * 10, 0) / 10 as mean, {_fixed('m')} || ' (' || {_fixed('sd')} || ')' as mean_sd, round_even(med * 10, 0) / 10 as median, {_fixed('med')} || ' [' || {_fixed('q1')} || ', ' || {_fixed('q3')} || ']' as median_iqr, {_fixed('med')} || ' (' || {_fixed('lo')} || '-' || {_fixed('hi')} || ')' as median_range,
+{_fixed('lo')} || '-' || {_fixed('hi')} as range, k || ' (' || {_fixed('p')} || '%)' as np, {_fixed('p')} || '% (' || k || '/' || n || ')' as pnn, k::bigint as ratio_n, round_even(p * 10, 0) / 10 as ratio, round(filled, 6) as filled from a""")
+def t1_text(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount") > 0.05).alias("b"), F.expr("nullif(cast(l_tax as double), 0)").alias("tax"))
+    return rounded(
+        x.groupBy("grp").agg(
+            C.agg_mean("q").alias("mean"), C.agg_mean_sd("q").alias("mean_sd"), C.agg_median("q").alias("median"), C.agg_median_iqr("q").alias("median_iqr"), C.agg_median_range("q").alias("median_range"), C.agg_range("q").alias("range"),
+            C.agg_bool_np("b").alias("np"), C.agg_ratio_pnn("b").alias("pnn"), C.agg_ratio_n("b").alias("ratio_n"), C.agg_ratio("b").alias("ratio"), C.notnull_mean("tax").alias("filled"),
+        )
+    )
+
+
+@query("""with x as (select 'm' || (l_suppkey % 5) as level, l_returnflag as grp from lineitem), c as (select grp, level, count(*) as n from x group by all), t as (select *, sum(n) over (partition by grp)::bigint as total from c)
+select grp, level, n || ' (' || printf('%.1f', round_even(1000.0::double * n / total, 0) / 10) || '%)' as np, printf('%.1f', round_even(1000.0::double * n / total, 0) / 10) || '% (' || n || '/' || total || ')' as pnn, n::varchar as n, printf('%.1f', round_even(1000.0::double * n / total, 0) / 10) as p from t""")
+def t1_category_text(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), mode().alias("mode"))
+    out = None
+    for style in ("np", "pnn", "n", "p"):
+        own = tableone.category_text(x, "mode", "grp", style=style).withColumnRenamed("text", style)
+        out = own if out is None else out.join(own, ["grp", "level"])
+    return out
+
+
+@query(f"""with {REG}, g as (select flag, avg((x2 > 0.05)::int) as p from reg group by 1), e as (select flag, p, p / (select p from g where flag = 'A') as rr from g)
+select flag, round(p / (1 - p), 6) as odds, round((p / (1 - p)) / (select p / (1 - p) from g where flag = 'A'), 6) as oddsratio, round(greatest(rr, 1 / rr) + sqrt(greatest(rr, 1 / rr) * (greatest(rr, 1 / rr) - 1)), 6) as e_value from e""")
+def t1_odds(spark, d):
+    g = reg(spark, d).groupBy("flag").agg(F.avg((F.col("x2") > 0.05).cast("double")).alias("p"))
+    base = g.where("flag = 'A'").select(F.col("p").alias("base"))
+    return rounded(g.crossJoin(F.broadcast(base)).select("flag", C.odds(F.col("p")).alias("odds"), C.oddsratio(F.col("p"), F.col("base")).alias("oddsratio"), C.e_value(F.col("p") / F.col("base")).alias("e_value")))
+
+
+@query(f"with {REG} select flag, round((avg(y) - avg(x1)) / sqrt((var_samp(y) + var_samp(x1)) / 2), 6) as d from reg group by 1")
+def t1_cohen_d(spark, d):
+    return rounded(reg(spark, d).groupBy("flag").agg(C.cohen_d("y", "x1").alias("d")))
+
+
+@query(f"""with {REG}, m as (select flag, sum(x1 * (1 + x2)) / sum(1 + x2) as a, sum(y * (1 + x2)) / sum(1 + x2) as b from reg group by 1), e as (select flag, 1 + x2 as w, x1 - a as u, y - b as v, a, b from reg join m using (flag))
+select flag, round(any_value(a), 6) as mean_x, round(any_value(b), 6) as mean_y, round(sum(w * u * v) / sum(w), 5) as cov, round(sum(w * u * v) / sqrt(sum(w * u * u) * sum(w * v * v)), 6) as corr from e group by 1""")
+def t1_weighted_moments(spark, d):
+    out = tableone.weighted_moments(reg(spark, d).withColumn("w", 1 + F.col("x2")), "x1", "y", "w", "flag")
+    return rounded(out.withColumn("cov", F.round("cov", 5)))
+
+
+# more tests
+
+_NATION = "c as (select count(*) filter (n_regionkey < 2 and n_nationkey % 3 = 0) as a, count(*) filter (n_regionkey < 2 and n_nationkey % 3 > 0) as b, count(*) filter (n_regionkey >= 2 and n_nationkey % 3 = 0) as c, count(*) filter (n_regionkey >= 2 and n_nationkey % 3 > 0) as d from nation)"
+
+
+def _nation(spark, d):
+    at = lambda x: F.count_if(F.expr(x))
+    return read(spark, d, "nation").agg(at("n_regionkey < 2 and n_nationkey % 3 = 0").alias("a"), at("n_regionkey < 2 and n_nationkey % 3 > 0").alias("b"), at("n_regionkey >= 2 and n_nationkey % 3 = 0").alias("c"), at("n_regionkey >= 2 and n_nationkey % 3 > 0").alias("d")).first()
+
+
+@query(f"""with {_NATION}, k as (select unnest(range(0, 26)) as k, a + c as x, a + b + c + d as n from c), p as (select k, x, n, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.4) + (n - k) * ln(0.6)) as p from k where k <= n)
+select round(sum(p) filter (p <= (select p from p where k = x) * (1 + 1e-7)), 5) as two_sided, round(sum(p) filter (k <= x), 5) as less, round(sum(p) filter (k >= x), 5) as greater from p""")
+def test_binom(spark, d):
+    r = _nation(spark, d)
+    x, n = r["a"] + r["c"], sum(r)
+    return _one(spark, two_sided=tests.binom_test(x, n, 0.4).p_value, less=tests.binom_test(x, n, 0.4, alternative="less").p_value, greater=tests.binom_test(x, n, 0.4, alternative="greater").p_value)
+
+
+@query(f"""with {_NATION}, k as (select unnest(range(0, 26)) as k, * from c), p as (select k, a, exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1) - lgamma(c + d - a - c + k + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) as p from k where k <= a + b and k <= a + c and k >= a + c - c - d)
+select round(least(sum(p) filter (p <= (select p from p where k = a) * (1 + 1e-7)), 1), 5) as p from p""")
+def test_fisher(spark, d):
+    return _one(spark, p=tests.fisher_exact(*_nation(spark, d)))
+
+
+@query(f"""with {REG}, r as (select treat, rank() over (order by x1) + (count(*) over (partition by x1) - 1) / 2.0 as rk from reg) select round(sum(rk)::double - count(*) * (count(*) + 1.0::double) / 2, 5) as w from r where treat = 0""")
+def test_wilcoxon(spark, d):
+    return _one(spark, w=tests.wilcox_test(reg(spark, d), "x1", "treat").statistic)
+
+
+@query("""with p as (select c_custkey, (c_custkey * 7919 % 10007) / 10007.0::double as p from customer), r as (select *, row_number() over (order by p) as i, count(*) over () as n from p), h as (select sum(1.0::double / i) as h from r)
+select c_custkey, round(least(min(h * n / i::double * p) over (order by p desc), 1), 6) as adjusted from r, h""")
+def p_adjust_by(spark, d):
+    x = read(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 7919 % 10007) / F.lit(10007.0)).alias("p"))
+    return rounded(tests.p_adjust(x, "p", "BY").drop("p"))
+
+
+# tests of regressions
+
+_RSS = f"""{_CRAMER}, e as (select n, pow(y - (c + sac / saa * (x1 - a)), 2) as e0, pow(y - b0 - b1 * x1 - b2 * x2, 2) as e1 from reg, m, s, k), q as (select any_value(n) as n, sum(e0) as r0, sum(e1) as r1 from e)"""
+
+
+@query(f"with {REG}, {_RSS} select round((r0 - r1) / (r1 / (n - 3)), 4) as f, round(n * ln(r0 / r1), 4) as lr from q")
+def wald_lr(spark, d):
+    x = reg(spark, d)
+    full, less = regression.fit_ols(x, "y ~ x1 + x2"), regression.fit_ols(x, "y ~ x1")
+    return rounded(spark.createDataFrame([(float(regression.wald_test(full, less)[0]), float(regression.likelihood_ratio_test(full, less)[0]))], "f double, lr double"), 4)
+
+
+@query(f"with {REG}, {_CRAMER}, e as (select x1, pow(y - (c + sac / saa * (x1 - a)), 2) as e2 from reg, m, s) select round(count(*) * pow(corr(e2, x1), 2), 4) as lm from e")
+def breusch_pagan(spark, d):
+    return rounded(spark.createDataFrame([(float(regression.breusch_pagan(reg(spark, d), "y ~ x1")[0]),)], "lm double"), 4)
+
+
+@query(f"with {REG}, v as (select corr(x1, x2) as r from reg) select 'x1' as term, round(1 / (1 - r * r), 6) as vif from v union all select 'x2', round(1 / (1 - r * r), 6) from v")
+def vif(spark, d):
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in regression.vif(regression.fit_ols(reg(spark, d), "y ~ x1 + x2")).items()], "term string, vif double"))
+
+
+@query(f"""with {REG}, {_CRAMER}, ff as (select y, x1 - a as f, x1 from reg, m), z as (select *, f * f as f2 from ff),
+t as (select count(*)::double as n, avg(x1) as a, avg(f2) as b, avg(y) as c from z), u as (select sum((x1 - a) * (x1 - a)) as saa, sum((f2 - b) * (f2 - b)) as sbb, sum((x1 - a) * (f2 - b)) as sab, sum((x1 - a) * (y - c)) as sac, sum((f2 - b) * (y - c)) as sbc, sum((y - c) * (y - c)) as syy, any_value(n) as n from z, t),
+r as (select n, syy - sac * sac / saa as r0, syy - (sac * (sac * sbb - sbc * sab) + sbc * (sbc * saa - sac * sab)) / (saa * sbb - sab * sab) as r1 from u) select round((r0 - r1) / (r1 / (n - 3)), 3) as f from r""")
+def reset_test(spark, d):
+    return rounded(spark.createDataFrame([(float(regression.ramsey_reset(reg(spark, d), "y ~ x1", powers=(2,))[0]),)], "f double"), 3)
+
+
+@query(f"""with {REG}, {_CRAMER}, e as (select x1, y - (c + sac / saa * (x1 - a)) as e, coalesce(lag(y - (c + sac / saa * (x1 - a))) over (order by ord, y, x1, x2, x3), 0) as l from reg, m, s),
+t as (select count(*)::double as n, avg(x1) as a, avg(l) as b, avg(e) as c from e), u as (select sum((x1 - a) * (x1 - a)) as saa, sum((l - b) * (l - b)) as sbb, sum((x1 - a) * (l - b)) as sab, sum((x1 - a) * (e - c)) as sac, sum((l - b) * (e - c)) as sbc, sum((e - c) * (e - c)) as syy, any_value(n) as n from e, t)
+select round(n * (sac * (sac * sbb - sbc * sab) + sbc * (sbc * saa - sac * sab)) / (saa * sbb - sab * sab) / syy, 4) as lm from u""")
+def breusch_godfrey(spark, d):
+    return rounded(spark.createDataFrame([(float(regression.breusch_godfrey(reg(spark, d), "y ~ x1", ["ord", "y", "x1", "x2", "x3"], 1)[0]),)], "lm double"), 4)
+
+
+@query(f"""with {REG}, m as (select avg(x1) as a, stddev_pop(x1) as sa, avg(x2) as b, stddev_pop(x2) as sb, avg(y) as c from reg), r as (select avg((x1 - a) / sa * (x2 - b) / sb) as r, avg((x1 - a) / sa * (y - c)) as p, avg((x2 - b) / sb * (y - c)) as q from reg, m)
+select lam, round(((1 + lam) * p - r * q) / (pow(1 + lam, 2) - r * r) / sa, 5) as x1, round(((1 + lam) * q - r * p) / (pow(1 + lam, 2) - r * r) / sb, 5) as x2 from m, r, (select unnest([0.1, 1.0])::double as lam)""")
+def ridge(spark, d):
+    out = regression.ridge(reg(spark, d), "y ~ x1 + x2", [0.1, 1.0])
+    return rounded(spark.createDataFrame([(k, float(v[1]), float(v[2])) for k, v in out.items()], "lam double, x1 double, x2 double"), 5)
+
+
+@query(f"""with {REG}, m as (select avg(x1) as a, stddev_pop(x1) as sa, avg(y) as c from reg), r as (select avg((x1 - a) / sa * (y - c)) as p from reg, m)
+select lam, round(greatest(abs(p) - 0.5 * lam, 0) * sign(p) / (1 + 0.5 * lam) / sa, 5) + 0.0 as x1 from m, r, (select unnest([0.1, 1.0])::double as lam)""")
+def elastic_net(spark, d):
+    out = models.elastic_net(reg(spark, d), "y ~ x1", [0.1, 1.0], alpha=0.5)
+    return rounded(spark.createDataFrame([(k, float(v[1]) + 0.0) for k, v in out.items()], "lam double, x1 double"), 5)
+
+
+@query(f"""with {REG}, g as (select flag, ln(avg(treat)) as l from reg group by 1), r as (select min_by(l, flag) as base from g)
+select case when flag = (select min(flag) from g) then '(Intercept)' else 'flag' || flag end as term, round(exp(case when flag = (select min(flag) from g) then l else l - base end), 5) as ratio from g, r""")
+def risk_ratio(spark, d):
+    fit, _ = models.fit_risk_ratio(reg(spark, d), "treat ~ flag")
+    return rounded(fit.tidy(exponentiate=True).select("term", F.col("estimate").alias("ratio")), 5)
+
+
+@query(f"""with {REG}, g as (select (x2 > 0.05)::int as h, ln((sum(treat) + 0.5) / (count(*) - sum(treat) + 0.5)) as l from reg group by 1)
+select '(Intercept)' as term, round(l, 4) as estimate from g where h = 0 union all select 'h', round((select l from g where h = 1) - l, 4) from g where h = 0""")
+def firth(spark, d):
+    x = reg(spark, d).withColumn("h", (F.col("x2") > 0.05).cast("int"))
+    return rounded(models.fit_firth(x, "treat ~ h").tidy(spark).select("term", "estimate"), 4)
+
+
+@query(f"""with {REG}, c as (select flag, treat, count(*)::double as n from reg where x1 <= 25 group by all), g as (select flag, ln(sum(n) filter (treat = 0) + 0) as a from c group by 1), b as (select min_by(a, flag) as base from g)
+select flag || ':(Intercept)' as term, round(a - base, 4) as estimate from g, b where flag > (select min(flag) from g)""")
+def multinomial(spark, d):
+    x = reg(spark, d).where("x1 <= 25 and treat = 0")
+    return rounded(models.multinomial_regression(x, "flag ~ 1").tidy(spark).select("term", "estimate"), 4)
+
+
+@query(f"""with {REG}, c as (select mode, count(*)::double as n from reg group by 1), o as (select mode, lead(mode) over (order by mode) as next, sum(n) over (order by mode) / sum(n) over () as p from c)
+select mode || '|' || next as term, round(ln(p / (1 - p)), 4) as estimate from o where next is not null""")
+def ordinal(spark, d):
+    return rounded(models.ordinal_regression(reg(spark, d), "mode ~ 1").tidy(spark).select("term", "estimate"), 4)
+
+
+@query(f"""with {SURV}, g as (select grp, ln(sum(time) / sum(event)) as l from surv where time > 0 and grp <> 'N' group by 1), r as (select min_by(l, grp) as base from g)
+select case when grp = (select min(grp) from g) then '(Intercept)' else 'grp' || grp end as term, round(case when grp = (select min(grp) from g) then l else l - base end, 4) as estimate from g, r""")
+def aft_exponential(spark, d):
+    x = surv(spark, d).where("time > 0 and grp <> 'N'")
+    return rounded(models.accelerated_failure(x, "time", "event", "grp", "exponential").tidy(spark).select("term", "estimate"), 4)
+
+
+@query(f"""with {REG}, g as (select flag, 1 / avg(y) as l from reg group by 1), r as (select min_by(l, flag) as base from g)
+select case when flag = (select min(flag) from g) then '(Intercept)' else 'flag' || flag end as term, round(case when flag = (select min(flag) from g) then l else l - base end, 7) as estimate from g, r""")
+def glm_gamma_saturated(spark, d):
+    return rounded(regression.fit_glm(reg(spark, d), "y ~ flag", "gamma").tidy().select("term", "estimate"), 7)
+
+
+# more of predictions
+
+
+@query(f"""with {PRED}, c as (select count(*) filter (truth = 1 and prob >= 0.5)::double as tp, count(*) filter (truth = 0 and prob >= 0.5)::double as fp, count(*) filter (truth = 1 and prob < 0.5)::double as fn, count(*) filter (truth = 0 and prob < 0.5)::double as tn from pred)
+select round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy, round(tp / (tp + fn), 6) as sensitivity, round(tn / (tn + fp), 6) as specificity, round(tp / (tp + fp), 6) as ppv, round(tn / (tn + fn), 6) as npv, round(2 * tp / (2 * tp + fp + fn), 6) as f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) as mcc from c""")
+def binary_metrics(spark, d):
+    m = prediction.binary_metrics(pred(spark, d).withColumn("p", (F.col("prob") >= 0.5).cast("int")), "truth", "p")
+    names = ["accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", "mcc"]
+    return rounded(spark.createDataFrame([tuple(float(m[n]) for n in names)], ", ".join(f"{n} double" for n in names)))
+
+
+@query(f"""with {PRED}, s as (select prob as score, sum(truth)::double as p, count(*) - sum(truth)::double as n from pred group by 1), r as (select score, sum(p) over (order by score desc) / sum(p) over () as sensitivity, 1 - sum(n) over (order by score desc) / sum(n) over () as specificity from s)
+select round(score, 6) as score, round(sensitivity, 6) as sensitivity, round(specificity, 6) as specificity, round(sensitivity + specificity - 1, 6) as youden from r where round(sensitivity + specificity - 1, 12) = (select max(round(sensitivity + specificity - 1, 12)) from r)""")
+def youden(spark, d):
+    return rounded(prediction.youden(pred(spark, d), "truth", "prob"))
+
+
+def _placed(x: str) -> str:
+    return f"(select {x} as x, sum(truth)::double as p, count(*) - sum(truth)::double as n from pred group by 1)"
+
+
+def _place(x: str) -> str:
+    return f"(select x, (sum(n) over (order by x) - n / 2) / sum(n) over () as v10, (sum(p) over () - sum(p) over (order by x) + p / 2) / sum(p) over () as v01 from {_placed(x)})"
+
+
+@query(f"""with {PRED}, v as (select truth, a.v10 as a10, a.v01 as a01, b.v10 as b10, b.v01 as b01 from pred join {_place('prob')} a on pred.prob = a.x join {_place('score2')} b on pred.score2 = b.x),
+t as (select avg(a10) filter (truth = 1) as auc1, avg(b10) filter (truth = 1) as auc2, var_samp(a10 - b10) filter (truth = 1) / count(*) filter (truth = 1) + var_samp(a01 - b01) filter (truth = 0) / count(*) filter (truth = 0) as v from v)
+select round(auc1, 6) as auc1, round(auc2, 6) as auc2, round((auc1 - auc2) / sqrt(v), 4) as z from t""")
+def roc_test(spark, d):
+    r = prediction.roc_test(pred(spark, d), "truth", "prob", "score2")
+    return spark.createDataFrame([(round(r["auc1"], 6), round(r["auc2"], 6), round(r["z"], 4))], "auc1 double, auc2 double, z double")
+
+
+@query(f"""with {REG}, u0 as (select supp, flag, mode, avg(x1) as score, (sum(treat) * 2 > count(*))::int as treat from reg group by all), u as (select *, supp || flag || mode as id from u0), k as (select stddev_samp(score) * 0.2 as k from u),
+t as (select * from u where treat = 1), c as (select * from u where treat = 0), p as (select t.supp || t.flag || t.mode as treated, t.score as ts, c.supp || c.flag || c.mode as control, c.score as cs, row_number() over (partition by t.id order by abs(t.score - c.score), c.score, c.supp || c.flag || c.mode) as i from t join c on t.flag = c.flag)
+select treated, control, round(abs(ts - cs), 6) as distance from p, k where i = 1 and abs(ts - cs) <= k + 1e-12""")
+def nearest_match(spark, d):
+    x = reg(spark, d).groupBy("supp", "flag", "mode").agg(F.avg("x1").alias("score"), (F.sum("treat") * 2 > F.count("*")).cast("int").alias("treat")).withColumn("id", F.concat("supp", "flag", "mode"))
+    return rounded(causal.nearest_match(x, "id", "treat", "score", exact=["flag"], caliper=0.2).select("treated", "control", "distance"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Table One of line items by return flag."""
     x = read(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"), "l_linestatus")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
 from quillstat.functions import dist
-from quillstat.operators import economics, prediction, regression, survival, tableone, tests
+from quillstat.operators import economics, prediction, regression, survival, tableone
+from quillstat.operators import hypothesis as tests
 from quillstat.plans import ordered
 
 
