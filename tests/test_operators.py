@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
 from quillstat.functions import dist
-from quillstat.operators import economics, prediction, regression, survival, tableone
+from quillstat.operators import causal, economics, prediction, regression, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.plans import ordered
 
@@ -134,3 +134,97 @@ def test_roc_test_and_frontier(spark):
     assert r["auc1"] > r["auc2"] and r["p_value"] < 0.05
     rows = economics.frontier([("a", 0, 0), ("b", 10, 1), ("c", 30, 2), ("d", 25, 0.5), ("e", 25, 1.2)])
     assert [x[0] for x in rows] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("one_task", [10**6, 0])
+@pytest.mark.parametrize("before", [False, True])
+def test_running_aggregates_of_groups(spark, one_task, before):
+    rng = np.random.default_rng(3)
+    rows = [(g, k, float(rng.normal()), float(rng.random())) for g in "abc" for k in range({"a": 300, "b": 1, "c": 40}[g])]
+    df = spark.createDataFrame(rows, "g string, k long, v double, p double").repartition(5)
+    for descending in (False, True):
+        out = ordered.running(df, "k", {"s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v"), "pr": ("product", "p")}, ("g",), descending=descending, before=before, one_task=one_task).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            own = [x for x in rows if x[0] == r["g"] and ((x[1] > r["k"] if descending else x[1] < r["k"]) or (not before and x[1] == r["k"]))]
+            if not own:
+                assert r["s"] is None and r["hi"] is None and r["pr"] is None
+                continue
+            v = [x[2] for x in own]
+            assert (r["s"], r["hi"], r["lo"], r["pr"]) == pytest.approx((sum(v), max(v), min(v), math.prod(x[3] for x in own)))
+    whole = ordered.running(df.groupBy("k").agg(F.sum("v").alias("v")), "k", {"s": ("sum", "v")}, before=before, one_task=one_task)
+    assert whole.count() == 300
+
+
+def test_exact_tails_by_brute_force():
+    for n, p in ((1, 0.5), (7, 0.2), (40, 0.5), (41, 0.73)):
+        pmf = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        for x in range(n + 1):
+            assert tests.binom_test(x, n, p).p_value == pytest.approx(min(1, sum(v for v in pmf if v <= pmf[x] * (1 + 1e-7))))
+            assert tests.binom_test(x, n, p, alternative="less").p_value == pytest.approx(sum(pmf[: x + 1]))
+            assert tests.binom_test(x, n, p, alternative="greater").p_value == pytest.approx(sum(pmf[x:]))
+    for a, b, c, d in ((3, 1, 1, 3), (0, 5, 4, 1), (10, 2, 3, 15), (0, 0, 2, 3), (8, 8, 8, 8)):
+        ways = {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        want = sum(v for v in ways.values() if v <= ways[a] * (1 + 1e-7)) / math.comb(a + b + c + d, a + c)
+        assert tests.fisher_exact(a, b, c, d) == pytest.approx(want)
+    # as many terms as the spread, not as the counts
+    assert tests.binom_test(500_010_000, 10**9, 0.5).p_value == pytest.approx(math.erfc(10_000 / math.sqrt(10**9 / 4) / math.sqrt(2)), rel=1e-3)
+    assert tests._harmonic(101) == pytest.approx(sum(1 / i for i in range(1, 102)), rel=1e-15)
+
+
+def test_nearest_match_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.random() < 0.3), float(rng.integers(0, 40)) / 10, "ab"[int(rng.random() < 0.5)]) for i in range(120)] + [(500, 1, None, "a"), (501, 0, 1.0, None), (None, 1, 2.0, "a")]
+    df = spark.createDataFrame(rows, "u long, t int, s double, e string")
+    spread = np.std([x[2] for x in rows[:120]], ddof=1)
+    for exact, caliper in ((None, None), (["e"], None), (["e"], 0.05)):
+        have = [x for x in rows if None not in (x[:3] if exact is None else x)]
+        sd = np.std([x[2] for x in have], ddof=1)
+        got = {r["treated"]: (r["control"], r["distance"]) for r in causal.nearest_match(df, "u", "t", "s", exact, caliper).collect()}
+        want = {}
+        for u, t, s, e in have:
+            near = sorted((abs(s - c[2]), c[2], c[0]) for c in have if not c[1] and (exact is None or c[3] == e))
+            if t and near and (caliper is None or near[0][0] <= caliper * sd):
+                want[u] = (near[0][2], pytest.approx(near[0][0]))
+        assert got == want and spread > 0
+    w = {r["unit"]: r["weight"] for r in causal.match_weights(causal.nearest_match(df, "u", "t", "s")).collect()}
+    controls = [v for u, v in w.items() if u is not None and rows[u][1] == 0]
+    assert sum(controls) == pytest.approx(len(controls))
+
+
+def test_predictions_of_missing_and_unknown_levels(spark):
+    df = spark.createDataFrame([(1.0, "a", 1.0), (2.0, "b", 2.0), (3.0, "a", 1.0), (5.0, "b", 3.0)], "y double, f string, w double")
+    fit = regression.fit_ols(df, "y ~ f", "w")
+    new = fit.predict(spark.createDataFrame([("a",), (None,), ("b",)], "f string")).collect()
+    assert new[0]["fitted"] == pytest.approx(2.0) and new[1]["fitted"] is None and new[2]["fitted"] == pytest.approx(3.8)
+    with pytest.raises(Exception, match="new level"):
+        fit.predict(spark.createDataFrame([("c",)], "f string")).collect()
+
+
+def test_weights_count_in_clustered_covariance(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.normal()), float(rng.normal()), float(rng.integers(1, 4)), int(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "y double, x double, w double, g int")
+    fit = regression.fit_ols(df, "y ~ x", "w")
+    a = np.array(rows)
+    x, w = np.c_[np.ones(60), a[:, 1]], a[:, 2]
+    bread = np.linalg.inv((x.T * w) @ x)
+    score = (x.T * (w * (a[:, 0] - x @ (bread @ (x.T * w) @ a[:, 0])))).T
+    u = np.array([score[a[:, 3] == g].sum(0) for g in range(7)])
+    want = bread @ (u.T @ u) @ bread * 7 / 6 * 59 / 58
+    assert np.allclose(regression.cluster_covariance(fit, df, "y ~ x", ["g"]), want)
+
+
+def test_lags_skip_rows_that_are_not_in_the_fit(spark):
+    rows = [(1, 1.0, 0.1), (2, None, 5.0), (3, 2.5, 0.7), (4, 2.0, 1.1), (5, 4.5, 2.0)]
+    df = spark.createDataFrame(rows, "o int, y double, x double")
+    got = regression.durbin_watson(df, "y ~ x", ["o"]).first()["dw"]
+    assert got == pytest.approx(regression.durbin_watson(df.where("y is not null"), "y ~ x", ["o"]).first()["dw"])
+
+
+def test_restricted_mean_and_median_at_the_edges(spark):
+    df = spark.createDataFrame([("late", 50.0, 1), ("late", 60.0, 0), ("flat", 1.0, 1), ("flat", 3.0, 1)], "g string, t double, e int")
+    r = {x["grp"]: (x["rmst"], x["variance"]) for x in survival.rmst(df, "t", "e", 10.0, "g").collect()}
+    assert r["late"] == (10.0, 0.0) and r["flat"][0] == pytest.approx(1 + 2 * 0.5)
+    q = {x["grp"]: x["time"] for x in survival.curve_quantile(survival.survival_curve(df, "t", "e", "g")).collect()}
+    assert q["flat"] == 2.0  # the middle of the stretch at one half
