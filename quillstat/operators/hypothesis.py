@@ -88,11 +88,16 @@ def anova(df: DataFrame, value: str, group: str) -> HTest:
     """One-way analysis of variance."""
     x = F.col(value).cast("double")
     rows = df.where(F.col(group).isNotNull() & x.isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).collect()
-    n, k = sum(r["n"] for r in rows), len(rows)
+    return anova_of([(r["n"], r["m"], r["v"]) for r in rows])
+
+
+def anova_of(rows: list[tuple[int, float, float]]) -> HTest:
+    """One-way analysis of variance from (n, mean, population variance) of each group."""
+    n, k = sum(r[0] for r in rows), len(rows)
     if k < 2 or n <= k:
         return HTest("anova", math.nan, math.nan)
-    mean = sum(r["n"] * r["m"] for r in rows) / n
-    between, within = sum(r["n"] * (r["m"] - mean) ** 2 for r in rows), sum(r["n"] * r["v"] for r in rows)
+    mean = sum(r[0] * r[1] for r in rows) / n
+    between, within = sum(r[0] * (r[1] - mean) ** 2 for r in rows), sum(r[0] * r[2] for r in rows)
     f = (between / (k - 1)) / (within / (n - k)) if within else math.inf
     return HTest("anova", f, f_sf(f, k - 1, n - k), (k - 1, n - k))
 
@@ -106,14 +111,19 @@ def crosstab(df: DataFrame, a: str, b: str) -> tuple[list, list, list[list[int]]
 
 def chisq_test(df: DataFrame, a: str, b: str, correct: bool = True) -> HTest:
     """Pearson chi-square of a contingency table, with Yates' correction for two by two."""
-    left, right, n = crosstab(df, a, b)
-    if len(left) < 2 or len(right) < 2:
+    return chisq_of(crosstab(df, a, b)[2], correct)
+
+
+def chisq_of(n: list[list[int]], correct: bool = True) -> HTest:
+    """The same of a table of counts."""
+    if len(n) < 2 or len(n[0]) < 2:
         return HTest("chi-square", math.nan, math.nan)
     total = sum(map(sum, n))
     rows, cols = [sum(r) for r in n], [sum(c) for c in zip(*n, strict=True)]
-    yates = min(0.5, min(abs(n[i][j] - rows[i] * cols[j] / total) for i in range(len(left)) for j in range(len(right)))) if correct and len(left) == len(right) == 2 else 0.0
-    stat = sum((abs(n[i][j] - rows[i] * cols[j] / total) - yates) ** 2 / (rows[i] * cols[j] / total) for i in range(len(left)) for j in range(len(right)))
-    dof = (len(left) - 1) * (len(right) - 1)
+    off = [[abs(x - rows[i] * cols[j] / total) for j, x in enumerate(r)] for i, r in enumerate(n)]
+    yates = min(0.5, min(map(min, off))) if correct and len(rows) == len(cols) == 2 else 0.0
+    stat = sum((off[i][j] - yates) ** 2 / (rows[i] * cols[j] / total) for i in range(len(rows)) for j in range(len(cols)))
+    dof = (len(rows) - 1) * (len(cols) - 1)
     return HTest("chi-square", stat, chi2_sf(stat, dof), dof)
 
 
@@ -328,14 +338,18 @@ def _harmonic(n: int) -> float:
     return math.log(n) + 0.57721566490153286 + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
 
 
+def stat_of_counts(n: list[list[int]]) -> str:
+    """Formatted p value of a table of counts: Fisher's of two by two, else chi-square."""
+    if len(n) == 2 and len(n[0]) == 2:
+        return format_pvalue(fisher_exact(*n[0], *n[1]))
+    return format_pvalue(chisq_of(n).p_value)
+
+
 def stat_auto(df: DataFrame, a: str, b: str) -> str:
     """Formatted p value by type: nominal by nominal (Fisher or chi-square), numeric by nominal (ANOVA)."""
     nominal = lambda c: isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))
     if nominal(b) and nominal(a):
-        left, right, n = crosstab(df, a, b)
-        if len(left) == len(right) == 2:
-            return format_pvalue(fisher_exact(*n[0], *n[1]))
-        return format_pvalue(chisq_test(df, a, b).p_value)
+        return stat_of_counts(crosstab(df, a, b)[2])
     if nominal(b) and isinstance(df.schema[a].dataType, T.NumericType):
         return format_pvalue(anova(df, a, b).p_value)
     return "-"

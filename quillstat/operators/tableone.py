@@ -66,29 +66,36 @@ def numeric_summary(df: DataFrame, column: str, by: str, add_all: bool = True) -
     return have.groupBy(F.col("__g").alias("group")).agg(*aggs).select("group", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
-def standardized_difference(df: DataFrame, column: str, groups: str, categorical: bool | None = None) -> float:
-    """|mean difference| over the root mean variance, or its multinomial form; the mean over pairs of groups."""
-    have = df.where(F.col(column).isNotNull() & F.col(groups).isNotNull())
-    if categorical is None:
-        categorical = isinstance(df.schema[column].dataType, (T.StringType, T.BooleanType))
-    if not categorical:
-        x = F.col(column).cast("double")
-        rows = [(r["m"], r["v"]) for r in have.groupBy(groups).agg(F.avg(x).alias("m"), F.var_samp(x).alias("v")).collect()]
-        each = [abs(a[0] - b[0]) / np.sqrt((a[1] + b[1]) / 2) if a[1] + b[1] else 0.0 if a[0] == b[0] else np.inf for a, b in combinations(rows, 2)]
-        return float(np.mean(each)) if each else float("nan")
-    counts = categories(have, column, groups).collect()
-    names = sorted({r["level"] for r in counts})
-    shares: dict = {}
-    for r in counts:
-        shares.setdefault(r[groups], {})[r["level"]] = r["n"] / r["total"]
+def _pairs_smd(rows: list[tuple[float, float]]) -> float:
+    """Mean over pairs of groups of |mean difference| over the root mean variance; ``rows`` are (mean, variance)."""
+    each = [abs(a[0] - b[0]) / np.sqrt((a[1] + b[1]) / 2) if a[1] + b[1] else 0.0 if a[0] == b[0] else np.inf for a, b in combinations(rows, 2)]
+    return float(np.mean(each)) if each else float("nan")
+
+
+def _shares_smd(counts: list[list[int]]) -> float:
+    """The multinomial form, of the counts of levels (columns) by group."""
+    shares = [np.array(c, float) / sum(c) for c in counts if sum(c)]
     each = []
-    for a, b in combinations(shares.values(), 2):
-        p, q = (np.array([s.get(x, 0.0) for x in names[1:]]) for s in (a, b))
+    for a, b in combinations(shares, 2):
+        p, q = a[1:], b[1:]
         cov = sum(np.diag(v) - np.outer(v, v) for v in (p, q)) / 2
         each.append(float(np.sqrt(max(0.0, (p - q) @ np.linalg.pinv(cov) @ (p - q)))))
     return float(np.mean(each)) if each else float("nan")
 
 
+def standardized_difference(df: DataFrame, column: str, groups: str, categorical: bool | None = None) -> float:
+    """|mean difference| over the root mean variance, or its multinomial form; the mean over pairs of groups."""
+    from quillstat.operators.hypothesis import crosstab
+
+    if categorical is None:
+        categorical = isinstance(df.schema[column].dataType, (T.StringType, T.BooleanType))
+    if categorical:
+        return _shares_smd(crosstab(df, groups, column)[2])
+    x = F.col(column).cast("double")
+    have = df.where(x.isNotNull() & F.col(groups).isNotNull())
+    return _pairs_smd([(r["m"], r["v"]) for r in have.groupBy(groups).agg(F.avg(x).alias("m"), F.var_samp(x).alias("v")).collect()])
+
+
 def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Column] | str]], hue: str | None = None, *, add_all: bool = False, add_pvalue: bool = False, add_smd: bool = False, levels: dict[str, list] | None = None) -> DataFrame:
     """(name, one text column a group, ``All``, ``P value``, ``SMD``).
 
@@ -96,7 +103,7 @@ def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Colum
     row a level.  Groups are ordered by value; rows with a null group are left
     out of groups but not of ``All``.
     """
-    from quillstat.operators.hypothesis import stat_auto
+    from quillstat.operators.hypothesis import anova_of, crosstab, format_pvalue, stat_of_counts
 
     for name, _ in params:
         if name not in df.columns:
@@ -122,6 +129,23 @@ def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Colum
         take(df.where(F.col(hue).isNotNull()), None)
     if add_all or hue is None:
         take(df, "All")
+    # p values and differences of all numeric variables from one pass of moments, of others from one of counts each
+    pvalue, smd = {}, {}
+    if add_pvalue or add_smd:
+        nominal = [n for n, _ in params if isinstance(df.schema[n].dataType, (T.StringType, T.BooleanType))]
+        numeric = [n for n, _ in params if n not in nominal]
+        x = lambda n: F.col(n).cast("double")
+        aggs = [a for i, n in enumerate(numeric) for a in (F.count(x(n)).alias(f"n{i}"), F.avg(x(n)).alias(f"m{i}"), F.var_samp(x(n)).alias(f"v{i}"), F.var_pop(x(n)).alias(f"p{i}"))]
+        rows = df.where(F.col(hue).isNotNull()).groupBy(hue).agg(*aggs).collect() if aggs else []
+        for i, n in enumerate(numeric):
+            own = [r for r in rows if r[f"n{i}"]]
+            smd[n] = _pairs_smd([(r[f"m{i}"], r[f"v{i}"]) for r in own])
+            tested = isinstance(df.schema[n].dataType, T.NumericType) and isinstance(df.schema[hue].dataType, (T.StringType, T.BooleanType))
+            pvalue[n] = format_pvalue(anova_of([(r[f"n{i}"], r[f"m{i}"], r[f"p{i}"]) for r in own]).p_value) if tested else "-"
+        for n in nominal:
+            counts = crosstab(df, hue, n)[2]
+            smd[n] = _shares_smd(counts)
+            pvalue[n] = stat_of_counts([list(c) for c in zip(*counts, strict=True)]) if isinstance(df.schema[hue].dataType, (T.StringType, T.BooleanType)) else "-"
     order = []
     for n, f in params:
         order.append(n)
@@ -142,9 +166,9 @@ def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Colum
         row += [cells.get((*item, h) if isinstance(item, tuple) else (item, h)) for h in heads]
         top = not isinstance(item, tuple)
         if add_pvalue:
-            row.append(stat_auto(df, item, hue) if top else None)
+            row.append(pvalue[item] if top else None)
         if add_smd:
-            row.append(f"{standardized_difference(df, item, hue):.3f}" if top else None)
+            row.append(f"{smd[item]:.3f}" if top else None)
         out.append(tuple(row))
     names = ["name", *heads] + ["P value"] * add_pvalue + ["SMD"] * add_smd
     return df.sparkSession.createDataFrame(out, T.StructType([T.StructField(n, T.StringType()) for n in names]))
