@@ -26,11 +26,9 @@ from pyspark.sql import functions as F
 
 from quillstat.llm.common import map_batches
 
-#: Pre-tokens remembered by a task before it starts afresh.
-CACHE = 300_000
-#: Rows handled together inside a task.
-ROWS = 256
-BATCH = 256  # rows whose ids a task holds as Python objects
+#: Pre-tokens remembered by a task, and their characters, before it starts afresh.
+CACHE, CACHE_CHARS = 100_000, 4_000_000
+BATCH, ITEMS = 256, 1 << 18  # rows, and bytes or ids of them, that a task holds as Python objects
 
 
 def byte_characters() -> list[str]:
@@ -89,7 +87,7 @@ def model_bytes(tokens: list[bytes]) -> bytes:
 class Codec:
     """Encoder and decoder of one vocabulary, for use inside a task."""
 
-    def __init__(self, model: bytes, pattern: str) -> None:
+    def __init__(self, model: bytes, pattern: str, digest: bool = False) -> None:
         import regex
         import sentencepiece
 
@@ -99,7 +97,8 @@ class Codec:
         back = {c: b for b, c in self.table.items()}
         n = self.model.get_piece_size() - 1
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(n)]
-        #: Of each remembered pre-token: its ids, their decimals joined by spaces, and the bytes they decode to.
+        #: Of each remembered pre-token: its ids and, for digests, their decimals joined by spaces and the bytes they decode to.
+        self.digest, self.chars = digest, 0
         self.ids: dict[str, list[int]] = {}
         self.text: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
@@ -107,14 +106,18 @@ class Codec:
     def split(self, texts: list[str]) -> list[list[str]]:
         """The pre-tokens of each text, all of them encoded and remembered."""
         parts = [self.find(t) for t in texts]
-        if len(self.ids) > CACHE:
+        if len(self.ids) > CACHE or self.chars > CACHE_CHARS:
             for known in (self.ids, self.text, self.back):
                 known.clear()
+            self.chars = 0
         new = [*set(chain.from_iterable(parts)).difference(self.ids)]
         # latin-1 reads each byte as the code point that the table maps
         mapped = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in new]
         for p, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
-            self.ids[p], self.text[p], self.back[p] = ids, " ".join(map(str, ids)), self.decode(ids)
+            self.ids[p] = ids
+            self.chars += len(p)
+            if self.digest:
+                self.text[p], self.back[p] = " ".join(map(str, ids)), self.decode(ids)
         return parts
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -154,14 +157,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
 
     def make():
-        codec = Codec(model.value, pattern)
+        codec = Codec(model.value, pattern, digest)
 
         def step(batch):
-            texts = batch.column(batch.num_columns - 1)
-            rows = []
-            for at in range(0, batch.num_rows, ROWS):
-                block = [t or "" for t in texts.slice(at, ROWS).to_pylist()]
-                rows += codec.digests(block) if digest else codec.encode(block)
+            block = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = codec.digests(block) if digest else codec.encode(block)
             columns = {c: batch.column(i) for i, c in enumerate(keep)}
             if digest:
                 return columns | {name: [r[i] for r in rows] for i, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         return step
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return map_batches(source, ", ".join(x for x in (ddl, extra) if x), make, rows=BATCH)
+    return map_batches(source, ", ".join(x for x in (ddl, extra) if x), make, rows=BATCH, by=len(source.columns) - 1, most=ITEMS)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -189,4 +189,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         return step
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return map_batches(source, f"{ddl}, `{out}` binary", make, rows=BATCH)
+    return map_batches(source, f"{ddl}, `{out}` binary", make, rows=BATCH, by=keep.index(ids), most=ITEMS)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
-import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,16 +12,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters between words: space and the ASCII controls from tab to carriage return.
-SPACES = "\t\n\x0b\x0c\r"
-#: The same as a pattern of one word, for Python.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def ascii_words(text: str) -> list[str]:
-    """Words of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z only."""
-    return WORD.findall(lowered(text))
-
 
 def lowered(text: str) -> str:
     """``text`` with A-Z in lower case: of bytes, ``lower`` changes nothing else."""
@@ -37,16 +27,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def space_words(text: Column) -> Column:
-    """Array of the words of ``[^\\x20\\x09-\\x0D]+``; null text has none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(plain, " "), "")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: the session's ``spark.checkpoint.dir``.
 
@@ -56,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstat-checkpoint-"))
     return sc.getCheckpointDir()
@@ -67,8 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
 
     Where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, Spark deletes
     it when nothing refers to it any more; else it stays until the folder is emptied.
+    What former steps left is let go first, or their shuffle files and broadcast
+    tables would fill the executors, at most every other second.
     """
     shared_folder(df.sparkSession)
+    release(df.sparkSession, 2.0)
     return df.checkpoint(eager=True)
 
 
@@ -99,10 +82,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go what former steps left: Spark deletes shuffle files of tables that no longer exist when the driver collects its garbage, which a driver with little to do puts off for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_released = 0.0
+
+
+def release(spark: SparkSession, seconds: float = 0.0) -> None:
+    """Lets go what former steps left: Spark deletes shuffle files and broadcasts of tables that no longer exist when the driver collects its garbage, which a driver with little to do puts off for long.
+
+    Does nothing if it was done in the last ``seconds``.
+    """
+    global _released
+    if time.monotonic() - _released >= seconds:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -123,12 +115,13 @@ def bounded(rows: DataFrame, key: str, most: int, size: str | None = None, most_
     return rows.join(if_small(cut(shares), 400_000), key).where(hashed < F.col("__share")).select(*rows.columns)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int | None = None) -> DataFrame:
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable], rows: int | None = None, by: int | None = None, most: int = 1 << 20) -> DataFrame:
     """``mapInArrow`` with per-task state.
 
     ``make`` is called once a task and returns a function from a RecordBatch to
     a dict of columns; ``schema`` is the DDL of the result.  With ``rows``, batches
-    are handed over in slices of at most so many, to bound what Python holds.
+    are handed over in slices of at most so many rows and, of the texts or lists in
+    column ``by``, of ``most`` bytes or items, to bound what Python holds.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -139,33 +132,29 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable], rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            size = rows or max(batch.num_rows, 1)
-            for at in range(0, max(batch.num_rows, 1), size):
-                columns = step(batch.slice(at, size))
+            for at, n in cuts(batch.column(by), rows, most) if rows else [(0, batch.num_rows)]:
+                columns = step(batch.slice(at, n))
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
-def portions(texts, rows: int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of an Arrow column, cut so that a list holds at most so many rows and bytes; a longer text is alone."""
+def cuts(column, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of an Arrow column of texts or lists that hold at most so many rows and bytes or items; a longer one is alone."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    sizes = pc.list_value_length(column) if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length(column)
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
     at, before = 0, 0
     while at < len(ends):
-        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + chars, "right"))))
-        yield at, texts.slice(at, to - at).to_pylist()
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield at, to - at
         at, before = to, ends[to - 1]
 
 
-def columns_with(df: DataFrame, text: str, extra: str) -> tuple[list[str], str]:
-    """The columns a row-wise operator passes on, and the DDL with ``extra`` appended.
-
-    Input columns whose names clash with a result column (ignoring case) are
-    left out of the result.
-    """
-    new = {part.strip().split(" ")[0].strip("`").lower() for part in extra.split(",")}
-    keep = [c for c in df.columns if c.lower() not in new and c != text]
-    return keep, extra
+def portions(texts, rows: int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of the parts of an Arrow column of texts."""
+    for at, n in cuts(texts, rows, chars):
+        yield at, texts.slice(at, n).to_pylist()

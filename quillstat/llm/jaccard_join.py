@@ -159,7 +159,7 @@ class Join:
 
             sets, seen = Shingles(shingle), set()
             for batch in batches:
-                for _, texts in portions(batch.column(0), ROWS * 8, 4 * CHARS):
+                for _, texts in portions(batch.column(0), ROWS * 2, CHARS):
                     token, cls, size = [], [], []
                     for s in sets.sets(texts):
                         if not len(s) or (c := set_id(s)) in seen:

@@ -283,7 +283,12 @@ def judge(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], lang: str = "
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns, which are kept with their counts while groups are fitted."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    whole = cut(counts(docs.select(row, F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))).drop("text"))
-    return judge(whole, fit(whole.drop("__row"), **how)).where("kept").select("__row.*")
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Texts are counted twice, for the estimates and for the verdicts: keeping whole
+    rows between would take more memory and as much disk as the documents.
+    """
+    slim = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    fitted = fit(cut(counts(slim).drop("text")), **how)
+    whole = counts(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source")))
+    return judge(whole, fitted).where("kept").select("__row.*")

@@ -93,6 +93,10 @@ def test_bpe_is_that_of_the_ranks(spark, encoding):
         assert rows[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
         assert back[i]["ids"] == want and bytes(back[i]["decoded"]) == (t or "").encode()
     assert byte_bpe.encode(empty(spark), PATH, public_tokenizers.PATTERN, digest=True).count() == 0
+    long = [prose(rng, 120_000), "z" * 300_000, None]
+    for r in byte_bpe.encode(frame(spark, long), PATH, public_tokenizers.PATTERN, digest=True).collect():
+        t = long[r["doc_id"]] or ""
+        assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and (r["doc_id"] == 1 or r["n_tokens"] == len(encoding.encode_ordinary(t)))
 
 
 # 8
