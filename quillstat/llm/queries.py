@@ -111,7 +111,14 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.filter_audit import audit, failing, measure, rules
+
+    rows = measure(table(spark, sf_dir, "documents"))
+    return audit(failing(rows, table(spark, sf_dir, "labels"), rules()), "".join(rules()))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules, op12_filter_audit)}
 
 SQL: dict[str, str] = {
     "op3_jaccard_join": r"""
@@ -159,5 +166,36 @@ with d as (
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (r) left join it using (r)
+""",
+    "op12_filter_audit": r"""
+with recursive d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (
+  select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id
+), least as (
+  select t, min(doc_id) as m from d group by t
+), f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when d.doc_id > m then 'E' else '' end as fails
+  from d join least using (t) left join l using (doc_id)
+), g as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all
+), p as (
+  select '' as o, 'ABCDE' as rest
+  union all
+  select o || substr(rest, i::bigint, 1), substr(rest, 1, (i - 1)::bigint) || substr(rest, (i + 1)::bigint) from p, range(1, 6) r(i) where i <= length(rest)
+), s as (
+  select o as filter_order, i::int as step, substr(o, i, 1) as x, substr(o, 1, i - 1) as before from p, range(1, 6) r(i) where rest = ''
+), e as (
+  select part, filter_order, step, x, translate(before, fails, '') = before as alive, contains(fails, x) as own, fails = x as alone, n, good, toxic from g, s
+), a as (
+  select part, filter_order, step, x, coalesce(sum(n) filter (alive and not own), 0)::bigint as kept, coalesce(sum(n) filter (alive and own), 0)::bigint as removed,
+    coalesce(sum(n) filter (own and not alive), 0)::bigint as redundant, coalesce(sum(n) filter (alone), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (alive and own), 0)::bigint as good_lost, coalesce(sum(toxic) filter (alive and own), 0)::bigint as toxic_lost
+  from e group by all
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley from a
 """,
 }
