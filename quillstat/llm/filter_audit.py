@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstat.llm.byte_spans import buffer_of, eight, padded, piece_end, runs, text_heads
 from quillstat.llm.common import map_batches
 
 #: Bytes of one text that are searched for words at a time.
@@ -53,7 +54,6 @@ _OUT[:, _CAPITAL] |= _IS_CAPITAL
 _OUT[:, _SYMBOL] |= _IS_SYMBOL
 _OUT[:, [_SPACE, _CAPITAL, _SYMBOL, _OTHER]] |= _IS_POINT
 
-_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,19 +65,13 @@ class Spans:
         self.start = self.size = self.doc = np.zeros(0, np.int64)
         self.head = self.hash = np.zeros(0, np.uint64)
 
-    def chunk(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The first eight bytes of each span, those beyond its end zero."""
-        at, shift = start >> 3, ((start & 7) << 3).astype(np.uint64)
-        low = self.blocks[at] >> shift
-        return (low | (self.blocks[at + 1] << np.uint64(1)) << (np.uint64(63) - shift)) & _MASK[np.minimum(size, 8)]
-
     def add(self, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> None:
-        head = self.chunk(start, size)
+        head = eight(self.blocks, start, size)
         h = (head ^ (doc.astype(np.uint64) << np.uint64(32)) ^ size.astype(np.uint64)) * _MIX
         h ^= h >> np.uint64(29)
         more, done = np.flatnonzero((size > 8) & (size <= _SHORT)), 8
         while len(more):
-            h[more] = (h[more] ^ self.chunk(start[more] + done, size[more] - done)) * _MIX
+            h[more] = (h[more] ^ eight(self.blocks, start[more] + done, size[more] - done)) * _MIX
             h[more] ^= h[more] >> np.uint64(29)
             done += 8
             more = more[size[more] > done]
@@ -96,7 +90,7 @@ class Spans:
         more, done = np.flatnonzero(equal & (size > 8) & (size <= _SHORT) & (i != j)), 8
         while len(more):
             a, b, left = self.start[i[more]] + done, self.start[j[more]] + done, size[more] - done
-            alike = self.chunk(a, left) == self.chunk(b, left)
+            alike = eight(self.blocks, a, left) == eight(self.blocks, b, left)
             equal[more[~alike]] = False
             done += 8
             more = more[alike & (left > 8)]
@@ -127,21 +121,12 @@ def measured(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Words, distinct words, capitals, symbols and code points of texts that end at ``ends`` in ``data``."""
     docs = len(ends)
     out = {k: np.zeros(docs, np.int64) for k in ("n_words", "n_distinct", "n_capitals", "n_symbols", "n_points")}
-    padded = np.zeros((len(data) + 31) // 8 * 8, np.uint8)
-    padded[: len(data)] = data
-    spans = Spans(padded)
+    spans = Spans(padded(data))
     at = 0
     while at < len(data):
-        to = min(len(data), at + PIECE)
-        if to < len(data):  # to the next white space, so that no word is cut
-            while to < len(data):
-                space = np.flatnonzero(_CLASS[data[to : to + PIECE]] == _SPACE)
-                to = to + int(space[0]) if len(space) else min(len(data), to + PIECE)
-                if len(space):
-                    break
+        to = piece_end(_CLASS == _SPACE, data, at, PIECE)
         kind = _CLASS[data[at:to]]
-        heads = np.unique(np.concatenate([[0], ends[(ends > at) & (ends < to)] - at]))  # texts that are not empty begin here
-        doc = np.searchsorted(ends, heads + at, "right")
+        heads, doc = text_heads(ends, at, to)
         after = _NEXT[_BETWEEN][kind]
         before = np.empty_like(after)
         before[1:] = after[:-1]
@@ -150,11 +135,7 @@ def measured(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         for name, bit in (("n_capitals", _IS_CAPITAL), ("n_symbols", _IS_SYMBOL), ("n_points", _IS_POINT)):
             out[name][doc] += np.add.reduceat((put & bit) != 0, heads, dtype=np.int64)
         start = np.flatnonzero(put & _BEGINS)
-        closes = after != _BETWEEN  # the last bytes of words
-        ahead = after[1:] == _BETWEEN
-        ahead[heads[1:] - 1] = True  # texts end words too
-        closes[:-1] &= ahead
-        size = np.flatnonzero(closes) + 1 - start
+        _, size = runs(after != _BETWEEN, heads)
         owner = doc[np.searchsorted(heads, start, "right") - 1]
         out["n_words"] += np.bincount(owner, minlength=docs)
         spans.add(start + at, size, owner)
@@ -181,17 +162,12 @@ def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part: s
         seen = 0
 
         def step(batch):
-            import pyarrow as pa
-
             nonlocal seen
             texts = batch.column("text")
-            wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-            _, offsets, data = texts.buffers()
-            offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+            data, ends = buffer_of(texts)
             place = np.arange(seen, seen + len(texts))
             seen += len(texts)
-            return {c: batch.column(c) for c in ("doc_id", "part", "digest")} | {"place": place} | measured(data, offsets[1:] - offsets[0])
+            return {c: batch.column(c) for c in ("doc_id", "part", "digest")} | {"place": place} | measured(data, ends)
 
         return step
 

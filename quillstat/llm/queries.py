@@ -111,6 +111,12 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.divergence_audit import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstat.llm.filter_audit import audit, failing, measure, rules
 
@@ -118,7 +124,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(failing(rows, table(spark, sf_dir, "labels"), rules()), "".join(rules()))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules, op11_divergence_audit, op12_filter_audit)}
 
 SQL: dict[str, str] = {
     "op3_jaccard_join": r"""
@@ -166,6 +172,39 @@ with d as (
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (r) left join it using (r)
+""",
+    "op11_divergence_audit": r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), g as (
+  select distinct lang, source from d
+), u as (
+  select r, lang, source, unnest(w) as term from d
+), k as (
+  select lang, term, count(*)::hugeint as n from u group by all having count(distinct r) >= 3
+), c as (
+  select lang, source, term, count(*)::hugeint as n from u join k using (lang, term) group by all
+), l as (
+  select lang, count(*)::hugeint as v, sum(n)::hugeint as total from k group by lang
+), s as (
+  select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as total from g left join c using (lang, source) group by all
+), p as (
+  select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (s.total + l.v) as p, 1 + (1000000000 * (k.n + 1)) // (l.total + l.v) as q
+  from s join l using (lang) join k using (lang) left join c using (lang, source, term)
+), f as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // q)::bigint as value from p where n > 0 and p > q
+)
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 200
 """,
     "op12_filter_audit": r"""
 with recursive d as (
