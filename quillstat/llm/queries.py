@@ -124,7 +124,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(failing(rows, table(spark, sf_dir, "labels"), rules()), "".join(rules()))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules, op11_divergence_audit, op12_filter_audit)}
+def op13_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstat.llm.embedding_links import link
+
+    return link(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_zstd_quality, op3_jaccard_join, op7_toxicity, op4_language_id, op8_decontaminate, op5_pii_surrogates, op6_license_scan, op9_byte_bpe, op10_quality_rules, op11_divergence_audit, op12_filter_audit, op13_embedding_links)}
 
 SQL: dict[str, str] = {
     "op3_jaccard_join": r"""
