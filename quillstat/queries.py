@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, economics, models, prediction, regression, survival, tableone
+from quillstat.operators import causal, economics, matching, models, prediction, regression, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -699,6 +699,46 @@ def nearest_match(spark, d):
     return rounded(causal.nearest_match(x, "id", "treat", "score", exact=["flag"], caliper=0.2).select("treated", "control", "distance"))
 
 
+CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
+
+
+def cust(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), (F.col("c_mktsegment") == "BUILDING").alias("treat"), F.col("c_acctbal").cast("double").alias("score"))
+
+
+def _greedy_sql(order: str, limit: str) -> str:
+    """Treated customers of a nation one after the other, each with the nearest control that is not taken."""
+    return f"""with recursive {CUST}, t as (select *, row_number() over (partition by nation order by score {order}, id) as i from cust where treat), c as (select nation, list(struct_pack(s := score, id := id)) as cs from cust where not treat group by nation),
+r(nation, i, used, treated, control, distance) as (
+  select c.nation, 0::bigint, []::bigint[], null::bigint, null::bigint, null::double from c
+  union all
+  select nation, i, case when ok then list_append(used, best.id) else used end, treated, case when ok then best.id end, case when ok then best.d end from (
+    select *, best is not null and best.d <= {limit} + 1e-12 as ok from (
+      select r.nation, t.i, r.used, t.id as treated, list_min(list_transform(list_filter(c.cs, lambda x: not list_contains(r.used, x.id)), lambda x: struct_pack(d := abs(x.s - t.score), s := x.s, id := x.id::bigint))) as best
+      from r join t on t.nation = r.nation and t.i = r.i + 1 join c on c.nation = r.nation)))
+select nation, treated, control, round(distance, 6) as distance from r where control is not null"""
+
+
+@query(_greedy_sql("desc", "400"))
+def greedy_match(spark, d):
+    return rounded(matching.greedy_match(cust(spark, d), "id", "treat", "score", exact=["nation"], caliper=400.0, std_caliper=False).select(F.col("nation").cast("long").alias("nation"), "treated", "control", "distance"))
+
+
+@query(f"""with recursive {CUST}, o as (select nation, treat, score, row_number() over w as i, lag(treat) over w as before from cust window w as (partition by nation order by score, treat)),
+g as (select *, sum((before is distinct from treat)::int) over (partition by nation order by i) as run from o), runs as (select nation, run, list(score order by i) as p from g group by all),
+r(nation, run, p, f) as (
+  select nation, run, p, list_prepend(0.0::double, list_transform(p, lambda x: 1e18::double)) from runs where run = 1
+  union all
+  select b.nation, b.run, b.p, list_prepend(r.f[len(r.f)], list_transform(range(1, (len(b.p) + 1)::bigint), lambda q: list_sum(list_transform(b.p[1:q], lambda x: x - b.p[1])) + list_min(list_transform(range(1, (len(r.p) + 1)::bigint), lambda k:
+    list_sum(list_transform(r.p[(len(r.p) - k + 1):len(r.p)], lambda x: r.p[len(r.p)] - x)) + (b.p[1] - r.p[len(r.p)]) * greatest(k, q) + case when k = 1 then least(r.f[len(r.f)], r.f[len(r.f) - 1]) else r.f[len(r.f) - k] end))))
+  from r join runs b on b.nation = r.nation and b.run = r.run + 1)
+select nation, round(max_by(f[len(f)], run), 4) as total_distance, (select count(*) from cust where cust.nation = r.nation) as units from r group by nation having max(run) > 1""")
+def full_match(spark, d):
+    pairs = matching.full_match(cust(spark, d), "id", "treat", "score", exact=["nation"])
+    units = F.count_distinct("treated") + F.count_distinct("control")
+    return rounded(pairs.groupBy(F.col("nation").cast("long").alias("nation")).agg(F.sum("distance").alias("total_distance"), units.alias("units")), 4)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Table One of line items by return flag."""
     x = read(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"), "l_linestatus")
