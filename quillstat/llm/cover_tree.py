@@ -12,6 +12,8 @@ SLACK = 1e-6
 #: Pairs of nodes that are compared at a time.
 _AT_ONCE = 1 << 15
 _DENSE = 1 << 10
+#: Classes of covering radii, and what a product of unit vectors in single precision may be off.
+_RADII, _SINGLE = np.array([0.02, 0.1, 0.25, 0.5]), 1e-4
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ class CoverTree:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.x = x[order]
-        self.starts, self.centres, self.radius, self.rows = [], [], [], []
+        self.starts, self.centres, self.radius, self.rows, self.singles = [], [], [], [], {}
         own = np.zeros(n) if own is None else own[order]
         for k, values in enumerate(labels):
             values = values[order]
@@ -109,6 +111,12 @@ class CoverTree:
         below = self.starts[level + 1]
         return np.searchsorted(below, self.starts[level][nodes]), np.searchsorted(below, self.starts[level][nodes + 1])
 
+    def narrow(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centres in single precision, class of radius) of the nodes of a level."""
+        if level not in self.singles:
+            self.singles[level] = self.centres[level].astype(np.float32), np.searchsorted(_RADII, self.radius[level])
+        return self.singles[level]
+
     def to_bytes(self) -> bytes:
         """All but the vectors."""
         out = io.BytesIO()
@@ -122,7 +130,7 @@ class CoverTree:
         tree = cls.__new__(cls)
         with np.load(io.BytesIO(raw)) as f:
             levels = sum(k.startswith("r") for k in f.files)
-            tree.x, tree.top, tree.rows = x, f["top"], [f[f"c{k}"] for k in range(levels - 2)]
+            tree.x, tree.top, tree.rows, tree.singles = x, f["top"], [f[f"c{k}"] for k in range(levels - 2)], {}
             tree.starts = [f[f"s{k}"] for k in range(levels - 1)] + [np.arange(len(x) + 1)]
             tree.centres = [top[tree.top], *(x[r] for r in tree.rows), x]
             tree.radius = [f[f"r{k}"] for k in range(levels)]
@@ -154,23 +162,34 @@ def dual(a: CoverTree, b: CoverTree, reach: float, i: np.ndarray, j: np.ndarray,
                 expand(level, i[some], j[some])
 
     def listed(level: int, i, j) -> None:
-        dot = np.einsum("ij,ij->i", a.centres[level][i], b.centres[level][j])
-        settle(level, i, j, *tested(level, dot, a.radius[level][i], b.radius[level][j]))
+        for at in range(0, len(i), _AT_ONCE):
+            x, y = i[at : at + _AT_ONCE], j[at : at + _AT_ONCE]
+            dot = np.einsum("ij,ij->i", a.centres[level][x], b.centres[level][y])
+            settle(level, x, y, *tested(level, dot, a.radius[level][x], b.radius[level][y]))
+
+    def dense(level: int, p: int, q: int, r: int, s: int) -> None:
+        """Nodes p to q of one tree with r to s of the other: a product in single precision for each two classes of radius leaves few to be tested."""
+        one, its = a.narrow(level)
+        two, theirs = b.narrow(level)
+        for u in np.unique(its[p:q]):
+            rows = p + np.flatnonzero(its[p:q] == u)
+            for v in np.unique(theirs[r:s]):
+                columns = r + np.flatnonzero(theirs[r:s] == v)
+                bound = reach + SLACK + a.radius[level][rows].max() + b.radius[level][columns].max()
+                least = np.float32(1.0 - bound * bound / 2 - _SINGLE if bound < 2 else -2.0)
+                step = max(1, (1 << 20) // len(columns))
+                for at in range(0, len(rows), step):
+                    x, y = np.nonzero(one[rows[at : at + step]] @ two[columns].T >= least)
+                    listed(level, rows[at + x], columns[y])
 
     def expand(level: int, i, j) -> None:
         a0, a1 = a.children(level, i)
         b0, b1 = b.children(level, j)
         size = (a1 - a0) * (b1 - b0)
-        dense = size >= _DENSE
-        for p, q, r, s in zip(a0[dense], a1[dense], b0[dense], b1[dense], strict=True):
-            step = max(1, (1 << 20) // (s - r))
-            for at in range(p, q, step):
-                to = min(q, at + step)
-                sure, some = tested(level + 1, a.centres[level + 1][at:to] @ b.centres[level + 1][r:s].T, a.radius[level + 1][at:to, None], b.radius[level + 1][None, r:s])
-                x, y = np.nonzero(sure | some)
-                if len(x):
-                    settle(level + 1, x + at, y + r, sure[x, y], some[x, y])
-        few = np.flatnonzero(~dense)
+        many = size >= _DENSE
+        for p, q, r, s in zip(a0[many], a1[many], b0[many], b1[many], strict=True):
+            dense(level + 1, p, q, r, s)
+        few = np.flatnonzero(~many)
         ends = np.cumsum(size[few])
         at = 0
         while at < len(few):
@@ -184,8 +203,7 @@ def dual(a: CoverTree, b: CoverTree, reach: float, i: np.ndarray, j: np.ndarray,
             listed(level + 1, a0[pair] + k // wide, b0[pair] + k % wide)
             at = to
 
-    for at in range(0, len(i), _AT_ONCE):
-        listed(0, i[at : at + _AT_ONCE], j[at : at + _AT_ONCE])
+    listed(0, i, j)
 
 
 def joined(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
