@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, economics, matching, models, prediction, regression, survival, tableone
+from quillstat.operators import causal, cox, economics, matching, models, prediction, regression, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -699,6 +700,41 @@ def nearest_match(spark, d):
     return rounded(causal.nearest_match(x, "id", "treat", "score", exact=["flag"], caliper=0.2).select("treated", "control", "distance"))
 
 
+COX = "cx as (select l_quantity::double as t, (l_linestatus = 'F')::int as e, l_returnflag as s, (l_linenumber - 1)::double as u, 1 + l_discount::double * 10 as w, l_tax::double * 10 as x, l_discount::double * 30 - l_tax::double * 20 as y from lineitem)"
+
+
+def cox_rows(spark: SparkSession, d: str) -> DataFrame:
+    q = lambda c: F.col(c).cast("double")
+    return read(spark, d, "lineitem").select(
+        q("l_quantity").alias("t"), (F.col("l_linestatus") == "F").cast("int").alias("e"), F.col("l_returnflag").alias("s"), (q("l_linenumber") - 1).alias("u"),
+        (1 + q("l_discount") * 10).alias("w"), (q("l_tax") * 10).alias("x"), (q("l_discount") * 30 - q("l_tax") * 20).alias("y"),
+    )
+
+
+@query(f"""with {COX}, c as (select s, t, e, u, round(y, 6) as y, sum(w) as w, sum(w * w) as ww from cx group by all),
+p as (select a.s, a.t, a.e, a.u, a.y, b.t as bt, b.e as be, b.u as bu, b.y as yb, a.w, b.w as bw from c a join c b on a.s = b.s and (b.t > a.t or (b.t = a.t and b.e = 0)) and b.u < a.t where a.e = 1),
+q as (select s, t, e, u, y, sum(bw) filter (y > yb) as c, sum(bw) filter (y < yb) as d, sum(bw) filter (y = yb) as k from p group by all union all select s, bt, be, bu, yb, sum(w) filter (y > yb), sum(w) filter (y < yb), sum(w) filter (y = yb) from p group by all),
+i as (select s, t, e, u, y, coalesce(sum(c), 0) as c, coalesce(sum(d), 0) as d, coalesce(sum(k), 0) as k from q group by all),
+z as (select sum(w * bw) filter (y > yb) as c, sum(w * bw) filter (y < yb) as d, coalesce(sum(w * bw) filter (y = yb), 0) as k from p)
+select round((z.c + z.k / 2) / (z.c + z.d + z.k), 6) as concordance, (select round(sqrt(sum(c.ww * pow((i.c - i.d - (i.c + i.d + i.k) * (z.c - z.d) / (z.c + z.d + z.k)) / (2 * (z.c + z.d + z.k)), 2))), 8) from i join c using (s, t, e, u, y)) as std_error,
+round(z.c / 1e6, 4) as concordant, round(z.d / 1e6, 4) as discordant, round(z.k / 1e6, 4) as tied from z""")
+def concordance(spark, d):
+    x = cox_rows(spark, d).withColumn("y", F.round("y", 6))
+    r = cox.concordance(x, "t", "e", "y", weight="w", entry="u", stratum="s")
+    return spark.createDataFrame([(round(r["concordance"], 6), round(r["std_error"], 8), *(round(r[k] / 1e6, 4) for k in ("concordant", "discordant", "tied")))], "concordance double, std_error double, concordant double, discordant double, tied double")
+
+
+@query(f"""with recursive {COX}, c as (select s, t, u, x, sum(w) as w from cx where u < t group by all), d as (select s, t, sum(w) as dw, sum(w * x) as dx from cx where u < t and e = 1 group by all),
+j as (select d.s, d.t, d.dw, d.dx, c.x, sum(c.w) as w from d join c on c.s = d.s and c.t >= d.t and c.u < d.t group by all),
+r(k, b, h) as (select 0, 0.0::double, 0.0::double union all
+  select k + 1, b + u / h, h from (select k, b, sum(dx - dw * a / r) as u, sum(dw * (q / r - a * a / (r * r))) as h from (
+    select k, b, s, t, dw, dx, sum(w * exp(b * x)) as r, sum(w * x * exp(b * x)) as a, sum(w * x * x * exp(b * x)) as q from r, j where k < 8 group by all) group by k, b))
+select round(b, 6) as coefficient, round(1 / sqrt(h), 6) as std_error from r where k = 8""")
+def cox_weighted(spark, d):
+    fit = cox.fit_cox(cox_rows(spark, d), "t", "e", ["x"], ties="breslow", entry="u", weight="w", stratum="s")
+    return spark.createDataFrame([(round(float(fit.coefficients[0]), 6), round(float(np.sqrt(fit.covariance[0, 0])), 6))], "coefficient double, std_error double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
