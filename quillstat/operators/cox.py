@@ -324,13 +324,16 @@ def concordance(df: DataFrame, time: str, event: str, score: str, *, weight: str
 
     A death is compared with the rows of its stratum that outlive it, or are censored at
     its time, and that had entered before.  No pairs are made: rows become cells of time
-    and score, whose pairs are counted by dominance in two orders.  Rows that lack a column are left out.
+    and score, whose pairs are counted by dominance in two orders.  Rows that lack a column are
+    left out, as are those that enter at or after their time.
     """
     num = lambda c: F.col(c).cast("double")
     rows = df.select(
         (F.col(stratum).cast("string") if stratum else F.lit("")).alias("g"), num(time).alias("t"), (num(event) > 0).alias("e"), num(score).alias("y"), (num(weight) if weight else F.lit(1.0)).alias("w"),
         *([num(entry).alias("u")] if entry else []), *([F.col(cluster).alias("c")] if cluster else []),
     ).na.drop()
+    if entry:
+        rows = rows.where("u < t")
     # at one time deaths come before those censored; an entry at a death's time is too late for it
     rows = cut(rows.withColumn("k", F.when(F.col("e"), 0).otherwise(1)))
     one = F.lit(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, cox, economics, matching, models, prediction, regression, survival, tableone
+from quillstat.operators import causal, competing, cox, economics, matching, models, prediction, regression, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -711,7 +711,7 @@ def cox_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""with {COX}, c as (select s, t, e, u, round(y, 6) as y, sum(w) as w, sum(w * w) as ww from cx group by all),
+@query(f"""with {COX}, c as (select s, t, e, u, round(y, 6) as y, sum(w) as w, sum(w * w) as ww from cx where u < t group by all),
 p as (select a.s, a.t, a.e, a.u, a.y, b.t as bt, b.e as be, b.u as bu, b.y as yb, a.w, b.w as bw from c a join c b on a.s = b.s and (b.t > a.t or (b.t = a.t and b.e = 0)) and b.u < a.t where a.e = 1),
 q as (select s, t, e, u, y, sum(bw) filter (y > yb) as c, sum(bw) filter (y < yb) as d, sum(bw) filter (y = yb) as k from p group by all union all select s, bt, be, bu, yb, sum(w) filter (y > yb), sum(w) filter (y < yb), sum(w) filter (y = yb) from p group by all),
 i as (select s, t, e, u, y, coalesce(sum(c), 0) as c, coalesce(sum(d), 0) as d, coalesce(sum(k), 0) as k from q group by all),
@@ -735,6 +735,48 @@ def cox_weighted(spark, d):
     return spark.createDataFrame([(round(float(fit.coefficients[0]), 6), round(float(np.sqrt(fit.covariance[0, 0])), 6))], "coefficient double, std_error double")
 
 
+CAUSE = """cr as (select l_quantity::double as t, case l_returnflag when 'A' then 1 when 'R' then 2 else 0 end as e, l_tax::double * 10 as x from lineitem),
+gt as (select t, count(*) filter (e = 0) as c, count(*) as m from cr group by t), gn as (select t, c, sum(m) over (order by t desc) as n from gt),
+g as (select t, coalesce(exp(sum(ln(nullif(1 - c / n, 0))) over (order by t rows between unbounded preceding and 1 preceding)), 1.0) as g from gn)"""
+
+
+def cause_rows(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("t"), F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0).alias("e"), (F.col("l_tax").cast("double") * 10).alias("x"))
+
+
+@query(f"""with recursive {CAUSE}, c as (select t, e, x, count(*) as w from cr group by all), d as (select t, sum(w) as d, sum(w * x) as dx from c where e = 1 group by t),
+j as (select d.t as u, d.d, d.dx, c.x, sum(c.w * case when c.t >= d.t then 1.0 else gu.g / gt.g end) as w from d join g gu on gu.t = d.t join c on c.t >= d.t or c.e = 2 join g gt on gt.t = c.t group by all),
+r(k, b, h) as (select 0, 0.0::double, 0.0::double union all
+  select k + 1, b + u / h, h from (select k, b, sum(dx - d * a / r) as u, sum(d * (q / r - a * a / (r * r))) as h from (
+    select k, b, u, d, dx, sum(w * exp(b * x)) as r, sum(w * x * exp(b * x)) as a, sum(w * x * x * exp(b * x)) as q from r, j where k < 8 group by all) group by k, b))
+select round(b, 6) as coefficient from r where k = 8""")
+def fine_gray(spark, d):
+    fit = competing.fine_gray_regression(cause_rows(spark, d), "t", "e", ["x"])
+    return spark.createDataFrame([(round(float(fit.coefficients[0]), 6),)], "coefficient double")
+
+
+@query("""with cr as (select l_quantity::double as t, case l_returnflag when 'A' then 1 when 'R' then 2 else 0 end as e from lineitem),
+n as (select t, count(*) filter (e = 0) as c, count(*) filter (e <> 0) as f, max((e = 1)::int) as hit, count(*) as m from cr group by t),
+s as (select t, c, hit, sum(m) over (order by t desc) - f as n from n),
+g as (select t, hit, c, coalesce(exp(sum(ln(nullif(1 - c / nullif(n, 0), 0))) over (order by t)), 1.0) as after, coalesce(exp(sum(ln(nullif(1 - c / nullif(n, 0), 0))) over (order by t rows between unbounded preceding and 1 preceding)), 1.0) as before from s),
+l as (select max(t) as last from g), e as (select t as hi from g where c > 0 union select last from l), b as (select hi, lag(hi) over (order by hi) as lo from e),
+p as (select b.lo, b.hi, g.after as w from b join g on g.t = b.lo where exists (select 1 from g h where h.hit = 1 and h.t > b.lo and h.t <= b.hi)),
+z as (select t, (select min(hi) from e where hi >= t) as stop, (select before from g where g.t = cr.t) as own, count(*) as m from cr where e = 2 group by t),
+o as (select 0.0 as fgstart, t as fgstop, (e = 1)::int::double as fgstatus, count(*)::double as n, count(*)::double as weight from cr where e < 2 group by all
+union all select 0.0, stop, 0.0, m, m from z union all select p.lo, p.hi, 0.0, z.m, z.m * p.w / z.own from z join p on p.lo >= z.stop)
+select fgstart, fgstop, fgstatus, sum(n)::bigint as n, round(sum(weight), 4) as weight from o group by 1, 2, 3""")
+def fine_gray_expanded(spark, d):
+    x = competing.fine_gray_rows(cause_rows(spark, d), "t", "e", cause=1)
+    return rounded(x.groupBy("fgstart", "fgstop", "fgstatus").agg(F.count("*").alias("n"), F.sum("fgwt").alias("weight")), 4)
+
+
+@query()
+def gray_test(spark, d):
+    x = cause_rows(spark, d).withColumn("arm", F.floor(F.col("x") * 10 / 3).cast("string"))
+    rows = [(r["cause"], round(r["statistic"], 6), r["df"], round(r["p_value"], 6)) for r in competing.gray_test(x, "t", "e", "arm")]
+    return spark.createDataFrame(rows, "cause long, statistic double, df long, p_value double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
