@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, competing, cox, economics, matching, models, prediction, regression, survival, tableone
+from quillstat.operators import causal, competing, cox, economics, impute, matching, models, prediction, regression, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -777,6 +777,37 @@ def gray_test(spark, d):
     return spark.createDataFrame(rows, "cause long, statistic double, df long, p_value double")
 
 
+@query("""with x as (select o_orderkey as id, o_totalprice::double as price, case when o_orderkey % 5 = 1 then null else o_orderpriority end as priority, case when o_orderkey % 4 = 2 then null else o_custkey::double end as cust from orders)
+select k as imputation, count(*) as n, count(*) filter (cust is null) as n_numbers, count(*) filter (priority is null) as n_levels, 0::bigint as n_unknown, 0::bigint as n_changed, 0::bigint as n_missing from x, (values (1::bigint), (2::bigint)) v(k) group by k""")
+def impute_orders(spark, d):
+    """What chained imputation must keep: every missing value filled from those observed, all others as they were."""
+    key = F.col("o_orderkey")
+    x = read(spark, d, "orders").select(
+        key.alias("id"), F.col("o_totalprice").cast("double").alias("price"), F.when(key % 5 != 1, F.col("o_orderpriority")).alias("priority"), F.when(key % 4 != 2, F.col("o_custkey").cast("double")).alias("cust"),
+    )
+    done = impute.impute_chained(x, "id", m=2, n_iter=1, seed=5).data.withColumnsRenamed({"priority": "priority2", "cust": "cust2", "price": "price2"})
+    seen = x.select(F.col("cust").alias("cust2")).where("cust2 is not null").distinct().withColumn("known", F.lit(True))
+    levels = x.select(F.col("priority").alias("priority2")).where("priority2 is not null").distinct().withColumn("level", F.lit(True))
+    both = done.join(x, "id").join(seen, "cust2", "left").join(levels, "priority2", "left")
+    return both.groupBy(F.col("imputation").cast("long").alias("imputation")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("cust").isNull()).alias("n_numbers"), F.count_if(F.col("priority").isNull()).alias("n_levels"), F.count_if(F.col("known").isNull() | F.col("level").isNull()).alias("n_unknown"),
+        F.count_if((F.col("cust") != F.col("cust2")) | (F.col("priority") != F.col("priority2")) | (F.col("price") != F.col("price2"))).alias("n_changed"), F.count_if(F.col("cust2").isNull() | F.col("priority2").isNull()).alias("n_missing"),
+    )
+
+
+@query("""with f as (select l_returnflag as term, l_linenumber as k, avg(l_quantity::double) as q, var_samp(l_quantity::double) / count(*) as v from lineitem group by all),
+g as (select term, avg(q) as estimate, avg(v) as w, var_samp(q) as b, count(*) as m from f group by term), t as (select *, w + (1 + 1.0 / m) * b as total, (1 + 1.0 / m) * b / (w + (1 + 1.0 / m) * b) as share from g),
+o as (select *, (m - 1) / (share * share) as old, 101.0 / 103.0 * 100 * (1 - share) as seen from t)
+select term, round(estimate, 6) as estimate, round(sqrt(total), 6) as std_error, round(old * seen / (old + seen), 4) as df, round(share, 6) as lambda, round(((1 + 1.0 / m) * b / w + 2 / (old * seen / (old + seen) + 3)) / ((1 + 1.0 / m) * b / w + 1), 6) as fmi from o""")
+def pool_barnard_rubin(spark, d):
+    x = read(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("double"))
+    fits: dict[int, list[dict]] = {}
+    for r in x.groupBy("l_linenumber", "l_returnflag").agg(F.avg("q").alias("q"), (F.var_samp("q") / F.count("*")).alias("v")).orderBy("l_linenumber", "l_returnflag").collect():
+        fits.setdefault(r["l_linenumber"], []).append({"term": r["l_returnflag"], "estimate": r["q"], "std_error": r["v"] ** 0.5})
+    rows = [(r["term"], round(r["estimate"], 6), round(r["std_error"], 6), round(r["df"], 4), round(r["lambda"], 6), round(r["fmi"], 6)) for r in impute.pool(list(fits.values()), df_complete=100)]
+    return spark.createDataFrame(rows, "term string, estimate double, std_error double, df double, lambda double, fmi double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
