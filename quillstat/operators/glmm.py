@@ -93,8 +93,8 @@ class _Model:
         modes = F.broadcast(self.modes) if self.n_groups <= ONE_TASK else self.modes
         return self.rows.join(modes, "g").withColumn("eta", self._eta(beta) + F.col("u"))
 
-    def settle(self, beta: np.ndarray, var: float, tol: float = 1e-9) -> None:
-        """Moves all modes to the maxima of their groups' likelihoods."""
+    def settle(self, beta: np.ndarray, var: float, tol: float = 1e-5) -> None:
+        """Moves all modes to the maxima of their groups' likelihoods; what is left after a step is about its square."""
         for _ in range(60):
             _, r, w, _ = self._parts(F.col("eta"))
             each = self._joined(beta).groupBy("g").agg(F.first("u").alias("u"), F.sum(r).alias("r"), F.sum(w).alias("w"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, competing, cox, economics, impute, matching, models, prediction, regression, survival, tableone
+from quillstat.operators import causal, competing, cox, economics, glmm, impute, matching, models, prediction, regression, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -808,6 +808,14 @@ def pool_barnard_rubin(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double, std_error double, df double, lambda double, fmi double")
 
 
+@query()
+def glmm_laplace(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("y"), (F.col("l_tax").cast("double") * 10).alias("x"), F.col("l_suppkey").alias("g"))
+    fit = glmm.fit_glmm(x, "y", ["x"], "g", family="poisson")
+    rows = [(r["term"], round(r["estimate"], 4), round(r["std_error"], 4)) for r in fit.tidy()]
+    return spark.createDataFrame([*rows, ("sd", round(fit.sd, 3), None)], "term string, estimate double, std_error double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
