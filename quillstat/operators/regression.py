@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstat.functions.dist import chi2_sf, f_sf, norm_cdf, norm_ppf, t_ppf, t_sf
+from quillstat.operators import splines
 from quillstat.plans.ordered import lagged
 
 _FUNCTIONS = {"log": F.log, "exp": F.exp, "sqrt": F.sqrt, "log10": F.log10, "abs": F.abs}
@@ -40,6 +41,12 @@ def _atom(text: str, df: DataFrame, levels: dict[str, list], reads: list[str]) -
         if m[1] in _FUNCTIONS:
             reads.append(inner)
             return [(text, _FUNCTIONS[m[1]](F.col(inner).cast("double")))]
+        if m[1] in ("ns", "bs", "rcs"):
+            name, *args = inner.split(",")
+            reads.append(name)
+            if text not in levels:  # knots stay those of the table the model was made with
+                levels[text] = _spline(df, m[1], name, args)
+            return [(f"{text}{end}", c) for end, c in zip(levels[text].suffixes(), levels[text].columns(F.col(name)), strict=True)]
         raise ValueError(f"unknown function {m[1]}")
     if text not in df.columns:
         raise KeyError(text)
@@ -53,8 +60,17 @@ def _atom(text: str, df: DataFrame, levels: dict[str, list], reads: list[str]) -
     return [(f"{text}{x}", F.when(F.col(text) == F.lit(x), 1.0).otherwise(known)) for x in levels[text][1:]]
 
 
+def _spline(df: DataFrame, kind: str, name: str, args: list[str]) -> splines.Spline:
+    """``ns(x, df=4)``, ``bs(x, df=5, degree=3)``, ``rcs(x, 5)``."""
+    given = dict(a.split("=") if "=" in a else ("n_knots" if kind == "rcs" else "df", a) for a in args)
+    options = {"df": "df_columns", "degree": "degree", "n_knots": "n_knots", "intercept": "intercept"}
+    if wrong := set(given) - set(options):
+        raise ValueError(f"{kind} has no argument {sorted(wrong)[0]}")
+    return splines.resolve(df, name, kind, **{options[k]: v.upper() in ("TRUE", "T") if k == "intercept" else int(v) for k, v in given.items()})
+
+
 def design(formula: str, df: DataFrame, levels: dict[str, list] | None = None) -> Design:
-    """``y ~ a + b * c - 1``: operators ``+ : * -``, ``0``, ``1``, ``.``, ``offset()``, ``I()`` and functions."""
+    """``y ~ a + b * c - 1``: operators ``+ : * -``, ``0``, ``1``, ``.``, ``offset()``, ``I()``, functions, and splines ``ns(x, df=4)``, ``bs(x, df=5)``, ``rcs(x, 5)``."""
     left, right = formula.split("~")
     levels, reads = dict(levels or {}), []
     right = re.sub(r"\s+", "", right)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, competing, cox, economics, glmm, impute, matching, models, prediction, regression, survival, tableone
+from quillstat.operators import causal, competing, cox, economics, glmm, impute, matching, models, prediction, regression, splines, survival, tableone
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -816,6 +816,26 @@ def glmm_laplace(spark, d):
     return spark.createDataFrame([*rows, ("sd", round(fit.sd, 3), None)], "term string, estimate double, std_error double")
 
 
+@query("""with x as (select l_extendedprice::double / 1000 as x, l_returnflag as grp from lineitem), k as (select quantile_cont(x, 0.05) as a, quantile_cont(x, 0.35) as b, quantile_cont(x, 0.65) as c, quantile_cont(x, 0.95) as d from x),
+p as (select grp, x, a, b, c, d, pow(d - a, 2) as s, pow(greatest(x - a, 0), 3) as xa, pow(greatest(x - b, 0), 3) as xb, pow(greatest(x - c, 0), 3) as xc, pow(greatest(x - d, 0), 3) as xd from x, k)
+select grp, count(*) as n, round(avg(x), 6) as x, round(avg((xa - xc * (d - a) / (d - c) + xd * (c - a) / (d - c)) / s), 6) as x1, round(avg((xb - xc * (d - b) / (d - c) + xd * (c - b) / (d - c)) / s), 6) as x2,
+round(any_value(a), 6) as k1, round(any_value(d), 6) as k4 from p group by grp""")
+def spline_restricted(spark, d):
+    x = read(spark, d, "lineitem").select((F.col("l_extendedprice").cast("double") / 1000).alias("x"), F.col("l_returnflag").alias("grp"))
+    s = splines.resolve(x, "x", "rcs", n_knots=4)
+    c = s.columns(F.col("x"))
+    return rounded(x.groupBy("grp").agg(F.count("*").alias("n"), *(F.avg(v).alias(n) for v, n in zip(c, ("x", "x1", "x2"), strict=True))).withColumns({"k1": F.lit(s.knots[0]), "k4": F.lit(s.knots[-1])}))
+
+
+@query("""with x as (select l_quantity::double as x, l_returnflag as grp from lineitem), k as (select min(x) as a, quantile_cont(x, 0.5) as m, max(x) as b from x),
+p as (select grp, case when x < m or (m = b and x = b) then (x - a) / (m - a) else (b - x) / (b - m) end as one, case when x < m then 0.0 else (x - m) / (b - m) end as two from x, k)
+select grp, round(avg(one), 6) as one, round(avg(two), 6) as two, round(avg(one * two), 6) as cross_product from p group by grp""")
+def spline_linear(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_returnflag").alias("grp"))
+    one, two = splines.resolve(x, "x", "bs", df_columns=2, degree=1).columns(F.col("x"))
+    return rounded(x.groupBy("grp").agg(F.avg(one).alias("one"), F.avg(two).alias("two"), F.avg(one * two).alias("cross_product")))
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
