@@ -36,20 +36,28 @@ def spread_points(x: np.ndarray, most: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def first_radius(reach: float) -> float:
+    """The largest halved radius at which pairs of unit balls' nodes can be farther apart than ``reach`` allows: larger ones would prune nothing."""
+    radius = 1.0
+    while 2 * radius + reach >= 2 and radius > 0.1:
+        radius /= 2
+    return radius
+
+
 class CoverTree:
     """Nested levels over the rows of ``x``.
 
     The top nodes are given (``label`` of each row, their centres ``top``); each level
     below covers the rows of a node by balls of half the radius around rows that are
     farther than that from each other, a node's own centre first.  The last level
-    is the rows themselves.  Rows are put in an order in which every node is a range;
+    is the rows themselves.  The first level has radius ``first``.  Rows are put in an order in which every node is a range;
     ``order`` has their former places.  ``own`` is a radius that a row has itself.
     """
 
-    def __init__(self, x: np.ndarray, label: np.ndarray, top: np.ndarray, own: np.ndarray | None = None, least: float = 0.0625) -> None:
+    def __init__(self, x: np.ndarray, label: np.ndarray, top: np.ndarray, own: np.ndarray | None = None, first: float = 1.0, least: float = 0.0625) -> None:
         n = len(x)
         labels, centres = [np.asarray(label, np.int64)], []
-        radius = 1.0
+        radius = first
         while radius >= least:
             new, centre = self._halved(x, labels[-1], centres[-1] if centres else None, radius)
             labels.append(new)

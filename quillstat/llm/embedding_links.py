@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillstat.llm.common import cut, if_small
 from quillstat.llm.components import components
-from quillstat.llm.cover_tree import SLACK, CoverTree, distance, dual, joined, spread_points, unit
+from quillstat.llm.cover_tree import SLACK, CoverTree, distance, dual, first_radius, joined, spread_points, unit
 
 #: Rows from which pivots are chosen, about, and their bytes; most pivots, and their bytes, of one vector length.
 SAMPLE, SAMPLE_BYTES, PIVOTS, PIVOT_BYTES = 8192, 1 << 25, 2048, 1 << 23
@@ -113,7 +113,7 @@ class Pivots:
             cells = np.flatnonzero(radius[self.first[size] : self.first[size] + len(x)] >= 0)
             if not len(cells):
                 continue
-            tree = CoverTree(x[cells], np.zeros(len(cells), np.int64), x[cells[:1]], own=radius[self.first[size] + cells])
+            tree = CoverTree(x[cells], np.zeros(len(cells), np.int64), x[cells[:1]], own=radius[self.first[size] + cells], first=first_radius(reach))
             place = self.first[size] + cells[tree.order]
 
             def inside(level, i, j, tree=tree, place=place):
@@ -153,7 +153,7 @@ def _packed(pivots: Pivots, counts: np.ndarray, block: dict[int, int]) -> list[t
     return out
 
 
-def _trees(assigned: DataFrame, pivots: Pivots, kind: str) -> DataFrame:
+def _trees(assigned: DataFrame, pivots: Pivots, kind: str, radius: float) -> DataFrame:
     """(block, size, nodes, weights, vectors, tree) of each block of ``assigned``."""
     import pyarrow as pa
 
@@ -163,7 +163,7 @@ def _trees(assigned: DataFrame, pivots: Pivots, kind: str) -> DataFrame:
         table = table.combine_chunks()
         raw = _matrix(table.column("v").chunk(0))
         size = raw.shape[1]
-        tree = CoverTree(unit(raw), table.column("cell").to_numpy() - first[size], sets[size])
+        tree = CoverTree(unit(raw), table.column("cell").to_numpy() - first[size], sets[size], first=radius)
         own = [table.column(c).to_numpy()[tree.order].tobytes() for c in ("node", "n")]
         return pa.table({"block": [table.column("block")[0].as_py()], "size": pa.array([size], pa.int32()), "nodes": [own[0]], "weights": [own[1]], "vectors": [np.ascontiguousarray(raw[tree.order], kind).tobytes()], "tree": [tree.to_bytes()]})
 
@@ -312,7 +312,7 @@ def _links(classes: DataFrame, sizes: dict[int, int], cosine: float, kind: str,
     packed = _packed(pivots, counts, block)
     place = spark.createDataFrame(packed, "cell long, first long, split long")
     blocks = F.col("first") + F.pmod(F.xxhash64("node"), F.col("split"))
-    trees = cut(_trees(assigned.join(F.broadcast(place), "cell").select(blocks.alias("block"), "node", "n", "v", "cell"), pivots, kind))
+    trees = cut(_trees(assigned.join(F.broadcast(place), "cell").select(blocks.alias("block"), "node", "n", "v", "cell"), pivots, kind, first_radius(reach)))
 
     count, bits = pivots.count, np.packbits(near)
 
