@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, competing, cox, economics, glmm, impute, matching, models, prediction, regression, splines, survival, tableone
+from quillstat.operators import causal, clogit, competing, cox, economics, gam, glmm, impute, matching, models, prediction, regression, splines, survival, tableone, tree
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -836,6 +836,40 @@ def spline_linear(spark, d):
     return rounded(x.groupBy("grp").agg(F.avg(one).alias("one"), F.avg(two).alias("two"), F.avg(one * two).alias("cross_product")))
 
 
+@query(f"""with recursive {COX}, o as (select l_orderkey as g, (l_linestatus = 'F')::int as e, l_tax::double * 10 as x from lineitem),
+s as (select g, list(x) as xs, sum(e) as k, count(*) as n, sum(e * x) as dx from o group by g having sum(e) > 0 and sum(e) < count(*)),
+m as (select g, k, dx, list_sum(list_transform(range(1, n + 1), lambda i: case when (mask >> (i - 1)::int) & 1 = 1 then xs[i] else 0.0 end)) as sx from (select *, unnest(range((1 << n::int)::bigint)) as mask from s) where bit_count(mask) = k),
+j as (select g, dx, round(sx, 6) as sx, count(*) as w from m group by all),
+r(i, b, h) as (select 0, 0.0::double, 0.0::double union all
+  select i + 1, b + u / h, h from (select i, b, sum(dx - a / r) as u, sum(q / r - a * a / (r * r)) as h from (
+    select i, b, g, dx, sum(w * exp(b * sx)) as r, sum(w * sx * exp(b * sx)) as a, sum(w * sx * sx * exp(b * sx)) as q from r, j where i < 7 group by all) group by i, b))
+select round(b, 6) as coefficient, round(1 / sqrt(h), 6) as std_error, (select count(*) from s) as n_sets from r where i = 7""")
+def conditional_logit(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_linestatus") == "F").cast("int").alias("e"), (F.col("l_tax").cast("double") * 10).alias("x"))
+    fit = clogit.conditional_logit(x, "e", ["x"], "g")
+    return spark.createDataFrame([(round(float(fit.coefficients[0]), 6), round(float(np.sqrt(fit.covariance[0, 0])), 6), fit.n_sets)], "coefficient double, std_error double, n_sets long")
+
+
+@query("""with x as (select l_extendedprice::double / 1000 * (1 - l_discount::double) as y, l_quantity::double as q, l_discount::double * 100 as z, l_returnflag as g from lineitem), a as (select count(*) as n, avg(y) as m, var_pop(y) * count(*) as ss from x),
+b as (select sum(k * (my - m) * (my - m)) as between_ss from (select g, count(*) as k, avg(y) as my from x group by g), a),
+c as (select z, sum(count(*)) over w as nl, sum(sum(y - (select m from a))) over w as yl from x group by z window w as (order by z)), e as (select z, yl * yl / (nl * (n - nl)) as stat from c, a where nl >= greatest(7, ceil(0.01 * n)) and n - nl >= greatest(7, ceil(0.01 * n)))
+select 'x' as term, round((n - 1) * pow((select corr(y, q) from x), 2), 4) as statistic, null as split_at from a
+union all select 'z', round((n - 1) * pow((select corr(y, z) from x), 2), 4), (select z from e order by round(ln(stat), 9) desc, z limit 1) from a union all select 'g', round((n - 1) * between_ss / ss, 4), null from a, b""")
+def conditional_tree(spark, d):
+    x = reg(spark, d).select((F.col("y") * (1 - F.col("x2"))).alias("y"), F.col("x1").alias("x"), (F.col("x2") * 100).alias("z"), F.col("flag").alias("g"))
+    fit = tree.conditional_tree(x, "y", ["x", "z", "g"], max_depth=3)
+    rows = [(r["term"], round(r["statistic"], 4), fit.root.at if fit.root.column == r["term"] else None) for r in fit.tests()]
+    return spark.createDataFrame(rows, "term string, statistic double, split_at double")
+
+
+@query()
+def additive_model(spark, d):
+    x = reg(spark, d).select("y", "x1", "x2", F.col("x3").alias("tax"))
+    fit = gam.fit_gam(x, "y", {"x1": 10, "x2": 6}, ["tax"])
+    rows = [(k, round(v, 3)) for k, v in (("linear", float(fit.coefficients[1])), ("edf_x1", fit.edf["x1"]), ("edf_x2", fit.edf["x2"]), ("scale", fit.scale))]
+    return spark.createDataFrame(rows, "term string, value double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
