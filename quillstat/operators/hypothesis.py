@@ -211,6 +211,8 @@ def wilcox_test(df: DataFrame, x: str, group: str | None = None, *, mu: float =
         m = n1 + n2
         var = n1 * n2 / 12 * ((m + 1) - tie["t"] / (m * (m - 1)))
         small = n1 < 50 and n2 < 50
+    if exact and tie["m"] > 1:
+        raise ValueError("there are ties, for which the exact distribution does not hold")
     if (small and tie["m"] == 1) if exact is None else exact:
         pmf = _signed_rank_pmf(n1 + n2) if group is None else _rank_sum_pmf(n1, n2)
         low, high = sum(pmf[: int(w) + 1]), sum(pmf[int(w) :])
@@ -279,7 +281,10 @@ def binom_test(x: int, n: int, p: float = 0.5, conf_level: float = 0.95, alterna
 
 
 def prop_test(counts: list[tuple[int, int]], p: float | None = None, conf_level: float = 0.95, correct: bool = True) -> HTest:
-    """Test of one proportion against ``p``, or of the equality of several; ``counts`` of (successes, trials)."""
+    """Test of one proportion against ``p``, of several against ``p``, or without it of their equality; ``counts`` of (successes, trials).
+
+    Several against a given ``p`` have as many degrees of freedom as there are, and no correction.
+    """
     z = norm_ppf(1 - (1 - conf_level) / 2)
     if len(counts) == 1:
         (x, n), p = counts[0], 0.5 if p is None else p
@@ -289,16 +294,17 @@ def prop_test(counts: list[tuple[int, int]], p: float | None = None, conf_level:
         low = (e + zz - yates / n - z * math.sqrt((e - yates / n) * (1 - e + yates / n) / n + zz / (2 * n))) / (1 + 2 * zz) if x else 0.0
         high = (e + zz + yates / n + z * math.sqrt((e + yates / n) * (1 - e - yates / n) / n + zz / (2 * n))) / (1 + 2 * zz) if x < n else 1.0
         return HTest("proportion", stat, chi2_sf(stat, 1), 1, {"p": e}, max(0.0, low), min(1.0, high))
-    pool = sum(x for x, _ in counts) / sum(n for _, n in counts)
+    pool = sum(x for x, _ in counts) / sum(n for _, n in counts) if p is None else p
+    df = len(counts) - (p is None)
     yates, low, high = 0.0, None, None
-    if len(counts) == 2:
+    if len(counts) == 2 and p is None:
         (x1, n1), (x2, n2) = counts
         d = x1 / n1 - x2 / n2
         yates = min(0.5, abs(d) / (1 / n1 + 1 / n2)) if correct else 0.0
         half = z * math.sqrt(x1 / n1 * (1 - x1 / n1) / n1 + x2 / n2 * (1 - x2 / n2) / n2) + yates * (1 / n1 + 1 / n2)
         low, high = max(-1.0, d - half), min(1.0, d + half)
     stat = sum((abs(x - n * pool) - yates) ** 2 / (n * pool * (1 - pool)) for x, n in counts)
-    return HTest("proportions", stat, chi2_sf(stat, len(counts) - 1), len(counts) - 1, {f"p{i + 1}": x / n for i, (x, n) in enumerate(counts)}, low, high)
+    return HTest("proportions", stat, chi2_sf(stat, df), df, {f"p{i + 1}": x / n for i, (x, n) in enumerate(counts)}, low, high)
 
 
 def p_adjust(df: DataFrame, p: str, method: str = "holm", out: str = "adjusted", n: int | None = None) -> DataFrame:

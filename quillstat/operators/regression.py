@@ -69,13 +69,18 @@ def _spline(df: DataFrame, kind: str, name: str, args: list[str]) -> splines.Spl
     return splines.resolve(df, name, kind, **{options[k]: v.upper() in ("TRUE", "T") if k == "intercept" else int(v) for k, v in given.items()})
 
 
+def _undotted(formula: str, df: DataFrame) -> str:
+    """``formula`` with all columns that its left side does not name in place of a dot."""
+    left, right = formula.split("~")
+    others = [c for c in df.columns if c not in re.findall(r"[A-Za-z_.][\w.]*", left)]
+    return left + "~" + re.sub(r"(?<![\w.)])\.(?![\w.(])", lambda _: "+".join(others), right)
+
+
 def design(formula: str, df: DataFrame, levels: dict[str, list] | None = None) -> Design:
     """``y ~ a + b * c - 1``: operators ``+ : * -``, ``0``, ``1``, ``.``, ``offset()``, ``I()``, functions, and splines ``ns(x, df=4)``, ``bs(x, df=5)``, ``rcs(x, 5)``."""
     left, right = formula.split("~")
     levels, reads = dict(levels or {}), []
-    right = re.sub(r"\s+", "", right)
-    if right == ".":
-        right = "+".join(c for c in df.columns if c != left.strip())
+    right = re.sub(r"\s+", "", _undotted(formula, df).split("~")[1])
     intercept, terms, offset = True, [], None
     for sign, part in re.findall(r"([+-]?)((?:[^+\-()]|\([^()]*\))+)", right):
         if part in ("0", "1"):
@@ -271,10 +276,16 @@ def hc_covariance(fit: Fit, kind: str = "HC3") -> np.ndarray:
 
 
 def cluster_covariance(fit: Fit, df: DataFrame, formula: str, clusters: list[str], adjust: bool = True) -> np.ndarray:
-    """One- or multi-way clustered covariance (HC1 factor), by inclusion and exclusion over sets of clusters."""
+    """One- or multi-way clustered covariance, by inclusion and exclusion over sets of clusters.
+
+    ``adjust`` scales by clusters / (clusters - 1) and, of least squares, by (n - 1) / (n - p).
+    A row of the fit without a cluster is an error.
+    """
     d, p = fit.design, len(fit.coef)
     x = fit.predict(_complete(df, d, fit.weights), kind="link", out="__eta")
     mu = _inverse(fit.family)(F.col("__eta"))
+    if lost := [c for c in clusters if x.where(F.col(c).isNull()).limit(1).count()]:
+        raise ValueError(f"cluster {lost[0]} is missing in some rows")
     w = F.col(fit.weights).cast("double") if fit.weights else F.lit(1.0)
     score = [w * (d.response - mu) * c for c in d.columns]  # canonical links
     if fit.family == "gamma":  # the inverse link falls where the canonical one rises
@@ -285,7 +296,7 @@ def cluster_covariance(fit: Fit, df: DataFrame, formula: str, clusters: list[str
         sums = x.groupBy(*own).agg(*(F.sum(s).alias(f"x{i}") for i, s in enumerate(score)))
         meat, _, extra = _gram(sums, p, F.lit(1.0), F.lit(0.0), {"g": F.count("*")})
         g = extra["g"]
-        k = g / (g - 1) * (fit.n - 1) / (fit.n - p) if adjust else 1.0
+        k = g / (g - 1) * ((fit.n - 1) / (fit.n - p) if fit.family == "gaussian" else 1.0) if adjust else 1.0
         out += (-1) ** (len(own) + 1) * k * meat
     return fit.bread @ out @ fit.bread
 
@@ -326,6 +337,7 @@ def ramsey_reset(df: DataFrame, formula: str, powers: tuple[int, ...] = (2, 3))
 
     With all powers from 2 on, those of standardised values span the same and are less alike.
     """
+    formula = _undotted(formula, df)
     fit = fit_ols(df, formula)
     more = fit.predict(_complete(df, fit.design), out="__f")
     if list(powers) == list(range(2, 2 + len(powers))) and "(Intercept)" in fit.names:
@@ -339,6 +351,7 @@ def ramsey_reset(df: DataFrame, formula: str, powers: tuple[int, ...] = (2, 3))
 
 def breusch_godfrey(df: DataFrame, formula: str, order_by: list[str], lags: int = 1) -> tuple[float, int, float]:
     """Statistic, degrees of freedom and p value for serial correlation up to ``lags``, residuals before the first row counting as 0."""
+    formula = _undotted(formula, df)
     fit = fit_ols(df, formula)
     resid = fit.predict(_complete(df, fit.design), out="__f").withColumn("__e", fit.design.response - F.col("__f"))
     rows = lagged(resid, order_by, ["__e"], lags).fillna(0.0, [f"__e_{k}" for k in range(1, lags + 1)])

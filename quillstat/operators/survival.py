@@ -65,10 +65,9 @@ def survival_curve(df: DataFrame, time: str, event: str, by: str | None = None,
 
 def curve_at(curve: DataFrame, times: list[float], value: str = "surv", start: float = 1.0) -> DataFrame:
     """(grp, at, value): the step function at given times, by the last time not after each."""
-    at = F.explode(F.array(*(F.lit(float(x)) for x in times)))
-    grid = curve.select("grp").distinct().withColumn("at", at)
-    seen = curve.select("grp", "t", F.col(value).alias("v")).join(grid, "grp").where("t <= at").groupBy("grp", "at").agg(F.max_by("v", "t").alias("v"))
-    return grid.join(seen, ["grp", "at"], "left").select("grp", "at", F.coalesce("v", F.lit(start)).alias(value))
+    last = [F.max(F.when(F.col("t") <= float(x), F.struct("t", F.col(value).alias("v"))))["v"].alias(f"v{i}") for i, x in enumerate(times)]
+    rows = F.array(*(F.struct(F.lit(float(x)).alias("at"), F.coalesce(F.col(f"v{i}"), F.lit(start)).alias(value)) for i, x in enumerate(times)))
+    return curve.groupBy("grp").agg(*last).select("grp", F.explode(rows).alias("r")).select("grp", "r.*")
 
 
 def curve_quantile(curve: DataFrame, q: float = 0.5) -> DataFrame:

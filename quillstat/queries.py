@@ -468,12 +468,6 @@ def strong_dominance(spark, d):
     return economics.strongly_dominated(m, "strategy", "cost", "effect").select("strategy")
 
 
-@query("""with recursive m as (select 0 as cycle, 1.0::double as a, 0.0::double as b, 0.0::double as c union all select cycle + 1, a * 0.8, a * 0.15 + b * 0.7, a * 0.05 + b * 0.3 + c from m where cycle < 20)
-select cycle::bigint as cycle, 0::bigint as state, round(a, 6) as share from m union all select cycle, 1, round(b, 6) from m union all select cycle, 2, round(c, 6) from m""")
-def markov(spark, d):
-    return rounded(economics.markov_cohort(spark, [[0.8, 0.15, 0.05], [0, 0.7, 0.3], [0, 0, 1]], [1, 0, 0], 20))
-
-
 @query("""with c as (select l_returnflag as grp, l_quantity::double as x from lineitem), n as (select x, log(x) as l, sqrt(x) as s from c) select round(sum(l), 4) as log10_sum, round(sum(s), 4) as sqrt_sum from n""")
 def formula_columns(spark, d):
     des = regression.design("~ log10(x1) + sqrt(x1) - 1", reg(spark, d))

@@ -1,6 +1,7 @@
 """Operators on small inputs with known answers."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -228,3 +229,27 @@ def test_restricted_mean_and_median_at_the_edges(spark):
     assert r["late"] == (10.0, 0.0) and r["flat"][0] == pytest.approx(1 + 2 * 0.5)
     q = {x["grp"]: x["time"] for x in survival.curve_quantile(survival.survival_curve(df, "t", "e", "g")).collect()}
     assert q["flat"] == 2.0  # the middle of the stretch at one half
+
+
+def test_proportions_against_a_given_one():
+    r = tests.prop_test([(15, 25), (20, 30)], p=0.1)
+    want = sum((x - n * 0.1) ** 2 / (n * 0.1 * 0.9) for x, n in ((15, 25), (20, 30)))
+    assert r.statistic == pytest.approx(want) and r.df == 2 and r.p_value == pytest.approx(dist.chi2_sf(want, 2))
+
+
+def test_dots_in_tests_of_models(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(80)]
+    df = spark.createDataFrame([(i, x + z * z + rng.gauss(0, 0.3), x, z) for i, x, z in rows], "i int, y double, x double, z double")
+    assert regression.ramsey_reset(df.drop("i"), "y ~ .") == pytest.approx(regression.ramsey_reset(df, "y ~ x + z"))
+    assert regression.breusch_godfrey(df, "y ~ . - i", ["i"]) == pytest.approx(regression.breusch_godfrey(df, "y ~ x + z", ["i"]))
+    assert regression.design("y ~ . + x:z", df.drop("i")).names == ["(Intercept)", "x", "z", "x:z"]
+
+
+def test_exact_ranks_refuse_ties_and_clusters_refuse_nulls(spark):
+    df = spark.createDataFrame([(1.0, "a", 1), (1.0, "b", None), (2.0, "a", 2), (4.0, "b", 1), (3.0, "a", 2)], "x double, g string, c int")
+    with pytest.raises(ValueError):
+        tests.wilcox_test(df, "x", "g", exact=True)
+    fit = regression.fit_ols(df, "x ~ 1")
+    with pytest.raises(ValueError):
+        regression.cluster_covariance(fit, df, "x ~ 1", ["c"])
