@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, clogit, competing, cox, economics, gam, glmm, impute, matching, models, prediction, regression, splines, survival, tableone, tree
+from quillstat.operators import causal, clogit, competing, cox, economics, gam, glmm, impute, matching, models, prediction, regression, splines, survival, tableone, tree, validation
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -864,6 +864,13 @@ def additive_model(spark, d):
     return spark.createDataFrame(rows, "term string, value double")
 
 
+@query()
+def bootstrap_optimism(spark, d):
+    x = reg(spark, d).select("treat", "x1", (F.col("x2") * 10).alias("x2"), "ord")
+    rows = [(r["index"], round(r["original"], 5), round(r["optimism"], 5), round(r["corrected"], 5)) for r in validation.validate(x, "treat ~ x1 + x2", "ord", family="binomial", b=20, seed=1)]
+    return spark.createDataFrame(rows, "index string, original double, optimism double, corrected double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
