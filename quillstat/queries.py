@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, clogit, competing, cox, economics, gam, glmm, impute, matching, models, prediction, regression, splines, survival, tableone, tree, validation
+from quillstat.operators import causal, clogit, competing, cox, economics, gam, glmm, impute, matching, models, penalized, prediction, regression, splines, survival, tableone, tree, validation
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -871,6 +871,19 @@ def bootstrap_optimism(spark, d):
     return spark.createDataFrame(rows, "index string, original double, optimism double, corrected double")
 
 
+@query("""with x as (select l_extendedprice::double / 1000 * (1 - l_discount::double) as y, l_discount::double as d, l_tax::double as t from lineitem), m as (select avg(y) as my, avg(d) as md, stddev_pop(d) as sd, avg(t) as mt, stddev_pop(t) as st, covar_pop(y, d) / stddev_pop(d) as cd, covar_pop(y, t) / stddev_pop(t) as ct, corr(d, t) as r from x),
+l as (select i, greatest(abs(cd), abs(ct)) * f as penalty from m, (values (0, 1.0), (1, 0.5), (2, 0.1)) v(i, f)),
+b as (select i, penalty, m.*, sign(cd) * greatest(abs(cd) - penalty, 0) as d1, sign(ct) * greatest(abs(ct) - penalty, 0) as t1, (cd - r * ct - penalty * (sign(cd) - r * sign(ct))) / (1 - r * r) as d2, (ct - r * cd - penalty * (sign(ct) - r * sign(cd))) / (1 - r * r) as t2 from l, m),
+c as (select *, case when t1 = 0 or abs(ct - r * d1) <= penalty then d1 when abs(cd - r * t1) <= penalty then 0 else d2 end as bd, case when t1 = 0 or abs(ct - r * d1) <= penalty then 0 when abs(cd - r * t1) <= penalty then t1 else t2 end as bt from b)
+select i::bigint as step, round(penalty, 6) as penalty, round(bd / sd, 5) + 0.0 as discount, round(bt / st, 5) + 0.0 as tax, round(my - bd / sd * md - bt / st * mt, 5) as intercept from c""")
+def lasso_path(spark, d):
+    x = reg(spark, d).select((F.col("y") * (1 - F.col("x2"))).alias("y"), "x2", "x3", "ord")
+    top = penalized.penalized_path(x, "y", ["x2", "x3"], "ord", n_lambda=1, folds=0).lambdas[0]
+    fit = penalized.penalized_path(x, "y", ["x2", "x3"], "ord", lambdas=[float(top * f) for f in (1.0, 0.5, 0.1)], folds=5)
+    rows = [(i, round(float(fit.lambdas[i]), 6), round(float(b[1]), 5), round(float(b[2]), 5), round(float(b[0]), 5)) for i, b in enumerate(fit.coefficients)]
+    return spark.createDataFrame(rows, "step long, penalty double, discount double, tax double, intercept double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
