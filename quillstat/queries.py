@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.functions import columns as C
-from quillstat.operators import causal, clogit, competing, cox, economics, gam, glmm, impute, matching, models, penalized, prediction, regression, splines, survival, tableone, tree, validation
+from quillstat.operators import causal, clogit, competing, cox, economics, fisher, gam, glmm, impute, matching, models, penalized, prediction, regression, splines, survival, tableone, tree, validation
 from quillstat.operators import hypothesis as tests
 from quillstat.sources.tables import read
 
@@ -884,6 +884,15 @@ def lasso_path(spark, d):
     return spark.createDataFrame(rows, "step long, penalty double, discount double, tax double, intercept double")
 
 
+@query()
+def test_fisher_rxc(spark, d):
+    """Region by the first letter of a nation's name, in three classes."""
+    first = F.substring("n_name", 1, 1)
+    x = read(spark, d, "nation").select(F.col("n_regionkey").alias("r"), F.when(first < "G", "A-F").when(first < "K", "G-J").otherwise("K-Z").alias("c"))
+    got = fisher.fisher_test(x, "r", "c")
+    return spark.createDataFrame([(got["n"], round(got["p_value"], 6))], "n long, p_value double")
+
+
 CUST = "cust as (select c_custkey as id, c_nationkey as nation, (c_mktsegment = 'BUILDING') as treat, c_acctbal::double as score from customer)"
 
 
