@@ -37,6 +37,7 @@ times its size in one task.  Hashes of 64 bits stand for shingles and sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ BUCKETS = 1 << 16
 CACHE = 300_000
 #: Most rows (of a few numbers, about 80 bytes each) that are broadcast: 32 MB.
 BROADCAST = 400_000
+#: Most bits that tell which texts are wanted: 16 MB.
+MOST_MARKS = 1 << 27
 #: Members from which a group counts as large; there are few of those.
 LARGE = 5_000
 #: Tasks among which the blocks of one group are dealt.
@@ -181,19 +184,20 @@ class Join:
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """(cls, tokens) of the classes in ``wanted`` (column cls, distinct).
 
-        Few classes: only texts with the key of one of them are read by Python.
+        Only texts whose key may be that of one of them are read by Python and
+        shuffled, however many there are: their bits are all a task is sent.
         """
         shingle = self.shingle
-        keys = cut(wanted.join(self.classes.select("cls", "key"), "cls").select("key").distinct())
-        few = keys.count() <= BROADCAST
-        docs = self.docs.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), "key", "left_semi") if few else self.docs
+        held = self.spark.sparkContext.broadcast(_marks(cut(wanted.join(self.classes.select("cls", "key"), "cls").select("key"))))
 
         def make():
-            sets, seen = Shingles(shingle), set()
+            sets, seen, marks = Shingles(shingle), set(), held.value
 
             def step(batch):
+                at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(8 * len(marks) - 1)
+                texts_of = batch.column(1).filter((marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
                 cls, tokens = [], []
-                for _, texts in portions(batch.column(0), ROWS, CHARS):
+                for _, texts in portions(texts_of, ROWS, CHARS):
                     for s in sets.sets(texts):
                         if not len(s) or (c := set_id(s)) in seen:
                             continue
@@ -205,8 +209,8 @@ class Join:
 
             return step
 
-        found = map_batches(docs.select("text"), "cls bigint, tokens array<bigint>", make)
-        return found.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").dropDuplicates(["cls"])
+        found = map_batches(self.docs.select(F.xxhash64("text").alias("key"), "text"), "cls bigint, tokens array<bigint>", make)
+        return found.join(if_small(wanted, BROADCAST), "cls", "left_semi").dropDuplicates(["cls"])
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b: classes) that link, by their whole sets."""
@@ -293,17 +297,23 @@ class Join:
         percent = self.percent
         sets = self.sets_of(cut(queries.select("cls").unionByName(members.select("cls")).distinct()))
 
-        def blocks(side: DataFrame, name: str) -> DataFrame:
+        def dealt(side: DataFrame) -> DataFrame:
             many = side.groupBy("other").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-            dealt = cut(side.join(if_small(cut(many), BROADCAST), "other").select("cls", "other", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")))
-            release(self.spark)
-            return dealt.join(sets, "cls").groupBy("other", "block").agg(F.first("blocks").alias(f"{name}_blocks"), F.collect_list(F.struct("cls", "tokens")).alias("all")).select(
-                "other", F.col("block").alias(f"{name}_block"), f"{name}_blocks", F.col("all.cls").alias(f"{name}_cls"), F.transform("all", lambda r: F.size(r["tokens"])).alias(f"{name}_n"), F.flatten("all.tokens").alias(f"{name}_tokens")
+            return side.join(if_small(cut(many), BROADCAST), "other").select("cls", "other", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"))
+
+        def blocks(side: DataFrame, name: str) -> DataFrame:
+            # sets move once to where their blocks are made and also compared
+            rows = side.join(sets, "cls").select("other", "task", "block", F.struct("cls", "tokens").alias("own")).repartition("other", "task")
+            return rows.groupBy("other", "task", "block").agg(F.collect_list("own").alias("all")).select(
+                "other", "task", F.col("all.cls").alias(f"{name}_cls"), F.transform("all", lambda r: F.size(r["tokens"])).alias(f"{name}_n"), F.flatten("all.tokens").alias(f"{name}_tokens")
             )
 
         asking = queries.groupBy("other").agg(F.ceil(F.sum("n") / BLOCK).alias("asking"))
-        asked = blocks(members, "m").join(if_small(cut(asking), BROADCAST), "other").withColumn("task", F.explode(F.sequence(F.lit(0), F.least(F.col("asking"), F.lit(SPREAD)).cast("int") - 1)))
-        two = blocks(queries, "q").withColumn("task", F.pmod("q_block", F.lit(SPREAD)).cast("int")).join(asked, ["other", "task"]).select("q_cls", "q_n", "q_tokens", "m_cls", "m_n", "m_tokens")
+        asking = if_small(cut(asking), BROADCAST)
+        asked = cut(dealt(members).join(asking, "other").withColumn("task", F.explode(F.sequence(F.lit(0), F.least(F.col("asking"), F.lit(SPREAD)).cast("int") - 1))).drop("asking"))
+        asks = cut(dealt(queries).withColumn("task", F.pmod("block", F.lit(SPREAD)).cast("int")))
+        release(self.spark)
+        two = blocks(asks, "q").join(blocks(asked, "m"), ["other", "task"]).select("q_cls", "q_n", "q_tokens", "m_cls", "m_n", "m_tokens")
 
         def make():
             def step(batch):
@@ -338,6 +348,18 @@ class Join:
         return rows.join(names, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Bits, 16 or more a key, at most MOST_MARKS, in bytes: that of ``key`` modulo their number is set for every key (64-bit hashes); few others find theirs set."""
+    bits = min(1 << max(math.ceil(math.log2(16 * max(keys.count(), 1))), 15), MOST_MARKS)
+    at = F.pmod("key", F.lit(bits)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        start = (r["part"] - 1) * 4096
+        out[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _over_token(few: DataFrame, hot: DataFrame, **aggregates) -> DataFrame:
     """Rows (token, ...) with aggregates over all rows of each token, those of tokens that may be in very many (``hot``) being summed before they meet and joined back."""
     by = Window.partitionBy("token")

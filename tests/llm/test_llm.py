@@ -412,6 +412,28 @@ def test_jaccard_join_beyond_what_is_broadcast(spark, monkeypatch):
     assert {r["doc_id"] for r in jaccard_join.keep_one(frame(spark, texts)).collect()} == set(comp)
 
 
+def test_jaccard_join_moves_wanted_sets_once(spark, monkeypatch):
+    """However many classes are wanted, sets of others never leave Python, and blocks of sets are not shuffled again to be compared."""
+    rng = random.Random(12)
+    base = [prose(rng, 60) for _ in range(6)]
+    texts = [b + " " + prose(rng, k) for b in base for k in (1, 2, 3)] + [prose(rng, 60) for _ in range(400)]
+    made, mapped = [], jaccard_join.map_batches
+
+    def kept(df, schema, make, **how):
+        out = mapped(df, schema, make, **how)
+        made.append((schema, df, out))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
+    monkeypatch.setattr(jaccard_join, "map_batches", kept)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(near(texts)[1]))
+    assert all(out.count() < 100 for schema, _, out in made if "tokens" in schema)
+    (pairs,) = [df for schema, df, _ in made if schema == "a bigint, b bigint"]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning\(other[^]]*\[plan_id=\d+", plan))) == 2
+
+
 def test_jaccard_join_of_hot_passages(spark, monkeypatch):
     """Every token is hot, half of the texts share a passage and one family is most of the table."""
     rng = random.Random(14)
