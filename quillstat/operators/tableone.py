@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Callable
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -56,14 +57,16 @@ def category_text(df: DataFrame, column: str, by: str | None = None, levels: lis
 
 
 def numeric_summary(df: DataFrame, column: str, by: str, add_all: bool = True) -> DataFrame:
-    """(group, n, mean, sd, q1, median, q3) of a numeric column by group, and over all groups."""
-    x = F.col(column).cast("double")
-    quarters = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one pass for all three
-    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), quarters.alias("q")]
-    have = df.where(F.col(by).isNotNull()).withColumn("__g", F.col(by).cast("string"))
+    """(group, n, mean, sd, q1, median, q3) of a numeric column by group, and over all groups; no task holds the values of a group."""
+    from quillstat.plans.ordered import quantiles
+
+    x = F.col("__x")
+    have = df.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("group"), F.col(column).cast("double").alias("__x"))
     if add_all:  # grouping sets ((group), ())
-        have = have.withColumn("__g", F.explode(F.array(F.col("__g"), F.lit("All"))))
-    return have.groupBy(F.col("__g").alias("group")).agg(*aggs).select("group", "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+        have = have.withColumn("group", F.explode(F.array(F.col("group"), F.lit("All"))))
+    moments = have.groupBy("group").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    quarters = quantiles(have, "__x", [0.25, 0.5, 0.75], ("group",)).select("group", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    return moments.join(quarters, "group", "left")
 
 
 def _pairs_smd(rows: list[tuple[float, float]]) -> float:
@@ -104,6 +107,7 @@ def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Colum
     out of groups but not of ``All``.
     """
     from quillstat.operators.hypothesis import anova_of, crosstab, format_pvalue, stat_of_counts
+    from quillstat.plans.ordered import quantiles
 
     for name, _ in params:
         if name not in df.columns:
@@ -117,7 +121,15 @@ def tableone_raw(df: DataFrame, params: list[tuple[str, Callable[[Column], Colum
     cells: dict[tuple[str, str], str | None] = {}
 
     def take(frame: DataFrame, label) -> None:
-        aggs = [f(F.col(n)).cast("string").alias(f"c{i}") for i, (n, f) in enumerate(scalars)]
+        by = (hue,) if label is None else ()
+        aggs = []
+        for i, (n, f) in enumerate(scalars):
+            # quantiles that an aggregate shows are found without one task that holds a group's values
+            if probs := getattr(getattr(f, "func", f), "probs", None):
+                own = quantiles(frame.select(*by, F.col(n).cast("double").alias("__x")), "__x", probs, by).withColumnsRenamed({f"q{k}": f"__{i}_{k}" for k in range(len(probs))})
+                frame = frame.join(F.broadcast(own), list(by), "left") if by else frame.join(F.broadcast(own), how="left")
+                f = partial(f, q=F.array(*(F.max(f"__{i}_{k}") for k in range(len(probs)))))
+            aggs.append(f(F.col(n)).cast("string").alias(f"c{i}"))
         if not aggs:
             return
         rows = (frame.groupBy(hue) if label is None else frame).agg(*aggs).collect()

@@ -76,6 +76,27 @@ def mid_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     return running_sums(ties, value, {"__upto": "ties"}, by).withColumn("rank", F.col("__upto") - (F.col("ties") - 1) / 2).drop("__upto")
 
 
+def quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...] = (), one_task: int = ONE_TASK) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles of the values that are not null, interpolated as ``percentile`` does, without one task that holds a group's values.
+
+    Values are counted, the counts summed in their order, and only the values at
+    the wanted positions are kept.  Groups without values have no row, and null groups are left out.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = cut(running(each, value, {"__upto": ("sum", "__n")}, by, one_task=one_task))
+    total = F.broadcast(upto.groupBy(*by).agg(F.max("__upto").alias("__total")))
+    rows = upto.join(total, list(by)) if by else upto.crossJoin(total)
+    at = lambda place: F.max(F.when((F.col("__upto") - F.col("__n") <= place) & (place < F.col("__upto")), F.col(value)))
+    places = [p * (F.col("__total") - 1) for p in probs]
+    ends = [at(f(place)).alias(f"__{name}{i}") for i, place in enumerate(places) for name, f in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy(*by, "__total").agg(*ends)
+    out = []
+    for i, place in enumerate(places):
+        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(f"q{i}"))
+    return found.select(*by, *out)
+
+
 def lagged(df: DataFrame, order: list[str], columns: list[str], lags: int) -> DataFrame:
     """``df`` with ``c_k``, the value of ``c`` that is k rows before in the order, for k up to ``lags``.
 

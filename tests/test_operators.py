@@ -253,3 +253,28 @@ def test_exact_ranks_refuse_ties_and_clusters_refuse_nulls(spark):
     fit = regression.fit_ols(df, "x ~ 1")
     with pytest.raises(ValueError):
         regression.cluster_covariance(fit, df, "x ~ 1", ["c"])
+
+
+def test_quantiles_without_a_task_of_all_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(g, None if i % 11 == 0 else float(rng.integers(-40, 40)) / 4) for g in ("a", "b", "c") for i in range({"a": 1, "b": 300, "c": 77}[g])] + [("a", 2.5), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    values = {g: [v for h, v in rows if v is not None and (g == "All" and h is not None or g == h)] for g in ("a", "b", "c", "All")}
+    for one_task in (10**6, 5):  # in windows, and through range partitions
+        got = {r["g"]: [r["q0"], r["q1"], r["q2"]] for r in ordered.quantiles(df, "v", [0.1, 0.5, 0.75], ("g",), one_task=one_task).where("g is not null").collect()}
+        assert got == {g: pytest.approx(np.quantile(values[g], [0.1, 0.5, 0.75])) for g in "abc"}
+    table = tableone.numeric_summary(df, "v", "g")
+    assert {r["group"]: [r["q1"], r["median"], r["q3"]] for r in table.collect()} == {g: pytest.approx(np.quantile(v, [0.25, 0.5, 0.75])) for g, v in values.items()}
+    assert "percentile" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tableone_of_known_quantiles(spark, monkeypatch):
+    """Tables show the same quantiles as the aggregates do, and leave out the aggregates that hold all values."""
+    df = spark.createDataFrame([("x", 1.0), ("x", 2.5), ("x", 7.0), ("y", 4.0), ("y", None), ("z", None), (None, 9.0)], "g string, v double")
+    shown = [C.agg_median, C.agg_median_range, C.agg_median_iqr]
+    want = [[str(x) if x is not None else None for x in (df.agg(f("v")).first()[0], *(r[1] for r in df.where("g is not null").groupBy("g").agg(f("v")).orderBy("g").collect()))] for f in shown]
+    monkeypatch.setattr(F, "percentile", None)
+    got = [list(tableone.tableone_raw(df, [("v", f)], "g", add_all=True).first())[1:] for f in shown]
+    assert got == want
