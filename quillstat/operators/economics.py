@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,20 +11,30 @@ def net_monetary_benefit(df: DataFrame, cost: str, effect: str, wtp: float, out:
     return df.withColumn(out, wtp * F.col(effect) - F.col(cost))
 
 
+def _nmb(cost: str, effect: str, wtp: list[float]) -> list[Column]:
+    """Net benefits at each willingness to pay side by side, so that rows of draws are not multiplied."""
+    return [float(w) * F.col(effect) - F.col(cost) for w in wtp]
+
+
+def _by_wtp(values: list[Column], wtp: list[float], name: str) -> Column:
+    """(wtp, ``name``) rows of values that stand side by side."""
+    return F.inline(F.array(*(F.struct(F.lit(float(w)).alias("wtp"), v.alias(name)) for w, v in zip(wtp, values, strict=True))))
+
+
 def ceac(psa: DataFrame, draw: str, strategy: str, cost: str, effect: str, wtp: list[float]) -> DataFrame:
     """(wtp, strategy, probability): how often each strategy has the greatest net benefit; ties to the least name."""
-    each = psa.select("*", F.explode(F.array(*(F.lit(float(w)) for w in wtp))).alias("wtp"))
-    best = each.groupBy("wtp", draw).agg(F.min_by(F.col(strategy), F.struct(-(F.col("wtp") * F.col(effect) - F.col(cost)), F.col(strategy))).alias("strategy"))
-    won = best.groupBy("wtp", "strategy").agg(F.count("*").alias("k"))
+    own = [F.col(f"__{i}") for i in range(len(wtp))]
+    best = psa.groupBy(draw).agg(*(F.min_by(F.col(strategy), F.struct(-v, F.col(strategy))).alias(f"__{i}") for i, v in enumerate(_nmb(cost, effect, wtp))))
+    won = best.select(_by_wtp(own, wtp, "strategy")).groupBy("wtp", "strategy").agg(F.count("*").alias("k"))
     return won.withColumn("probability", F.col("k") / F.sum("k").over(Window.partitionBy("wtp"))).drop("k")
 
 
 def evpi(psa: DataFrame, draw: str, strategy: str, cost: str, effect: str, wtp: list[float]) -> DataFrame:
     """(wtp, evpi): mean of the best net benefit in each draw, less the best mean."""
-    each = psa.select("*", F.explode(F.array(*(F.lit(float(w)) for w in wtp))).alias("wtp")).withColumn("nmb", F.col("wtp") * F.col(effect) - F.col(cost))
-    perfect = each.groupBy("wtp", draw).agg(F.max("nmb").alias("m")).groupBy("wtp").agg(F.avg("m").alias("perfect"))
-    current = each.groupBy("wtp", strategy).agg(F.avg("nmb").alias("m")).groupBy("wtp").agg(F.max("m").alias("current"))
-    return perfect.join(current, "wtp").select("wtp", (F.col("perfect") - F.col("current")).alias("evpi"))
+    own, nmb = [F.col(f"__{i}") for i in range(len(wtp))], _nmb(cost, effect, wtp)
+    perfect = psa.groupBy(draw).agg(*(F.max(v).alias(f"__{i}") for i, v in enumerate(nmb))).agg(F.count("*").alias("__n"), *(F.avg(v).alias(f"__{i}") for i, v in enumerate(own))).where("__n > 0")
+    current = psa.groupBy(strategy).agg(*(F.avg(v).alias(f"__{i}") for i, v in enumerate(nmb))).agg(*(F.max(v).alias(f"__{i}") for i, v in enumerate(own)))
+    return perfect.select(_by_wtp(own, wtp, "perfect")).join(current.select(_by_wtp(own, wtp, "current")), "wtp").select("wtp", (F.col("perfect") - F.col("current")).alias("evpi"))
 
 
 def frontier(rows: list[tuple[str, float, float]]) -> list[tuple[str, float, float, float | None]]:

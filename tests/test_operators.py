@@ -278,3 +278,19 @@ def test_tableone_of_known_quantiles(spark, monkeypatch):
     monkeypatch.setattr(F, "percentile", None)
     got = [list(tableone.tableone_raw(df, [("v", f)], "g", add_all=True).first())[1:] for f in shown]
     assert got == want
+
+
+def test_evpi_does_not_multiply_draws(spark):
+    rng = random.Random(8)
+    rows = [(d, s, rng.uniform(0, 900), rng.uniform(0, 3)) for d in range(40) for s in "abc"]
+    psa, wtp = spark.createDataFrame(rows, "d long, s string, cost double, effect double"), [0.0, 150.0, 700.0]
+    value = {(w, d, s): w * e - c for d, s, c, e in rows for w in wtp}
+    best = {w: [max("abc", key=lambda s: (value[w, d, s], s)) for d in range(40)] for w in wtp}
+    want = {w: np.mean([value[w, d, best[w][d]] for d in range(40)]) - max(np.mean([value[w, d, s] for d in range(40)]) for s in "abc") for w in wtp}
+    shares = {(w, s): best[w].count(s) / 40 for w in wtp for s in set(best[w])}
+    for f, name, answer in ((economics.evpi, "evpi", want), (economics.ceac, "probability", shares)):
+        out = f(psa, "d", "s", "cost", "effect", wtp)
+        assert {(r["wtp"], r["strategy"]) if name == "probability" else r["wtp"]: r[name] for r in out.collect()} == pytest.approx(answer)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(" not in plan  # rows of draws by willingness to pay
+        assert f(psa.limit(0), "d", "s", "cost", "effect", wtp).count() == 0
