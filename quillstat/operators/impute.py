@@ -8,8 +8,9 @@ are partitioned; coefficients are rounded to ten digits before they are used, as
 floats do.
 
 Predictive mean matching finds the nearest donors by position: donors and missing
-rows are put in one order of their predictions by range partitions, a missing row takes
-the donors at the positions around its own by an equal join, and no pairs are made.
+rows are put in one order of their predictions by range partitions, each of which is read
+once in that order, a missing row taking the donors around it; those beyond the ends of a
+partition are known from a few donors at the ends of the others.
 """
 
 from __future__ import annotations
@@ -19,14 +20,20 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstat.functions.dist import t_ppf, t_sf
 from quillstat.plans.ordered import cut, running
 
 #: Nearest donors of which one is drawn; most levels of a factor.
 DONORS, MOST_LEVELS = 5, 1000
+#: Rows of a partition that are matched at a time.
+PIECE = 1 << 16
+#: Types whose values a double holds exactly, or an index of levels.
+_EXACT = ("boolean", "string", "tinyint", "smallint", "int", "float", "double")
 _RIDGE = 1e-5
 
 
@@ -90,8 +97,8 @@ def pool(fits: list[list[dict]], df_complete: float | None = None, level: float
 class _Column:
     """What is known of a column of the model."""
 
-    def __init__(self, name: str, kind: str, levels: list[str], missing: int, method: str | None) -> None:
-        self.name, self.kind, self.levels, self.missing, self.method = name, kind, levels, missing, method
+    def __init__(self, name: str, kind: str, levels: list[str], missing: int, observed: int, method: str | None) -> None:
+        self.name, self.kind, self.levels, self.missing, self.observed, self.method = name, kind, levels, missing, observed, method
 
     def coded(self) -> Column:
         c = F.col(f"`{self.name}`")
@@ -113,8 +120,8 @@ class _Column:
 
 def _columns(df: DataFrame, names: list[str], methods: dict[str, str]) -> list[_Column]:
     kinds = {n: "boolean" if (k := df.schema[n].dataType.simpleString()) == "boolean" else "factor" if k == "string" else "number" for n in names}
-    counts = df.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names)), *(F.approx_count_distinct(f"`{n}`").alias(f"d{i}") for i, n in enumerate(names))).first()
-    rows = df.count()
+    counts = df.agg(F.count("*").alias("rows"), *(F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names))).first()
+    rows = counts["rows"]
     out = []
     for i, n in enumerate(names):
         if counts[f"n{i}"] == rows:
@@ -133,7 +140,7 @@ def _columns(df: DataFrame, names: list[str], methods: dict[str, str]) -> list[_
                 raise ValueError(f"pmm needs a numeric column: {n}")
             if method != "pmm" and method != "none" and kinds[n] == "number":
                 raise ValueError(f"{method} needs a factor or boolean column: {n}")
-        out.append(_Column(n, kinds[n], levels, counts[f"n{i}"], method))
+        out.append(_Column(n, kinds[n], levels, counts[f"n{i}"], rows - counts[f"n{i}"], method))
     return out
 
 
@@ -146,9 +153,9 @@ def chain_sums(df: DataFrame, chains: int, f: Callable[[np.ndarray, int], np.nda
         total = np.zeros((chains, size))
         for b in batches:
             chain = b.column(0).to_numpy()
-            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+            m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
             for k in np.unique(chain):
-                total[k] += f(m[chain == k], int(k))
+                total[k] += f(m[:, chain == k].T, int(k))
         yield pa.RecordBatch.from_pydict({"v": [total.ravel().tolist()]}, schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
     each = df.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v"))
@@ -181,8 +188,9 @@ def impute_chained(df: DataFrame, unit: str, *, columns: list[str] | None = None
     lacks = {c.name: f"m{i}" for i, c in enumerate(active)}
     coded = clean.select(F.col(f"`{unit}`").alias("u"), *(c.coded().alias(place[c.name]) for c in active), *(F.col(f"`{c.name}`").isNull().alias(lacks[c.name]) for c in targets))
     state = coded.withColumn("chain", F.explode(F.array(*(F.lit(k) for k in range(m)))))
-    for k, c in enumerate(targets):
-        state = _start(coded, state, place[c.name], lacks[c.name], seed, k)
+    # the first column is filled before any model reads it
+    for k, c in list(enumerate(targets))[1:]:
+        state = _start(coded, state, place[c.name], lacks[c.name], c.observed, seed, k)
     state = cut(state)
     means = {c.name: np.zeros((m, n_iter)) for c in targets if c.kind == "number"}
     for sweep in range(n_iter):
@@ -190,29 +198,37 @@ def impute_chained(df: DataFrame, unit: str, *, columns: list[str] | None = None
             x = [F.lit(1.0)] + [d for o in active if o is not c for d in o.design(F.col(place[o.name]))]
             rng = [np.random.default_rng([seed, chain, sweep, k]) for chain in range(m)]
             keys = (F.lit(seed), F.lit(sweep), F.lit(k), F.col("chain"), F.col("u"))
-            step = _matched if c.method == "pmm" else _drawn
-            state = cut(step(state, place[c.name], lacks[c.name], x, max(2, len(c.levels)), m, rng, keys))
-            if c.name in means:
-                for r in state.where(lacks[c.name]).groupBy("chain").agg(F.avg(place[c.name]).alias("v")).collect():
+            if c.method == "pmm":
+                filled = cut(_matched(state, place[c.name], lacks[c.name], x, m, rng, keys))
+                for r in filled.groupBy("chain").agg(F.avg(place[c.name]).alias("v")).collect():
                     means[c.name][r["chain"], sweep] = r["v"]
-    filled = state.select((F.col("chain") + 1).alias("imputation"), F.col("u").alias(unit), *(F.col(place[c.name]).alias(f"__{place[c.name]}") for c in targets))
-    data = filled.join(clean, unit)
-    kept = {c.name: c.decoded(F.col(f"__{place[c.name]}"), of[c.name]) for c in targets}
+                # a union has the partitions of both; so they do not add up over the steps
+                most = max(d.rdd.getNumPartitions() for d in (state, filled))
+                state = state.where(~F.col(lacks[c.name])).unionByName(filled).coalesce(most)
+            else:
+                state = _drawn(state, place[c.name], lacks[c.name], x, max(2, len(c.levels)), m, rng, keys)
+            if sweep < n_iter - 1 or c is not targets[-1]:
+                state = cut(state)
+    # columns that the chains hold exactly are read from them; only others are joined
+    held = {c.name: c for c in active if c.method or of[c.name] in _EXACT}
+    filled = state.select((F.col("chain") + 1).alias("imputation"), F.col("u").alias(unit), *(F.col(place[n]).alias(f"__{place[n]}") for n in held))
+    data = filled.join(clean, unit) if set(df.columns) - {unit, *held} else filled
+    kept = {n: c.decoded(F.col(f"__{place[n]}"), of[n]) for n, c in held.items()}
     data = data.select("imputation", *(kept[n].alias(n) if n in kept else F.col(f"`{n}`") for n in df.columns))
     return Imputed(cut(data), {c.name: c.method for c in targets}, {c.name: c.missing for c in targets}, m, means)
 
 
-def _start(coded: DataFrame, state: DataFrame, value: str, lack: str, seed: int, k: int) -> DataFrame:
-    """``state`` with missing ``value`` drawn from the observed ones, by their positions in a hashed order."""
+def _start(coded: DataFrame, state: DataFrame, value: str, lack: str, n: int, seed: int, k: int) -> DataFrame:
+    """``state`` with missing ``value`` drawn from the ``n`` observed ones, by their positions in a hashed order."""
     seen = coded.where(~F.col(lack)).select("u", F.col(value).alias("__v"), F.struct(F.xxhash64(F.lit(seed), F.lit(k), "u").alias("h"), "u").alias("__o"), F.lit(1).cast("long").alias("__one"))
-    seen = cut(running(seen, "__o", {"__at": ("sum", "__one")}).select((F.col("__at") - 1).alias("__at"), "__v"))
-    n = seen.count()
+    seen = running(seen, "__o", {"__at": ("sum", "__one")}, rows=n, fixed=True).select((F.col("__at") - 1).alias("__at"), "__v")
     at = F.when(F.col(lack), F.floor(uniform(F.lit(seed), F.lit(-1), F.lit(k), F.col("chain"), F.col("u")) * n))
     lacking = state.where(lack).withColumn("__at", at).join(seen, "__at").withColumn(value, F.col("__v")).select(*state.columns)
     return state.where(~F.col(lack)).unionByName(lacking)
 
 
-def _matched(state: DataFrame, value: str, lack: str, x: list[Column], levels: int, m: int, rng: list, keys: tuple) -> DataFrame:
+def _matched(state: DataFrame, value: str, lack: str, x: list[Column], m: int, rng: list, keys: tuple) -> DataFrame:
+    """The rows of ``state`` that lack ``value``, filled."""
     p = len(x)
     rows = state.withColumns({f"x{i}": c for i, c in enumerate(x)})
     names = [f"x{i}" for i in range(p)]
@@ -228,7 +244,7 @@ def _matched(state: DataFrame, value: str, lack: str, x: list[Column], levels: i
         beta, star = posterior(g, r)
         fits.append(beta)
         draws.append(star)
-    return state.where(~F.col(lack)).unionByName(nearest_donors(rows, value, lack, names, np.array(fits), np.array(draws), keys).select(*state.columns))
+    return nearest_donors(rows, value, lack, names, np.array(fits), np.array(draws), keys).select(*state.columns)
 
 
 def posterior(gram: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -253,25 +269,108 @@ def _by_chain(values: np.ndarray, names: list[str]) -> Column:
 
 
 def nearest_donors(rows: DataFrame, value: str, lack: str, names: list[str], fits: np.ndarray, draws: np.ndarray, keys: tuple) -> DataFrame:
-    """The rows that lack ``value``, each with that of one of the DONORS observed rows whose prediction is nearest to its own.
+    """The rows that lack ``value``, without ``names``, each with that of one of the DONORS observed rows whose prediction is nearest to its own.
 
     Missing rows are predicted by the drawn coefficients, observed ones by the fitted.
     Ties in the order of donors are broken by hash.
     """
-    seen = rows.where(~F.col(lack)).select("chain", F.lit(1).alias("k"), _by_chain(fits, names).alias("y"), F.xxhash64(*keys).alias("h"), "u", F.col(value).alias("v"))
-    mine = rows.where(lack).select("chain", F.lit(0).alias("k"), _by_chain(draws, names).alias("y"), F.xxhash64(*keys).alias("h"), "u", F.lit(None).cast("double").alias("v"))
-    # missing rows stand before donors of the same prediction, so their position is the number of donors below
-    line = seen.unionByName(mine).withColumns({"__o": F.struct("y", "k", "h", "u"), "__one": F.col("k").cast("long")})
-    line = cut(running(line, "__o", {"at": ("sum", "__one")}, ("chain",)).drop("__o", "__one"))
-    donors = line.where("k = 1").select("chain", F.col("at").alias("place"), F.col("y").alias("yd"), F.col("v"))
-    # rows at one position share their candidates
-    spots = line.where("k = 0").select("chain", "at").distinct().withColumn("place", F.explode(F.sequence(F.col("at") - DONORS + 1, F.col("at") + DONORS)))
-    around = spots.join(donors, ["chain", "place"]).groupBy("chain", "at").agg(F.collect_list(F.struct("place", "yd", "v")).alias("around"))
-    own = line.where("k = 0").select("chain", "at", "y", "u").join(around, ["chain", "at"])
-    best = F.array_sort(F.transform("around", lambda d: F.struct(F.abs(d["yd"] - F.col("y")).alias("gap"), d["place"].alias("place"), d["v"].alias("v"))))
-    pick = F.floor(uniform(*keys, F.lit("donor")) * F.least(F.size("around"), F.lit(DONORS))).cast("int")
-    picked = own.select("chain", "u", F.get(best, pick)["v"].alias("__v"))
-    return rows.where(lack).join(picked, ["chain", "u"]).withColumn(value, F.col("__v")).drop("__v")
+    mine, rest = F.col(lack), [c for c in rows.columns if c not in (*names, "chain", value)]
+    line = rows.select(
+        "chain", F.when(mine, F.lit(0)).otherwise(F.lit(1)).alias("k"), F.when(mine, _by_chain(draws, names)).otherwise(_by_chain(fits, names)).alias("y"), F.xxhash64(*keys).alias("h"), F.col("u").alias("__u"),
+        F.when(~mine, F.col(value).cast("double")).alias("v"), F.when(mine, uniform(*keys, F.lit("donor"))).alias("r"), F.when(mine, F.struct(*rest)).alias("row"),
+    )
+    # missing rows stand before donors of the same prediction
+    order = ["y", "k", "h", "__u"]
+    line = line.repartitionByRange("chain", *order).sortWithinPartitions(*order)
+    line = cut(line.select(F.spark_partition_id().alias("part"), "chain", "k", "y", "v", "r", "row"))
+    ends = line.where("k = 1").select("part", "chain", "y", "v").mapInArrow(_ends, "part int, chain int, i int, y double, v double")
+    by_chain: dict[int, list] = {}
+    for r in sorted(ends.collect()):  # at most 2 * DONORS for each partition and chain in it
+        by_chain.setdefault(r["chain"], []).append((r["part"], r["y"], r["v"]))
+    edges = {k: np.array(e) for k, e in by_chain.items()}
+    out = ["chain", value, *rest]
+
+    def run(batches):
+        import pyarrow as pa
+
+        lines: dict[int, _Line] = {}
+        for b in batches:
+            chain = b.column(1).to_numpy()
+            for k in np.unique(chain).tolist():
+                if k not in lines:
+                    lines[k] = _Line(edges.get(k, np.zeros((0, 3))), b.column(0)[0].as_py(), out)
+                yield from lines[k].add(b.filter(pa.array(chain == k)))
+        for held in lines.values():
+            yield from held.match(last=True)
+
+    return line.mapInArrow(run, T.StructType([rows.schema[c] for c in out])).select(*(c for c in rows.columns if c not in names))
+
+
+def _ends(batches):
+    """The first and the last DONORS donors of each chain in a partition, by their number there."""
+    import pyarrow as pa
+
+    first: dict[int, list] = {}
+    last: dict[int, list] = {}
+    part, n = 0, {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = b.column(0)[0].as_py()
+        chain, y, v = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+        for k in np.unique(chain).tolist():
+            at = np.flatnonzero(chain == k)
+            number = n.get(k, 0) + np.arange(len(at))
+            n[k] = n.get(k, 0) + len(at)
+            some = lambda i: list(zip(number[i].tolist(), y[at[i]].tolist(), v[at[i]].tolist(), strict=True))  # noqa: B023, E731
+            first[k] = (first.get(k, []) + some(slice(0, DONORS)))[:DONORS]
+            last[k] = (last.get(k, []) + some(slice(-DONORS, None)))[-DONORS:]
+    rows = [(part, k, *r) for k in first for r in sorted({*first[k], *last[k]})]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], ["part", "chain", "i", "y", "v"])
+
+
+class _Line:
+    """A chain's rows of one partition in their order, of which those are held whose next donors are not yet known."""
+
+    def __init__(self, edges: np.ndarray, part: int, out: list[str]) -> None:
+        self.before, self.after = edges[edges[:, 0] < part][-DONORS:, 1:], edges[edges[:, 0] > part][:DONORS, 1:]
+        self.out, self.held = out, []
+        self.rows, self.enough = 0, PIECE
+
+    def add(self, batch):
+        self.held.append(batch)
+        self.rows += batch.num_rows
+        if self.rows >= self.enough:
+            yield from self.match()
+
+    def match(self, last: bool = False):
+        """The missing rows that have all their donors, filled; the others stay."""
+        import pyarrow as pa
+
+        b = pa.Table.from_batches(self.held).combine_chunks()
+        kind, y, v = (b.column(c).to_numpy() for c in ("k", "y", "v"))
+        donors = np.flatnonzero(kind == 1)
+        if not last and len(donors) <= DONORS:
+            self.held, self.enough = b.to_batches(), 2 * self.rows
+            return
+        n = len(kind) if last else donors[-DONORS]
+        near = np.concatenate([self.before, np.column_stack([y[donors], v[donors]]), self.after if last else np.zeros((0, 2))])
+        lacking = np.flatnonzero(kind[:n] == 0)
+        if len(lacking):
+            place = len(self.before) + np.searchsorted(donors, lacking)[:, None] + np.arange(-DONORS, DONORS)
+            there = (place >= 0) & (place < len(near))
+            gap = np.where(there, np.abs(near[place.clip(0, len(near) - 1), 0] - y[lacking, None]), np.nan)
+            pick = np.floor(b.column("r").to_numpy()[lacking] * np.minimum(there.sum(axis=1), DONORS)).astype(int)
+            rank = np.argsort(gap, axis=1, kind="stable")  # of equal gaps the lower place
+            chosen = np.take_along_axis(place, np.take_along_axis(rank, pick[:, None], 1), 1)[:, 0]
+            own = b.take(pa.array(lacking))
+            rest = own.column("row").combine_chunks()
+            rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
+            columns = [own.column("chain").combine_chunks(), pa.array(near[chosen, 1]), *rest.flatten()]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, self.out)
+        self.before = near[: len(self.before) + np.searchsorted(donors, n)][-DONORS:]
+        self.held, self.rows, self.enough = b.slice(n).to_batches(), len(kind) - n, max(PIECE, 2 * (len(kind) - n))
 
 
 def _drawn(state: DataFrame, value: str, lack: str, x: list[Column], levels: int, m: int, rng: list, keys: tuple) -> DataFrame:
@@ -279,7 +378,7 @@ def _drawn(state: DataFrame, value: str, lack: str, x: list[Column], levels: int
     p, q = len(x), levels - 1
     names = [f"x{i}" for i in range(p)]
     rows = state.withColumns({f"x{i}": c for i, c in enumerate(x)})
-    seen = rows.where(~F.col(lack)).select("chain", *names, F.col(value).alias("y"))
+    seen = rows.where(~F.col(lack)).select("chain", *names, F.col(value).alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
     points = np.zeros((m, p * q))
     ridge = None
     for _ in range(50):
@@ -293,9 +392,10 @@ def _drawn(state: DataFrame, value: str, lack: str, x: list[Column], levels: int
         points = points + move * np.minimum(1.0, 5.0 / np.maximum(size, 1e-300))
         if size.max() < 1e-7:
             break
+    seen.unpersist()
     drawn = np.array([_digits(b + np.linalg.cholesky(np.linalg.inv(a) + 1e-10 * np.eye(p * q)) @ r.standard_normal(p * q)) for a, b, r in zip(h, points, rng, strict=True)]).reshape(m, p, q)
     logits = [F.lit(0.0)] + [_by_chain(drawn[:, :, j], names) for j in range(q)]
-    rows = rows.withColumns({f"l{j}": c for j, c in enumerate(logits)})
+    rows = rows.withColumns({f"l{j}": F.when(F.col(lack), c) for j, c in enumerate(logits)})
     top = F.greatest(*(f"l{j}" for j in range(levels)))
     rows = rows.withColumns({f"e{j}": F.exp(F.col(f"l{j}") - top) for j in range(levels)})
     # the first level whose share of the sum, with those before it, passes the draw
@@ -309,17 +409,18 @@ def _drawn(state: DataFrame, value: str, lack: str, x: list[Column], levels: int
 
 def softmax_sums(v: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """Log-likelihood, gradient and information of a multinomial logistic model, the first level being the base, over rows (x, y)."""
-    x, y = v[:, :-1], v[:, -1].astype(int)
-    p, q = coef.shape
-    logits = np.column_stack([np.zeros(len(x)), x @ coef])
-    logits -= logits.max(axis=1, keepdims=True)
+    x, y = np.ascontiguousarray(v[:, :-1].T), v[:, -1].astype(int)
+    (p, q), n = coef.shape, len(y)
+    logits = np.concatenate([np.zeros((1, n)), coef.T @ x])
+    logits -= logits.max(axis=0)
     prob = np.exp(logits)
-    prob /= prob.sum(axis=1, keepdims=True)
-    ll = np.log(prob[np.arange(len(y)), y]).sum()
-    hit = (y[:, None] == np.arange(1, q + 1)).astype(float) - prob[:, 1:]
-    h = np.zeros((p, q, p, q))
+    prob /= prob.sum(axis=0)
+    ll = np.log(prob[y, np.arange(n)]).sum()
+    hit = (y == np.arange(1, q + 1)[:, None]) - prob[1:]
+    # every variable times every level's share: the information is sums of products of these
+    wx = (x[:, None, :] * prob[None, 1:, :]).reshape(p * q, n)
+    h = -(wx @ wx.T).reshape(p, q, p, q)
+    own = (wx @ x.T).reshape(p, q, p)
     for a in range(q):
-        for b in range(q):
-            w = prob[:, a + 1] * ((a == b) - prob[:, b + 1])
-            h[:, a, :, b] = (x * w[:, None]).T @ x
-    return np.concatenate([[ll], (x.T @ hit).ravel(), h.ravel()])
+        h[:, a, :, a] += own[:, a]
+    return np.concatenate([[ll], (x @ hit.T).ravel(), h.ravel()])

@@ -36,20 +36,21 @@ _HOW = {
 }
 
 
-def running(df: DataFrame, key: str, out: dict[str, tuple[str, str]], by: tuple[str, ...] = (), descending: bool = False, before: bool = False, one_task: int = ONE_TASK, rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, key: str, out: dict[str, tuple[str, str]], by: tuple[str, ...] = (), descending: bool = False, before: bool = False, one_task: int = ONE_TASK, rows: int | None = None, fixed: bool = False) -> DataFrame:
     """``df`` (one row for each ``by`` and ``key``) with running aggregates up to each key, or before it.
 
     ``out`` maps result names to (sum, max, min or product, column); nulls do not
     count, and where there is nothing yet the result is null.  Up to ``one_task`` rows are
     one window a group; more are range-partitioned by group and key, so that
     neither a large group nor the only one is a task.  A caller that knows how many
-    ``rows`` there are at most saves their materialisation where they are few.
+    ``rows`` there are at most saves their materialisation where they are few; one whose
+    ``df`` is ``fixed``, rows of a ``cut`` by columns without chance, and has just so many, where they are many.
     """
     order = F.col(key).desc() if descending else F.col(key).asc()
     few = rows is not None and rows <= one_task
-    held = df if few else cut(df)
+    held = df if few or fixed else cut(df)
     end = -1 if before else 0
-    if few or held.count() <= one_task:
+    if few or not (fixed and rows) and held.count() <= one_task:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
         return (held if by else held.coalesce(1)).withColumns({name: _HOW[how][0](c).over(w) for name, (how, c) in out.items()})
     ranged = cut(held.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))

@@ -782,10 +782,14 @@ def impute_orders(spark, d):
     done = impute.impute_chained(x, "id", m=2, n_iter=1, seed=5).data.withColumnsRenamed({"priority": "priority2", "cust": "cust2", "price": "price2"})
     seen = x.select(F.col("cust").alias("cust2")).where("cust2 is not null").distinct().withColumn("known", F.lit(True))
     levels = x.select(F.col("priority").alias("priority2")).where("priority2 is not null").distinct().withColumn("level", F.lit(True))
-    both = done.join(x, "id").join(seen, "cust2", "left").join(levels, "priority2", "left")
+    # what a row shows beside its own values is found before it moves again; a factor has few levels
+    both = done.join(x, "id").select(
+        "imputation", "cust2", "priority2", F.col("cust").isNull().alias("number"), F.col("priority").isNull().alias("factor"),
+        ((F.col("cust") != F.col("cust2")) | (F.col("priority") != F.col("priority2")) | (F.col("price") != F.col("price2"))).alias("changed"),
+    ).join(F.broadcast(levels), "priority2", "left").join(seen, "cust2", "left")
     return both.groupBy(F.col("imputation").cast("long").alias("imputation")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("cust").isNull()).alias("n_numbers"), F.count_if(F.col("priority").isNull()).alias("n_levels"), F.count_if(F.col("known").isNull() | F.col("level").isNull()).alias("n_unknown"),
-        F.count_if((F.col("cust") != F.col("cust2")) | (F.col("priority") != F.col("priority2")) | (F.col("price") != F.col("price2"))).alias("n_changed"), F.count_if(F.col("cust2").isNull() | F.col("priority2").isNull()).alias("n_missing"),
+        F.count("*").alias("n"), F.count_if("number").alias("n_numbers"), F.count_if("factor").alias("n_levels"), F.count_if(F.col("known").isNull() | F.col("level").isNull()).alias("n_unknown"),
+        F.count_if("changed").alias("n_changed"), F.count_if(F.col("cust2").isNull() | F.col("priority2").isNull()).alias("n_missing"),
     )
 
 

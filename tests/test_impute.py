@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstat.operators import impute
 from quillstat.operators.impute import DONORS, impute_chained, nearest_donors, pool, posterior, softmax_sums
 
 
@@ -111,3 +112,58 @@ def test_wrong_calls(spark):
         impute_chained(df.withColumn("y", F.lit(None).cast("double")), "id")
     left = impute_chained(df, "id", methods={"g": "none"}, m=1, n_iter=1)
     assert left.data.where("g is null").count() == df.where("g is null").count() and "g" not in left.methods
+
+
+def test_donors_need_no_join_and_cross_partitions(spark):
+    rng = random.Random(4)
+    rows = [(c, i, 1.0, float(rng.randrange(12)), None if (gone := rng.random() < 0.4) else float(i * 10 + c), gone) for c in range(2) for i in range(90)]
+    df = spark.createDataFrame(rows, "chain int, u long, x0 double, x1 double, v double, m boolean").repartition(5)
+    fits, draws = np.array([[0.0, 1.0], [1.0, -2.0]]), np.array([[0.3, 1.1], [0.8, -1.9]])
+    names, keys = ["x0", "x1"], (F.lit(1), F.col("chain"), F.col("u"))
+    predicted = lambda coef, x: float(coef[0]) + x * float(coef[1])
+    # the same by all pairs
+    mine = {(r["chain"], r["u"]): (r["h"], r["r"]) for r in df.select("chain", "u", F.xxhash64(*keys).alias("h"), impute.uniform(*keys, F.lit("donor")).alias("r")).collect()}
+    want = {}
+    for c, u, _, x, _, m in rows:
+        if m:
+            y = predicted(draws[c], x)
+            line = sorted((predicted(fits[c], xd), mine[cc, ud][0], ud, v) for cc, ud, _, xd, v, md in rows if cc == c and not md)
+            at = sum(d[0] < y for d in line)
+            around = sorted((abs(line[i][0] - y), i) for i in range(max(0, at - DONORS), min(len(line), at + DONORS)))
+            want[c, u] = line[around[int(mine[c, u][1] * min(len(around), DONORS))][1]][3]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "70"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = nearest_donors(df, "v", "m", names, fits, draws, keys)
+            assert "Join" not in got._jdf.queryExecution().toString()
+            assert {(r["chain"], r["u"]): r["v"] for r in got.collect()} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_partition_in_pieces(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    rng = np.random.default_rng(6)
+    for share in (0.7, 0.05):
+        n = 200
+        kind = (rng.random(n) < share).astype(np.int32)
+        kind[:3] = kind[-3:] = [0, 1, 0]
+        cols = {"part": np.full(n, 2, np.int32), "chain": np.zeros(n, np.int32), "k": kind, "y": np.sort(rng.integers(0, 40, n)).astype(float), "v": np.arange(n) * 1.0, "r": rng.random(n)}
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, cols.values()), pa.StructArray.from_arrays([pa.array(np.arange(n))], ["u"])], [*cols, "row"])
+        edges = np.array([(p, y, 1000 + p) for p, y in ((0, -9.0), (1, -2.0), (1, -1.0), (2, 7.0), (3, 41.0), (5, 44.0))])
+        got = []
+        for piece in (1000, 7, 1):
+            monkeypatch.setattr(impute, "PIECE", piece)
+            line = impute._Line(edges, 2, ["chain", "v", "u"])
+            out = [o for at in range(0, n, 9) for o in line.add(batch.slice(at, 9))] + list(line.match(last=True))
+            got.append(sorted(zip(*(c.to_pylist() for c in pa.Table.from_batches(out).select(["u", "v"]).columns), strict=True)))
+        assert got[0] == got[1] == got[2] and [u for u, _ in got[0]] == np.flatnonzero(kind == 0).tolist()
+
+
+def test_partitions_do_not_add_up(spark):
+    df = spark.createDataFrame(sample(random.Random(1), 60), COLUMNS).select("id", "x", "g", "b", "k").repartition(3)
+    n = [impute_chained(df, "id", m=1, n_iter=i, seed=1).data.rdd.getNumPartitions() for i in (1, 3)]
+    assert n[0] >= n[1]
