@@ -143,34 +143,40 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", digest: bool = False, decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text`` in ``out``, an array of ints.
 
+    With ``decoded``, also the bytes that the ids decode to, in a column of that
+    name, and ``text`` is left out: the same as :func:`decode` of the result, but
+    in the same tasks, where a second pass has a second Python worker for each.
+
     With ``digest``, instead of the ids: ``n_tokens``, ``ids_sha256`` (of the
     decimal ids joined by one space) and ``decoded_sha256`` (of the bytes that
     the ids decode to), and ``text`` is left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(read_ranks(path)))
-    extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"`{out}` array<int>"
-    new = {"n_tokens", "ids_sha256", "decoded_sha256"} if digest else {out.lower()}
-    keep = [c for c in docs.columns if c.lower() not in new and not (digest and c == text)]
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
+    extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"`{out}` array<int>" + (f", `{decoded}` binary" if decoded else "")
+    new = {"n_tokens", "ids_sha256", "decoded_sha256"} if digest else {x.lower() for x in (out, decoded) if x}
+    keep = [c for c in docs.columns if c.lower() not in new and not ((digest or decoded) and c == text)]
+    # a text that is kept goes to the workers once
+    where = keep.index(text) if text in keep else len(keep)
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), *([F.col(f"`{text}`").alias("__text")] if where == len(keep) else []))
 
     def make():
         codec = Codec(model.value, pattern, digest)
 
         def step(batch):
-            block = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            block = [t or "" for t in batch.column(where).to_pylist()]
             rows = codec.digests(block) if digest else codec.encode(block)
             columns = {c: batch.column(i) for i, c in enumerate(keep)}
             if digest:
                 return columns | {name: [r[i] for r in rows] for i, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
-            return columns | {out: rows}
+            return columns | {out: rows} | ({decoded: [codec.decode(ids) for ids in rows]} if decoded else {})
 
         return step
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return map_batches(source, ", ".join(x for x in (ddl, extra) if x), make, rows=BATCH, by=len(source.columns) - 1, most=ITEMS)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)])
+    return map_batches(source, ", ".join(x for x in (ddl, extra) if x), make, rows=BATCH, by=where, most=ITEMS)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

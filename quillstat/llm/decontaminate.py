@@ -98,8 +98,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 2_000_000) -> DataFrame:
-    """``docs`` with what of the benchmark occurs in ``text``.
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 2_000_000, within: str | None = None) -> DataFrame:
+    """``docs`` with what of the benchmark occurs in ``text``, with ``within`` a field of that struct.
 
     Adds ``n_words``, ``n_hit`` (words inside occurring windows), ``items``
     (ids of the items with occurring windows, sorted as strings) and ``spans``
@@ -113,7 +113,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text",
     source = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("words"))
     size = source.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_chars))
-    where = keep.index(text)
+    where = keep.index(within or text)
+    field = docs.schema[within].dataType.names.index(text) if within else None
     for k in range(blocks):
         rows = source if blocks == 1 else source.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         held = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in rows.collect()], n))
@@ -123,7 +124,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text",
             get = windows.vocabulary.get
 
             def step(batch):
-                texts = batch.column(where)
+                texts = batch.column(where) if field is None else batch.column(where).field(field)
                 before = [batch.column(len(keep) + j).to_pylist() for j in (2, 3)] if later else None
                 result = {a: [] for a in added}
                 for at in range(0, batch.num_rows, ROWS):
@@ -165,21 +166,21 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def _whole(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` as a struct ``row``, and its text: no column of it can clash with what a scan adds."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+def _whole(docs: DataFrame) -> DataFrame:
+    """``docs`` as a struct ``row``: no column of it can clash with what a scan adds, and its text goes to the workers once."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    found = scan(_whole(docs, text), benchmark, **how)
+    found = scan(_whole(docs), benchmark, text=text, within="row", **how)
     return found.where(~contaminated(F.col("n_hit"), F.col("n_words"), share)).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """All rows of ``docs``, the runs of hit words cut out of ``text``."""
-    found = scan(_whole(docs, text), benchmark, **how)
-    t, s = F.col("text"), F.col("spans")
+    found = scan(_whole(docs), benchmark, text=text, within="row", **how)
+    t, s = F.col("row")[text], F.col("spans")
     gaps = F.sequence(F.lit(0), F.size(s), F.lit(2))
     part = F.transform(gaps, lambda i: F.substring(t, F.when(i == 0, 0).otherwise(F.get(s, i - 1)) + 1, F.coalesce(F.get(s, i), F.length(t)) - F.when(i == 0, 0).otherwise(F.get(s, i - 1))))
     new = F.when(F.size(s) > 0, F.array_join(part, "")).otherwise(t)

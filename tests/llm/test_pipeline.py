@@ -51,6 +51,35 @@ def test_stages(spark, tmp_path):
     assert joined.where("h = decoded_sha256").count() == after[3].count()
 
 
+def test_texts_go_to_python_once(spark):
+    """Each stage that runs in Python has one pass of workers, and sends them each text once."""
+    import re
+
+    import public_tokenizers
+
+    from quillstat.llm import byte_bpe, decontaminate
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sent = lambda df: re.findall(r"MapInArrow run\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+    names = lambda x: [re.sub(r"#.*", "", c.strip()) for c in x.split(",")]
+    assert [names(x) for x in sent(corpus_pipeline.byte_bpe(spark, docs, DATA))] == [["doc_id", "lang", "source", "__text"]]
+    assert [names(x) for x in sent(corpus_pipeline.decontaminate(spark, docs, DATA))] == [["row"]]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    odd = spark.createDataFrame([(1, "a  b\n é 語", "x"), (2, None, "y"), (3, "", None), (4, "<|endoftext|>" * 3, "")], "i int, text string, decoded string")
+    plain = byte_bpe.encode(odd, path, public_tokenizers.PATTERN)
+    assert plain.columns == ["i", "text", "decoded", "ids"] and [names(x) for x in sent(plain)] == [["i", "text", "decoded"]]
+    assert sorted(plain.select(*odd.columns).collect()) == sorted(odd.collect())
+    once, twice = byte_bpe.encode(odd, path, public_tokenizers.PATTERN, decoded="decoded"), byte_bpe.decode(plain, path)
+    assert once.columns == ["i", "ids", "decoded"]
+    assert {(r["i"], *r["ids"], bytes(r["decoded"])) for r in once.collect()} == {(r["i"], *r["ids"], bytes(r["decoded"])) for r in twice.collect()}
+    assert {r["i"]: bytes(r["decoded"]).decode() for r in once.collect()} == {r["i"]: r["text"] or "" for r in odd.collect()}
+    # a text column of another name, over many batches, and one that is null everywhere
+    many = spark.range(0, 30_000, 1, 1).selectExpr("id", "if(id % 3 = 0, null, concat('w', id, ' one two three four five six seven')) body", "cast(null as string) text")
+    bench = spark.createDataFrame([(1, "w29999 one two three four five six seven")], "item_id long, text string")
+    left = decontaminate.remove_documents(many, bench, text="body")
+    assert left.columns == many.columns and left.count() == 29_999 and left.where("id = 29999").isEmpty()
+
+
 def test_run_of_odd_rows(spark, tmp_path):
     """Nulls, repeated ids and rows, empty and very long texts, extra and clashing columns; nothing is left behind."""
     import random
