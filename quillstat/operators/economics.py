@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstat.plans.ordered import cut
+
 
 def net_monetary_benefit(df: DataFrame, cost: str, effect: str, wtp: float, out: str = "nmb") -> DataFrame:
     return df.withColumn(out, wtp * F.col(effect) - F.col(cost))
@@ -51,6 +53,8 @@ def frontier(rows: list[tuple[str, float, float]]) -> list[tuple[str, float, flo
 
 def strongly_dominated(means: DataFrame, strategy: str, cost: str, effect: str) -> DataFrame:
     """Strategies that another one beats on cost and effect; ``means`` has a row for each strategy."""
+    # both sides must read the same digits: means computed twice may differ by the order of their sums, and a strategy would beat itself
+    means = cut(means)
     other = means.select(F.col(cost).alias("__c"), F.col(effect).alias("__e"))
     worse = (F.col("__c") <= F.col(cost)) & (F.col("__e") >= F.col(effect)) & ((F.col("__c") < F.col(cost)) | (F.col("__e") > F.col(effect)))
     return means.join(other, worse, "left_semi")

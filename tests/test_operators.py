@@ -137,6 +137,14 @@ def test_roc_test_and_frontier(spark):
     assert [x[0] for x in rows] == ["a", "b", "c"]
 
 
+def test_no_strategy_dominates_itself(spark):
+    # each evaluation of the means differs in its last digits, as sums merged in another order do
+    again = F.udf(lambda c: c * (1 + random.random() * 1e-12), "double").asNondeterministic()
+    rows = [(f"s{i}", 100.0 + i, float(i)) for i in range(30)] + [("worse", 200.0, 29.0)]
+    means = spark.createDataFrame(rows, "strategy string, c double, effect double").select("strategy", again("c").alias("cost"), "effect")
+    assert [r["strategy"] for r in economics.strongly_dominated(means, "strategy", "cost", "effect").collect()] == ["worse"]
+
+
 @pytest.mark.parametrize("one_task", [10**6, 0])
 @pytest.mark.parametrize("before", [False, True])
 def test_running_aggregates_of_groups(spark, one_task, before):
